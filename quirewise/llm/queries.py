@@ -11,6 +11,30 @@ from quirewise.runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.lookalike import alike_pairs
+
+    return alike_pairs(table(spark, d, "sentence"))
+
+
+def p1_forms(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.lookalike import consistent_forms
+
+    return consistent_forms(table(spark, d, "sentence"), ["paper_id", "text_id"]).select("paper_id", "text_id", "form")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.spans import shared_spans
+
+    return shared_spans(table(spark, d, "sentence"), table(spark, d, "source_text"))
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.spans import coverage
+
+    return coverage(table(spark, d, "sentence"), p3_found(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from quirewise.llm.tokens import encode_corpus
 
