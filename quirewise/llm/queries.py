@@ -35,6 +35,16 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(table(spark, d, "sentence"), p3_found(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_sentences(spark, d).drop("sentence")
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.sentences import sentence_spans
+
+    return sentence_spans(table(spark, d, "paragraph"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from quirewise.llm.tokens import encode_corpus
 

@@ -22,11 +22,12 @@ PARTNERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』
 #: Least counts of an opening word and of an abbreviation, share of continuations of an abbreviation, spans from one start that are tried.
 OPENER_N, SHORT_N, SHORT_SHARE, REACH = 2, 3, 0.5, 400
 
-_END = re.compile(rf"(?P<mark>[{re.escape(STRONG + STOP + DOTS)};]+)(?P<shut>(?:[\s ]?[{re.escape(CLOSE)}\"]+)*)(?P<gap>\s*)")
+_END = re.compile(rf"[{re.escape(STRONG + STOP + DOTS)};]+")
+_GAP = re.compile(r"\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*")
 _LAST = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*$")
 _TIES = re.compile(rf"[{re.escape(OPEN + CLOSE)}]")
-_THAI_GAP = re.compile(r"(?<=[฀-๿)\d])\s+(?=[฀-๿(])")
+_THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=[^\s%฀-๿])\s+(?=[฀-๿])")
 _SKIP = re.compile(rf"[\s{re.escape(OPEN)}\"¿¡—–-]*")
 
 
@@ -36,6 +37,12 @@ def first_word(text: str, at: int) -> str:
     return m.group() if m else ""
 
 
+def _head(text: str, at: int) -> str:
+    """The opening word, unless it is an initial."""
+    w = first_word(text, at)
+    return "" if len(w) == 1 and text.startswith(w + ".", _SKIP.match(text, at).end()) else w
+
+
 def last_word(text: str, end: int) -> str:
     """The word, with inner stops, that ends at ``end``."""
     m = _LAST.search(text, max(0, end - 40), end)
@@ -61,8 +68,8 @@ class Marks:
         return word in self.short or (len(word) == 1 and word.isalpha()) or "." in word or word.isdigit() or (len(word) <= 2 and word.isupper())
 
 
-def _depths(text: str) -> dict[int, int]:
-    """Depth of quotations and brackets behind each mark; marks without partner don't count."""
+def _depths(text: str) -> tuple[dict[int, int], set[int]]:
+    """Depth of quotations and brackets behind each mark, and where they close; marks without partner don't count."""
     stack: list[tuple[str, int]] = []
     ties: list[tuple[int, int]] = []
     for m in _TIES.finditer(text):
@@ -77,15 +84,27 @@ def _depths(text: str) -> dict[int, int]:
     for i, d in sorted([(a, 1) for a, _ in ties] + [(b, -1) for _, b in ties]):
         depth += d
         out[i] = depth
-    return out
+    return out, {b for _, b in ties}
+
+
+def _shut(text: str, at: int, closing: set[int]) -> int:
+    """Where the closing marks behind ``at`` end; a blank may stand before one."""
+    while True:
+        if at < len(text) and (at in closing or (text[at] in CLOSE and text[at] not in "“’")):
+            at += 1
+        elif at + 1 in closing and text[at].isspace():
+            at += 2
+        else:
+            return at
 
 
-def candidates(text: str, marks: Marks) -> list[tuple[int, int, float]]:
+def candidates(text: str, marks: Marks, closing: set[int]) -> list[tuple[int, int, float]]:
     """(end, next start, closing score) of all places where a sentence may end."""
     out = []
     for m in _END.finditer(text):
-        mark, shut, gap = m.group("mark"), m.group("shut"), m.group("gap")
-        end, start = m.end("shut"), m.end()
+        end = _shut(text, m.end(), closing)
+        start = _GAP.match(text, end).end()
+        mark, shut, gap = m.group(), text[m.end() : end], text[end:start]
         if start >= len(text):
             continue
         follows, after = text[start], first_word(text, start)
@@ -116,8 +135,8 @@ def candidates(text: str, marks: Marks) -> list[tuple[int, int, float]]:
         elif shut:
             name = len(after) == 1 and text[start:].startswith(after + ".") or after in marks.short or re.match(r"(?:[^\W\d_]\.)+", text[start : start + 12]) is not None
             score = -3.0 if name else 4.0
-        elif marks.is_short(last):
-            score = 3.0 if marks.opens(after) and after[:1].isupper() and follows not in "([（" else -5.0
+        elif marks.is_short(last) and not (last.isdigit() and (len(last) > 2 or re.search(r"[.,=<>≤≥]\s?$", text[: m.start() - len(last)][-2:]))):
+            score = 3.0 if marks.opens(_head(text, start)) and after[:1].isupper() and follows not in "([（" else -5.0
         else:
             score = 5.0
         if shut and (strong or dots) and after[:1].isupper() and re.match(r"(?:[^\W\d_]\.)+", text[start : start + 12]):
@@ -136,8 +155,9 @@ def split(text: str | None, marks: Marks) -> list[tuple[int, int]]:
         return []
     body = len(text) - len(text.lstrip())
     stop = len(text.rstrip())
-    cuts = [c for c in candidates(text, marks) if body < c[0] < stop]
-    depth_at = sorted(_depths(text).items())
+    depth_of, closed = _depths(text)
+    cuts = [c for c in candidates(text, marks, closed) if body < c[0] < stop]
+    depth_at = sorted(depth_of.items())
     depths, k, d = [], 0, 0
     for end, _, _ in cuts:
         while k < len(depth_at) and depth_at[k][0] < end:
@@ -175,9 +195,9 @@ def learn(texts: DataFrame, text: str = "text") -> Marks:
             for t in batch.column(0).to_pylist():
                 if not t or t.isspace():
                     continue
-                heads = [first_word(t, 0), *(first_word(t, m.end()) for m in re.finditer(r"[^\W\d_]{5,}[.!?]\s+(?=[^\W\d_])", t) if not t[m.start() : m.start() + 1].isupper())]
+                heads = [_head(t, 0), *(_head(t, m.end()) for m in re.finditer(r"[^\W\d_]{5,}[.!?]\s+(?=[^\W\d_])", t) if not t[m.start() : m.start() + 1].isupper())]
                 for w in heads:
-                    if w:
+                    if w and "." not in w:
                         seen[w] = seen.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
