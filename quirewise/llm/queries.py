@@ -35,6 +35,18 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(table(spark, d, "sentence"), p3_found(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.names import name_pairs
+
+    return name_pairs(p4_entities(spark, d))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.names import entities
+
+    return entities(table(spark, d, "bib"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_sentences(spark, d).drop("sentence")
 
