@@ -63,14 +63,14 @@ def lcs_ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence by the sum of the lengths."""
     if not a or not b:
         return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return 2 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = v = (1 << len(a)) - 1  # a zero bit for each letter of the subsequence so far, all of a row at once
+    for y in b:
+        u = v & places.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return 2 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
 def parse(name: str) -> tuple[str, str, str] | None:

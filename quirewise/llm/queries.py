@@ -23,6 +23,16 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_forms(table(spark, d, "sentence"), ["paper_id", "text_id"]).select("paper_id", "text_id", "form")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("paper_id", "bib_id", "record_id")
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    from quirewise.llm.matching import match
+
+    return match(table(spark, d, "bib"), table(spark, d, "registry_record"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from quirewise.llm.spans import shared_spans
 
