@@ -8,12 +8,47 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-_WORD = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_BEFORE, _BEHIND = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def java(pattern: str, ignore_case: bool = True) -> str:
-    """The pattern as Spark needs it."""
-    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _WORD)
+    """The pattern as Spark needs it: each ``\\b`` as the edge it is, before or behind a word."""
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for p in parts[1:]:
+        last, follows = out[-1:], p[:1]
+        out += (_BEHIND if last.isalnum() or not (follows.isalnum() or follows in "([\\" and follows) else _BEFORE) + p
+    return ("(?i)" if ignore_case else "") + out
+
+
+def stems(pattern: str, least: int = 3) -> list[str] | None:
+    """Literals of which a matching text must hold one in small letters: the longest of each alternative; null if one has none."""
+    found, runs, run, depth, i = [], [], "", 0, 0
+    while True:
+        c = pattern[i] if i < len(pattern) else None
+        if depth == 0 and c in (None, "|"):
+            best = max([*runs, run], key=len)
+            if len(best) < least:
+                return None
+            found.append(best.lower())
+            runs, run = [], ""
+            if c is None:
+                return sorted(set(found))
+        elif c == "\\":
+            runs, run, i = [*runs, run], "", i + 1
+        elif c == "[":
+            runs, run, i = [*runs, run], "", pattern.index("]", i + 2)
+        elif c == "{":
+            runs, run, i = [*runs, run[:-1]], "", pattern.index("}", i)
+        elif c in "()":
+            runs, run, depth = [*runs, run], "", depth + (1 if c == "(" else -1)
+        elif c in "?*":
+            runs, run = [*runs, run[:-1]], ""
+        elif c in "+.^$":
+            runs, run = [*runs, run], ""
+        elif depth == 0:
+            run += c
+        i += 1
 
 
 @dataclass(frozen=True)

@@ -306,18 +306,30 @@ def dz_interval(t: float, n: float, level: float = 0.95) -> tuple[float | None,
     return tuple(None if b is None else b / math.sqrt(n) for b in bounds)  # type: ignore[return-value]
 
 
-@F.pandas_udf("struct<lo: double, hi: double>")
-def eta2_interval_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Bounds for (f, df1, df2, level)."""
-    for f, a, b, level in batches:
-        yield pd.DataFrame([eta2_interval(*x) for x in zip(f, a, b, level)], columns=["lo", "hi"]).astype("float64")
-
-
-@F.pandas_udf("struct<lo: double, hi: double>")
-def dz_interval_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Bounds for (t, n, level)."""
-    for t, n, level in batches:
-        yield pd.DataFrame([dz_interval(*x) for x in zip(t, n, level)], columns=["lo", "hi"]).astype("float64")
+def _interval_udf(bounds):
+    def batches(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield pd.DataFrame([bounds(*r) for r in zip(*x)], columns=["lo", "hi"]).astype("float64")
+
+    return batches
+
+
+def eta2_interval_udf():
+    """Arrow function of (f, df1, df2, level) for both bounds."""
+
+    def bounds(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from _interval_udf(eta2_interval)(it)
+
+    return F.pandas_udf(bounds, "struct<lo: double, hi: double>")
+
+
+def dz_interval_udf():
+    """Arrow function of (t, n, level) for both bounds."""
+
+    def bounds(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from _interval_udf(dz_interval)(it)
+
+    return F.pandas_udf(bounds, "struct<lo: double, hi: double>")
 
 
 def hamming(a: Column, b: Column) -> Column:
