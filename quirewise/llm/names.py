@@ -76,7 +76,7 @@ def lcs_ratio(a: str, b: str) -> float:
 def parse(name: str) -> tuple[str, str, str] | None:
     """(kind, surname or place, rest) of a spelling: "p" with given names, "o" with the words of an organisation; null without letters."""
     raw = re.sub(r"\s+", " ", name).strip(" ,")
-    if not any(c.isalpha() for c in raw) or fold(raw) in ("et al", "and others", "anonymous"):
+    if not any(c.isalpha() for c in raw) or fold(raw).strip(" .") in ("et al", "and others", "anonymous"):
         return None
     words = re.findall(r"[^\W_]+(?:['’][^\W_]+)*\.?", raw)
     plain = [fold(w).strip(".") for w in words]

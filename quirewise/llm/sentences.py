@@ -27,7 +27,7 @@ _GAP = re.compile(r"\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*")
 _LAST = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*$")
 _TIES = re.compile(rf"[{re.escape(OPEN + CLOSE)}]")
-_THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=[^\s%฀-๿])\s+(?=[฀-๿])")
+_THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])|(?<=[)”\"])\s+(?=[฀-๿])")
 _SKIP = re.compile(rf"[\s{re.escape(OPEN)}\"¿¡—–-]*")
 
 

@@ -79,10 +79,11 @@ def _distinct(texts: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
     return texts.select("owner", "text").mapInArrow(cut, "low long, seg string, owner string, outer boolean").groupBy("low", "seg").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("outer").alias("outer"))
 
 
-def locate(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+def locate(shard: pa.Table, k: int) -> pa.Table:
     """Of one shard (low, seg, lo, hi, outer) the segments that hold recurring windows, with their places as [from, to) pairs."""
     import ahocorasick
 
+    pdf = shard.to_pydict()
     vocabulary: dict[str, int] = {}
     coded = [tuple(vocabulary.setdefault(w, len(vocabulary)) for w in s.split(" ")) for s in pdf["seg"]]
     seen: dict[tuple, list] = {}
@@ -118,7 +119,7 @@ def locate(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
                 out["low"].append(low)
                 out["seg"].append(seg)
                 out["spans"].append(spans)
-    return pd.DataFrame(out)
+    return pa.table({"low": pa.array(out["low"], pa.int64()), "seg": pa.array(out["seg"], pa.string()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))})
 
 
 def _merge(spans: Column) -> Column:
@@ -153,7 +154,7 @@ def shared_spans(records: DataFrame, outside: DataFrame | None = None, owner: st
     found = (
         distinct.withColumn("shard", F.pmod(F.col("low"), F.lit(n_shards)))
         .groupBy("shard")
-        .applyInPandas(lambda pdf: locate(pdf, k), "low long, seg string, spans array<array<int>>")
+        .applyInArrow(lambda shard: locate(shard, k), "low long, seg string, spans array<array<int>>")
         .select("low", F.xxhash64("seg").alias("code"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     kinds = f"o {rec.schema['o'].dataType.simpleString()}, i {rec.schema['i'].dataType.simpleString()}"
