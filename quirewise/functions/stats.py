@@ -71,7 +71,7 @@ def t_p(t: Column, df: Column) -> Column:
 
     def body(x: Column) -> Column:
         small = let(F.atan(F.abs(x["t"]) / F.sqrt(x["v"])), lambda theta: _t_series(x["v"], theta))
-        return F.when(x["v"] <= 0, F.lit(None)).when(x["v"] > MAX_DF, normal_two_sided(x["t"])).otherwise(small)
+        return F.when(x["t"].isNull() | x["v"].isNull() | (x["v"] <= 0), F.lit(None)).when(x["v"] > MAX_DF, normal_two_sided(x["t"])).otherwise(small)
 
     return let(F.struct(t.cast("double").alias("t"), df.cast("double").alias("v")), body)
 
@@ -93,7 +93,7 @@ def f_p(f: Column, df1: Column, df2: Column) -> Column:
         even2 = let(r, lambda q: 1 - F.pow(1 - q, a / 2) * _series((b / 2).cast("int"), F.lit(1.0), lambda k: (a + 2 * k - 2) / (2 * k) * q))
         both = let(F.atan(F.sqrt(a * f / b)), lambda theta: odd(a, b, theta))
         p = F.when(a % 2 == 0, even1).when(b % 2 == 0, even2).otherwise(both)
-        return F.when((a <= 0) | (b <= 0) | (a > MAX_DF) | (b > MAX_DF), F.lit(None)).when(f <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+        return F.when(f.isNull() | a.isNull() | b.isNull() | (a <= 0) | (b <= 0) | (a > MAX_DF) | (b > MAX_DF), F.lit(None)).when(f <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
     return let(F.struct(f.cast("double").alias("f"), df1.cast("double").alias("a"), df2.cast("double").alias("b")), body)
 
@@ -105,7 +105,7 @@ def chi2_p(x: Column, df: Column) -> Column:
         x, v = y["x"], y["v"]
         even = F.exp(-x / 2) * _series((v / 2).cast("int"), F.lit(1.0), lambda k: x / 2 / k)
         odd = let(F.sqrt(x), lambda z: 2 * (1 - normal_cdf(z)) + 2 * F.exp(-x / 2) / math.sqrt(2 * math.pi) * _series(((v - 1) / 2).cast("int"), z, lambda k: x / (2 * k + 1)))
-        return F.when((v <= 0) | (v > MAX_DF), F.lit(None)).when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(v % 2 == 0, even).otherwise(odd))))
+        return F.when(x.isNull() | v.isNull() | (v <= 0) | (v > MAX_DF), F.lit(None)).when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(v % 2 == 0, even).otherwise(odd))))
 
     return let(F.struct(x.cast("double").alias("x"), df.cast("double").alias("v")), body)
 

@@ -49,7 +49,7 @@ def info(xml: DataFrame) -> DataFrame:
     """(paper_id, title, keywords, doi, input_format): scalars of the header, null where missing."""
     one = lambda p: F.nullif(F.trim(F.xpath_string("xml", F.lit(p))), F.lit(""))
     return xml.select(
-        "paper_id", one("/TEI/teiHeader/fileDesc/titleStmt/title[1]").alias("title"), F.filter(F.transform(F.xpath("xml", F.lit("//keywords//term/text()")), F.trim), lambda x: x != "").alias("keywords"), one("//teiHeader//idno[@type='DOI'][1]").alias("doi"), one("//appInfo/application/@ident").alias("input_format")
+        "paper_id", one("/TEI/teiHeader/fileDesc/titleStmt/title[1]").alias("title"), F.filter(F.transform(F.xpath("xml", F.lit("//keywords//term/text()")), lambda x: F.trim(x)), lambda x: x != "").alias("keywords"), one("//teiHeader//idno[@type='DOI'][1]").alias("doi"), one("//appInfo/application/@ident").alias("input_format")
     )
 
 

@@ -13,6 +13,7 @@ from quirewise.functions import text as T
 def arriving(spark: SparkSession, path: str, schema, delay: str = "90 days", files_per_batch: int = 1) -> DataFrame:
     """Sentences as they are loaded, each once: rows that come again within the delay are dropped."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    raw = raw.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
     return raw.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["paper_id", "text_id"])
 
 
