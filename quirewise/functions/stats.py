@@ -339,6 +339,12 @@ def hamming(a: Column, b: Column) -> Column:
 
 def average_hash(pixels: Column, bits: int = 256) -> Column:
     """Average hash as longs of 32 bits each: bit k says whether cell k is at least the mean; arrays are cut or filled to ``bits``."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(pixels))
-    cell = lambda k: F.coalesce(F.try_element_at(pixels, (k + 1).cast("int")), F.lit(-1e30))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits // 32 - 1)), lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, k: s * 2 + F.when(cell(w * 32 + k) >= mean, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+
+    def of(px: Column) -> Column:
+        return let(F.aggregate(px, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(px)), lambda mean: words(px, mean))
+
+    def words(px: Column, mean: Column) -> Column:
+        one = lambda k: F.when(F.coalesce(F.try_element_at(px, k + 1), F.lit(-1e30)) >= mean, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.transform(F.sequence(F.lit(0), F.lit(bits // 32 - 1)), lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, k: s * 2 + one(w * 32 + k)))
+
+    return let(pixels, of)

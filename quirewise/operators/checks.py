@@ -13,6 +13,7 @@ from quirewise.functions import patterns as P
 from quirewise.functions import stats as S
 from quirewise.functions import text as T
 from quirewise.operators import search as Q
+from quirewise.runtime import spread, table
 
 
 
@@ -31,8 +32,6 @@ def _extra(spark: SparkSession, d: str, name: str) -> DataFrame:
     if name == "bib":
         return Q.references(spark, d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_bib"))
     if name == "doi":
-        from quirewise.runtime import table
-
         return table(spark, d, "paper").groupBy("paper_id").agg(F.count_if(F.trim("doi") != "").alias("n_doi"))
     if name == "p":
         return Q.p_values(Q.text_table(spark, d)).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_p"))
@@ -298,11 +297,11 @@ def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k
     the class's smallest item with the others; shorter texts than ``least_words`` are left out.
     """
     g = F.col(group) if group else F.lit(0)
-    base = items.select(g.alias("g"), F.col(item).alias("i"), T.normalise(F.col(text)).alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words)).distinct()
+    base = spread(items).select(g.alias("g"), F.col(item).alias("i"), T.normalise(F.col(text)).alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words))
     classes = base.groupBy("g", "n").agg(F.min("i").alias("i"), F.array_sort(F.collect_set("i")).alias("all"))
     sh = classes.select("g", "i", F.explode(T.shingles(F.col("n"), k)).alias("s")).withColumn("s", F.xxhash64("s"))
-    df = sh.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    sets = sh.join(df, "s").groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    df = sh.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")  # the others stand once: they come first and meet nothing
+    sets = sh.join(df, "s", "left").groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("x"))
     sets = sets.select("g", "i", F.transform("x", lambda y: y["s"]).alias("x"), F.size("x").alias("m"))
     prefix = sets.select("g", "i", "m", F.explode(F.slice("x", F.lit(1), F.col("m") - F.ceil(F.lit(least) * F.col("m")).cast("int") + 1)).alias("s"))
     other = prefix.select("g", "s", F.col("i").alias("j"), F.col("m").alias("m2"))
@@ -324,15 +323,15 @@ def duplicate_check(spark: SparkSession, d: str) -> DataFrame:
     return n.join(some, "paper_id", "left").withColumn("traffic_light", lights((F.col("some").isNull(), "na"), (F.col("duplicate_n") > 0, "yellow"), other="green")).select("paper_id", "duplicate_n", "traffic_light")
 
 
-def image_hashes(images: DataFrame, key: str, pixels: str) -> DataFrame:
-    """(key, hash): average hashes of 256 bits as eight longs."""
-    return images.select(F.col(key).alias("k"), S.average_hash(F.transform(pixels, lambda x: x.cast("double"))).alias("hash"))
+def image_hashes(images: DataFrame, key: str, pixels: str, bits: int = 256) -> DataFrame:
+    """(key, hash): average hashes as longs of 32 bits each."""
+    return spread(images).select(F.col(key).alias("k"), S.average_hash(F.transform(pixels, lambda x: x.cast("double")), bits).alias("hash"))
 
 
-def image_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
+def image_pairs(hashes: DataFrame, most: int = 6, n_bits: int = 256) -> DataFrame:
     """(k_a, k_b, distance): hashes at most ``most`` bits apart. Of most + 1 bands one must be equal, so an equi-join on bands finds all."""
     bits = F.array_join(F.transform("hash", lambda w: F.lpad(F.bin(w), 32, "0")), "")
-    width = -(-256 // (most + 1))
+    width = -(-n_bits // (most + 1))
     classes = hashes.groupBy("hash").agg(F.array_sort(F.collect_list("k")).alias("all")).withColumn("k", F.col("all")[0])
     bands = classes.withColumn("bits", bits).select("k", "hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda b: F.substr(F.col("bits"), b * width + 1, F.lit(width)))).alias("b", "band"))
     pairs = bands.join(bands.select("b", "band", F.col("k").alias("k2"), F.col("hash").alias("hash2")), ["b", "band"]).filter(F.col("k") < F.col("k2")).select("k", "k2", "hash", "hash2").distinct()
@@ -341,8 +340,8 @@ def image_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
     return near.unionByName(same)
 
 
-def image_forensic_check(hashes: DataFrame, most: int = 6) -> DataFrame:
+def image_forensic_check(hashes: DataFrame, most: int = 6, n_bits: int = 256) -> DataFrame:
     """Summary over a set of images: how many, how many look like another."""
-    p = image_pairs(hashes, most)
+    p = image_pairs(hashes, most, n_bits)
     dup = p.select(F.col("k_a").alias("k")).union(p.select("k_b")).distinct().agg(F.count(F.lit(1)).alias("duplicate_images"))
     return hashes.agg(F.count(F.lit(1)).alias("image_n")).join(dup, F.lit(True)).withColumn("traffic_light", lights((F.col("image_n") == 0, "na"), (F.col("duplicate_images") > 0, "red"), other="green"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quirewise.functions import patterns as P
 from quirewise.functions import text as T
-from quirewise.runtime import table
+from quirewise.runtime import materialise, table
 
 KEYS = ["paper_id", "section_id", "paragraph_id", "text_id"]
 
@@ -37,8 +39,25 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("paper_id", "bib_id").agg(latest).select("paper_id", "bib_id", "r.*")
 
 
+_shared: dict[tuple[str, str], DataFrame] = {}
+
+
+@contextmanager
+def sharing(spark: SparkSession, d: str) -> Iterator[None]:
+    """Within it all operators read one written copy of the searchable text, instead of each scanning and deduplicating anew."""
+    key = (spark.sparkContext.applicationId, d)
+    _shared[key] = materialise(text_table(spark, d).drop("formatted", "page_number"))
+    try:
+        yield
+    finally:
+        del _shared[key]
+
+
 def text_table(spark: SparkSession, d: str, include_refs: bool = False) -> DataFrame:
     """Sentences with header and type of their section; the reference list is left out. Null texts never match anything."""
+    shared = _shared.get((spark.sparkContext.applicationId, d))
+    if shared is not None and not include_refs:
+        return shared
     out = sentences(spark, d).join(sections(spark, d), ["paper_id", "section_id"], "left")
     return out if include_refs else out.filter(F.coalesce("section_type", F.lit("")) != "references")
 

@@ -315,21 +315,22 @@ query(None, "duplicate_check")(C.duplicate_check)
 @query()
 def near_duplicate_documents(s: SparkSession, d: str) -> DataFrame:
     """Pairs of classes of equal shingles, and of a class's first document with its copies."""
-    return C.near_duplicates(table(s, d, "documents"), None, "doc_id", "text", 5, 0.8, 5)
+    return C.near_duplicates(table(s, d, "documents").filter("text IS NOT NULL"), None, "doc_id", "text", 5, 0.8, 5)
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
-    return C.image_hashes(table(s, d, "embeddings").filter("embedding IS NOT NULL"), "vec_id", "embedding")
+    """Hashes of the vectors of 64 numbers, as of pictures of 8 by 8 cells."""
+    return C.image_hashes(table(s, d, "embeddings").filter("embedding IS NOT NULL"), "vec_id", "embedding", 64)
 
 
 @query()
 def image_hash_pairs(s: SparkSession, d: str) -> DataFrame:
-    return C.image_pairs(_hashes(s, d), 6)
+    return C.image_pairs(_hashes(s, d), 6, 64)
 
 
 @query()
 def image_forensic_check(s: SparkSession, d: str) -> DataFrame:
-    return C.image_forensic_check(_hashes(s, d))
+    return C.image_forensic_check(_hashes(s, d), 6, 64)
 
 
 # --- references ---
@@ -403,10 +404,11 @@ OTHERS = {
 
 
 def verdicts(s: SparkSession, d: str) -> DataFrame:
-    """(paper_id, check, traffic_light) of every check on every paper."""
-    out = C.keyword_verdicts(s, d)
-    for n in OTHERS:
-        out = out.unionByName(_QUERIES[n](s, d).select("paper_id", F.lit(n).alias("check"), "traffic_light"))
+    """(paper_id, check, traffic_light) of every check on every paper, all over one copy of the text."""
+    with Q.sharing(s, d):
+        out = C.keyword_verdicts(s, d)
+        for n in OTHERS:
+            out = out.unionByName(_QUERIES[n](s, d).select("paper_id", F.lit(n).alias("check"), "traffic_light"))
     return out
 
 

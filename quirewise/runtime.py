@@ -37,6 +37,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def count_rows(df: DataFrame) -> int:
-    """Rows of ``df``; on a bare parquet scan Spark answers from the footers."""
-    return df.count()
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than there are; larger inputs stay as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
