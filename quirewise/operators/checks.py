@@ -289,6 +289,12 @@ def duplicate_sentences(spark: SparkSession, d: str, least_words: int = 12) -> D
     return g.filter("n_paragraphs >= 2").select("paper_id", "text", "n", "n_paragraphs", "sections")
 
 
+def members(rows: DataFrame, heads: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Rows with the one head of their key; the rows of a key are spread by salts, so no task gets all copies of anything."""
+    salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash(by), F.lit(salts))).join(salted, [*keys, "salt"]).drop("salt")
+
+
 def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k: int = 5, least: float = 0.65, least_words: int = 12) -> DataFrame:
     """(group, item_a, item_b, similarity): pairs of texts, within a group or over all, whose shingle sets have a Jaccard of ``least`` or more.
 
@@ -298,7 +304,8 @@ def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k
     """
     g = F.col(group) if group else F.lit(0)
     base = spread(items).select(g.alias("g"), F.col(item).alias("i"), T.normalise(F.col(text)).alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words))
-    classes = base.groupBy("g", "n").agg(F.min("i").alias("i"), F.array_sort(F.collect_set("i")).alias("all"))
+    base = base.withColumn("c", F.md5("n"))
+    classes = base.groupBy("g", "c").agg(F.min("i").alias("i"), F.min("n").alias("n"), F.max("i").alias("last"))
     sh = classes.select("g", "i", F.explode(T.shingles(F.col("n"), k)).alias("s")).withColumn("s", F.xxhash64("s"))
     df = sh.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")  # the others stand once: they come first and meet nothing
     sets = sh.join(df, "s", "left").groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("x"))
@@ -309,7 +316,7 @@ def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k
     cand = prefix.join(other, ["g", "s"]).filter((F.col("i") < F.col("j")) & (F.col("m") >= least * F.col("m2")) & (F.col("m2") >= least * F.col("m"))).select("g", "i", "j").distinct()
     both = cand.join(sets.select("g", "i", "x"), ["g", "i"]).join(sets.select("g", F.col("i").alias("j"), F.col("x").alias("y")), ["g", "j"])
     similar = both.withColumn("similarity", T.jaccard(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least).select("g", "i", "j", "similarity")
-    equal = classes.filter(F.size("all") > 1).select("g", "i", F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("j"), F.lit(1.0).alias("similarity"))
+    equal = members(base.select("g", "c", F.col("i").alias("j")), classes.filter("i <> last").select("g", "c", "i"), ["g", "c"], "j").filter("i <> j").distinct().select("g", "i", "j", F.lit(1.0).alias("similarity"))
     out = similar.unionByName(equal).select(*([F.col("g").alias(group)] if group else []), F.col("i").alias(f"{item}_a"), F.col("j").alias(f"{item}_b"), F.round("similarity", 6).alias("similarity"))
     return out
 
@@ -332,11 +339,12 @@ def image_pairs(hashes: DataFrame, most: int = 6, n_bits: int = 256) -> DataFram
     """(k_a, k_b, distance): hashes at most ``most`` bits apart. Of most + 1 bands one must be equal, so an equi-join on bands finds all."""
     bits = F.array_join(F.transform("hash", lambda w: F.lpad(F.bin(w), 32, "0")), "")
     width = -(-n_bits // (most + 1))
-    classes = hashes.groupBy("hash").agg(F.array_sort(F.collect_list("k")).alias("all")).withColumn("k", F.col("all")[0])
+    classes = hashes.groupBy("hash").agg(F.min("k").alias("k"), F.max("k").alias("last"))
     bands = classes.withColumn("bits", bits).select("k", "hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda b: F.substr(F.col("bits"), b * width + 1, F.lit(width)))).alias("b", "band"))
     pairs = bands.join(bands.select("b", "band", F.col("k").alias("k2"), F.col("hash").alias("hash2")), ["b", "band"]).filter(F.col("k") < F.col("k2")).select("k", "k2", "hash", "hash2").distinct()
     near = pairs.withColumn("distance", S.hamming(F.col("hash"), F.col("hash2"))).filter(F.col("distance") <= most).select(F.col("k").alias("k_a"), F.col("k2").alias("k_b"), "distance")
-    same = classes.filter(F.size("all") > 1).select(F.col("k").alias("k_a"), F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("k_b"), F.lit(0).alias("distance"))
+    copies = members(hashes.select(F.col("k").alias("k_b"), "hash"), classes.filter("k <> last").select(F.col("k").alias("k_a"), "hash"), ["hash"], "k_b")
+    same = copies.filter("k_a <> k_b").select("k_a", "k_b", F.lit(0).alias("distance"))
     return near.unionByName(same)
 
 
