@@ -12,11 +12,15 @@ from pyspark.sql.window import Window
 from quirewise.functions import patterns as P
 from quirewise.functions import text as T
 from quirewise.operators import checks as C
+from quirewise.operators import joins as J
 from quirewise.operators import overlap as O
 from quirewise.operators import refs as R
+from quirewise.operators import report as RP
+from quirewise.operators import runner
 from quirewise.operators import search as Q
 from quirewise.plans import relational
 from quirewise.plans import sql as S
+from quirewise.sources import files as FS
 from quirewise.runtime import table
 
 FLAGSHIP = "overlap_light"
@@ -236,6 +240,33 @@ def code_check(s: SparkSession, d: str) -> DataFrame:
     return R.code_check(table(s, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.when(i == 0, "a.R").when(i == 1, "b.py").otherwise("c.do").alias("name"), F.col("text").alias("content")))
 
 
+@query(f"WITH {_LINKS}, {S.urls('links')} SELECT url, code, CASE WHEN code IS NULL OR code = 0 THEN 'unreachable' WHEN code < 400 THEN 'ok' WHEN code IN (401, 403, 405, 429, 999) THEN 'manual' ELSE 'error' END AS state FROM (SELECT DISTINCT url, CASE length(url) % 5 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 0 END AS code FROM urls)")
+def link_states(s: SparkSession, d: str) -> DataFrame:
+    u = Q.urls(_links(s, d))
+    k = F.length("url") % 5
+    status = u.select("url").distinct().select("url", F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 403).when(k == 3, 0).alias("code")).filter("code IS NOT NULL")
+    return FS.link_states(u, status)
+
+
+# --- joins ---
+
+
+@query("SELECT e.event_id, e.user_id, p.value AS last_value, p.event_id AS last_event FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def join_as_of(s: SparkSession, d: str) -> DataFrame:
+    """Every other event with the user's last purchase before it."""
+    e = table(s, d, "events")
+    right = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_event"), F.col("value").alias("last_value"))
+    return J.as_of(e.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), right, ["user_id"], "ts", ["last_event", "last_value"]).select("event_id", "user_id", "last_value", "last_event")
+
+
+@query("SELECT p.p_partkey, l.l_orderkey, l.l_linenumber FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey WHERE l.l_quantity >= p.p_size AND l.l_quantity < p.p_size + 5")
+def join_within(s: SparkSession, d: str) -> DataFrame:
+    """Order lines whose quantity lies in the interval [size, size + 5) of their part."""
+    points = table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    spans = table(s, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("lo"), (F.col("p_size") + 5).cast("long").alias("hi"))
+    return J.within(points, spans, ["p_partkey"], "q", "lo", "hi", 5).select("p_partkey", "l_orderkey", "l_linenumber")
+
+
 # --- checks ---
 
 for _name in P.CHECKS:
@@ -393,6 +424,19 @@ query(f"{_OV}, {_PH}, {_SEL_P} SELECT * FROM sel", "select_phrases")(lambda s, d
 query(f"{_OV}, {_PH}, gr AS (SELECT DISTINCT source_id, gram AS phrase FROM ({S.grams('lib', 'source_id', 9)})), dfp AS (SELECT phrase, count(*) AS hits FROM gr GROUP BY 1 HAVING count(*) <= 25) SELECT paper_id, source_id, count(*) AS n_phrases, round(sum(1.0 / hits), 6) AS score FROM (SELECT DISTINCT paper_id, phrase FROM phr) JOIN gr USING (phrase) JOIN dfp USING (phrase) GROUP BY 1, 2", "phrase_candidates")(lambda s, d: O.retrieve_candidates(s, d, O.eligible_phrases(s, d)))
 query(f"{_OV}, {_PH} SELECT paper_id, count(*) FILTER (WHERE r1) AS n_now, count(*) FILTER (WHERE r2) AS n_before, count(*) AS n_either FROM (SELECT paper_id, phrase, bool_or(rank = 1) AS r1, bool_or(rank = 2) AS r2 FROM phr WHERE rank <= 2 GROUP BY 1, 2) GROUP BY 1", "phrase_history")(lambda s, d: (lambda p: O.phrase_history(p.filter("rank = 2"), p.filter("rank = 1")))(O.eligible_phrases(s, d)))
 
+@query(f"{_OV} SELECT paper_id, text_id, len(w) AS n_tokens, len(list_filter(w, lambda x: x = '§')) AS n_masks FROM ms")
+def quote_citation_mask(s: SparkSession, d: str) -> DataFrame:
+    return O.manuscripts(s, d).select("paper_id", "text_id", F.size("w").alias("n_tokens"), F.size(F.filter("w", lambda x: x == "§")).alias("n_masks"))
+
+
+@query(f"{B} SELECT paper_id, flag, string_agg(left(text, 150), '; ' ORDER BY text_id) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, flag ORDER BY text_id) AS k FROM (" + " UNION ALL ".join(f"SELECT paper_id, text_id, text, '{f}' AS flag FROM body WHERE {S.flag(f)}" for f in P.FLAGS) + ")) WHERE k <= 2 GROUP BY 1, 2")
+def check_examples(s: SparkSession, d: str) -> DataFrame:
+    """The first two sentences of every flag in a paper: a top-k report."""
+    hits = C.keyword_hits(s, d).join(Q.sentences(s, d).select("paper_id", "text_id", "text"), ["paper_id", "text_id"])
+    k = F.row_number().over(Window.partitionBy("paper_id", "flag").orderBy("text_id"))
+    return hits.withColumn("k", k).filter("k <= 2").groupBy("paper_id", "flag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text_id", F.substring("text", 1, 150).alias("t")))), lambda x: x["t"]), "; ").alias("examples"))
+
+
 # --- verdicts ---
 
 SECTIONS = ["Statistical reporting", "Forensic metascience", "Open science & transparency", "Data & content integrity", "Social science methodology", "Disclosures", "References"]
@@ -430,3 +474,19 @@ def check_catalog(s: SparkSession, d: str | None = None) -> DataFrame:
 
 
 query(None, "check_catalog")(check_catalog)
+
+
+@query()
+def report_rows(s: SparkSession, d: str) -> DataFrame:
+    """The verdicts of all papers with label, section and place in the report."""
+    return RP.report_rows(verdicts(s, d), check_catalog(s))
+
+
+@query()
+def report_json(s: SparkSession, d: str) -> DataFrame:
+    """One JSON text a paper with its checks in the order of the report."""
+    return RP.to_json(RP.report_rows(C.keyword_verdicts(s, d), check_catalog(s)))
+
+
+for _n in [*P.CHECKS, *OTHERS]:
+    runner.register(_n)(_QUERIES[_n])

@@ -45,6 +45,13 @@ def pdf_text(content: bytes) -> str | None:
     return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages) or None
 
 
+def article_text(xml):
+    """Text of an article's full-text XML without its reference list, tables and front matter."""
+    for tag in ("front", "ref-list", "table-wrap", "xref"):
+        xml = F.regexp_replace(xml, rf"(?s)<{tag}[ >].*?</{tag}>", " ")
+    return T.strip_tags(xml)
+
+
 def texts(files: DataFrame) -> DataFrame:
     """(path, text, title, doi): texts by format; mark-up and plain text in the JVM, the others in Arrow batches."""
     marked = files.filter(F.col("kind") == "markup").select("path", T.html_to_text(F.decode("content", "UTF-8")).alias("text"), F.nullif(T.strip_tags(F.regexp_extract(F.decode("content", "UTF-8"), r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")).alias("title"))
