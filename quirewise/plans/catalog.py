@@ -340,10 +340,13 @@ aff AS (SELECT paper_id, fund, list_bool_or(list_transform(w, lambda k: contains
 )(lambda s, d: C.funding_coi_affiliation_check(s, d, table(s, d, "bib").filter("publisher IS NOT NULL").select("paper_id", F.col("publisher").alias("affiliation"))))
 _DS = f"ds AS (SELECT paper_id, arg_min(text, text_id) AS text, count(*) AS n, count(DISTINCT paragraph_id) AS n_paragraphs, array_to_string(list_sort(list_distinct(list(coalesce(section_type, '')))), ';') AS sections FROM (SELECT *, {S.norm('text')} AS nrm FROM body) WHERE len(string_split(nrm, ' ')) >= 12 GROUP BY paper_id, nrm HAVING count(DISTINCT paragraph_id) >= 2)"
 query(f"{B}, {_DS} SELECT * FROM ds", "duplicate_sentences")(C.duplicate_sentences)
-query(None, "duplicate_check")(C.duplicate_check)
+query(
+    f"{B}, {_DS}, {S.near('body', 'paper_id', 'text_id', 0.65, 12)} SELECT paper_id, coalesce(e, 0) + coalesce(f, 0) AS duplicate_n, CASE WHEN NOT has_text THEN 'na' WHEN coalesce(e, 0) + coalesce(f, 0) > 0 THEN 'yellow' ELSE 'green' END AS traffic_light FROM (SELECT p.paper_id, e, f, s.paper_id IS NOT NULL AS has_text FROM papers p LEFT JOIN (SELECT paper_id, count(*) AS e FROM ds GROUP BY 1) x USING (paper_id) LEFT JOIN (SELECT g AS paper_id, count(*) AS f FROM near GROUP BY 1) y USING (paper_id) LEFT JOIN (SELECT DISTINCT paper_id FROM body WHERE length(trim(text)) > 0) s ON s.paper_id = p.paper_id)",
+    "duplicate_check",
+)(C.duplicate_check)
 
 
-@query()
+@query(f"WITH {S.near('documents', '0', 'doc_id', 0.8, 5)} SELECT a AS doc_id_a, b AS doc_id_b, round(sim, 6) AS similarity FROM near")
 def near_duplicate_documents(s: SparkSession, d: str) -> DataFrame:
     """Pairs of classes of equal shingles, and of a class's first document with its copies."""
     return C.near_duplicates(table(s, d, "documents").filter("text IS NOT NULL"), None, "doc_id", "text", 5, 0.8, 5)
@@ -354,12 +357,12 @@ def _hashes(s: SparkSession, d: str) -> DataFrame:
     return C.image_hashes(table(s, d, "embeddings").filter("embedding IS NOT NULL"), "vec_id", "embedding", 64)
 
 
-@query()
+@query(f"WITH {S.HASHES} SELECT * FROM hp")
 def image_hash_pairs(s: SparkSession, d: str) -> DataFrame:
     return C.image_pairs(_hashes(s, d), 6, 64)
 
 
-@query()
+@query(f"WITH {S.HASHES} SELECT image_n, duplicate_images, CASE WHEN image_n = 0 THEN 'na' WHEN duplicate_images > 0 THEN 'red' ELSE 'green' END AS traffic_light FROM (SELECT (SELECT count(*) FROM hb) AS image_n, (SELECT count(*) FROM (SELECT k_a FROM hp UNION SELECT k_b FROM hp)) AS duplicate_images)")
 def image_forensic_check(s: SparkSession, d: str) -> DataFrame:
     return C.image_forensic_check(_hashes(s, d), 6, 64)
 
@@ -465,18 +468,23 @@ def legend_counts(s: SparkSession, d: str) -> DataFrame:
     return verdicts(s, d).groupBy("check", "traffic_light").agg(F.count(F.lit(1)).alias("n"))
 
 
-def check_catalog(s: SparkSession, d: str | None = None) -> DataFrame:
-    """(check, label, section, ord, online): the catalogue of checks in the order of the report; checks without a section come last."""
+def _catalogue() -> list[tuple[str, str, str | None, int, bool]]:
     online = {"repo_check", "code_check", "prereg_check", "ref_accuracy", "ref_replication", "ref_retraction", "ref_pubpeer"}
     rows = [(n, c.label, c.section) for n, c in P.CHECKS.items()] + [(n, n.replace("_", " "), SECTIONS[k]) for n, k in OTHERS.items()] + [(n, n.replace("_", " "), k) for n, k in (("all_urls", None), ("csf_check", SECTIONS[1]), ("test_recalc", SECTIONS[1]), ("duplicate_check", SECTIONS[3]), ("image_forensic_check", SECTIONS[3]), ("repo_check", SECTIONS[2]), ("code_check", SECTIONS[2]), ("prereg_check", SECTIONS[2]), ("ref_summary", SECTIONS[6]))]
     rows.sort(key=lambda r: (SECTIONS.index(r[2]) if r[2] else len(SECTIONS), r[0]))
-    return s.createDataFrame([(n, lab, sec, i, n in online) for i, (n, lab, sec) in enumerate(rows)], "check string, label string, section string, ord int, online boolean")
+    return [(n, lab, sec, i, n in online) for i, (n, lab, sec) in enumerate(rows)]
 
 
-query(None, "check_catalog")(check_catalog)
+def check_catalog(s: SparkSession, d: str | None = None) -> DataFrame:
+    """(check, label, section, ord, online): the catalogue of checks in the order of the report; checks without a section come last."""
+    return s.createDataFrame(_catalogue(), "check string, label string, section string, ord int, online boolean")
 
 
-@query()
+_CAT = 'cat("check", label, section, ord, online) AS (VALUES ' + ", ".join(f"({S.q(n)}, {S.q(lab)}, {S.q(sec) if sec else 'CAST(NULL AS VARCHAR)'}, {i}, {str(on).lower()})" for n, lab, sec, i, on in _catalogue()) + ")"
+query(f"WITH {_CAT} SELECT * FROM cat", "check_catalog")(check_catalog)
+
+
+@query(f'WITH {_CAT} SELECT v.paper_id, coalesce(c.ord, 10000) AS ord, v."check", coalesce(c.label, v."check") AS label, c.section, v.traffic_light FROM ({_VS}) v LEFT JOIN cat c USING ("check")')
 def report_rows(s: SparkSession, d: str) -> DataFrame:
     """The verdicts of all papers with label, section and place in the report."""
     return RP.report_rows(verdicts(s, d), check_catalog(s))

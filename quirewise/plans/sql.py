@@ -222,3 +222,20 @@ top AS (SELECT paper_id, max(coverage) AS top FROM sources WHERE NOT same_work G
 uni AS (SELECT paper_id, n_scored, coalesce(covered, 0) AS covered, coalesce(covered_uncited, 0) AS covered_uncited, coalesce(top, 0) AS top, CASE WHEN n_scored > 0 THEN round(coalesce(covered, 0) / n_scored, 6) ELSE 0 END AS score, CASE WHEN n_scored > 0 THEN round(coalesce(covered_uncited, 0) / n_scored, 6) ELSE 0 END AS score_uncited FROM scored LEFT JOIN per USING (paper_id) LEFT JOIN top USING (paper_id)),
 ovl AS (SELECT paper_id, coalesce(n_scored, 0) AS n_scored, coalesce(covered, 0) AS covered, coalesce(covered_uncited, 0) AS covered_uncited, coalesce(top, 0) AS top, coalesce(score, 0) AS score, coalesce(score_uncited, 0) AS score_uncited, CASE WHEN coalesce(n_scored, 0) = 0 THEN 'na' WHEN score_uncited >= 0.15 OR top >= 0.15 THEN 'red' WHEN score_uncited >= 0.05 OR top >= 0.08 THEN 'yellow' ELSE 'green' END AS traffic_light FROM papers LEFT JOIN uni USING (paper_id))"""
 AFF_STOP = "[" + ", ".join(map(q, AFFILIATION_STOPWORDS)) + "]"
+
+
+def near(frm: str, group: str, item: str, least: float, least_words: int, k: int = 5) -> str:
+    """CTE ``near``: pairs of classes of equal normalised texts by Jaccard of their shingles, and of a class's first item with the others."""
+    return f"""nb AS (SELECT {group} AS g, {item} AS i, {norm('text')} AS n FROM {frm} WHERE text IS NOT NULL),
+nc AS (SELECT g, n, min(i) AS i, list_filter(string_split(n, ' '), lambda x: x <> '') AS w FROM nb WHERE n <> '' AND len(string_split(n, ' ')) >= {least_words} GROUP BY g, n),
+nsh AS (SELECT DISTINCT g, i, unnest(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda j: array_to_string(list_slice(w, j, j + {k - 1}), ' '))) AS s FROM nc),
+nn AS (SELECT g, i, count(*) AS m FROM nsh GROUP BY 1, 2),
+np AS (SELECT a.g, a.i, b.i AS j, count(*) AS c FROM nsh a JOIN nsh b ON a.g = b.g AND a.s = b.s AND a.i < b.i GROUP BY 1, 2, 3),
+near AS (SELECT np.g, np.i AS a, np.j AS b, c / (x.m + y.m - c) AS sim FROM np JOIN nn x ON x.g = np.g AND x.i = np.i JOIN nn y ON y.g = np.g AND y.i = np.j WHERE c / (x.m + y.m - c) >= {least}
+  UNION ALL SELECT DISTINCT nb.g, nc.i, nb.i, 1.0 FROM nb JOIN nc ON nb.g = nc.g AND nb.n = nc.n WHERE nb.i <> nc.i)"""
+
+
+HASHES = """hb AS (SELECT vec_id AS k, list_transform(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x: x >= list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) / len(embedding)) AS b FROM embeddings WHERE embedding IS NOT NULL),
+hc AS (SELECT b, min(k) AS k FROM hb GROUP BY 1),
+hp AS (SELECT x.k AS k_a, y.k AS k_b, len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) AS distance FROM hc x JOIN hc y ON x.k < y.k WHERE len(list_filter(range(1, 65), lambda i: x.b[i] <> y.b[i])) <= 6
+  UNION ALL SELECT hc.k, hb.k, 0 FROM hb JOIN hc USING (b) WHERE hb.k <> hc.k)"""
