@@ -46,6 +46,8 @@ ORG_WORDS = {"institute": "inst", "centre": "ctr", "center": "ctr", "department"
 ORG_SHORT = {"inst", "ctr", "dept", "soc", "lab", "cons", "consort", "univ", "assoc", "comm", "cent", "labor", "depart"}
 ORG_EMPTY = {"the", "of", "for", "and", "in", "fur", "pour", "de"}
 MIN_SUFFIX, MIN_RATIO = 3, 0.84
+#: Given names that so large a share of the surnames (but at least so many) goes with are names of their own, no misprints.
+KNOWN_SHARE, KNOWN_LEAST = 0.003, 4
 
 
 def fold(s: str) -> str:
@@ -106,8 +108,9 @@ def parse(name: str) -> tuple[str, str, str] | None:
     return ("p", surname, " ".join(g)) if surname.strip(".") else None
 
 
-def _given(x: str, y: str) -> float:
-    """How well two given names agree: 1 equal, less for initials, short forms and misprints, 0 for a conflict."""
+def _given(x: str, y: str, known: frozenset[str] = frozenset()) -> float:
+    """How well two given names agree: 1 equal, less for initials, short forms and misprints, 0 for a conflict. Two ``known`` names are
+    no misprints of each other."""
     a, b = sorted((x, y), key=len)
     if x == y:
         return 1.0
@@ -122,12 +125,16 @@ def _given(x: str, y: str) -> float:
         return 0.95
     if flat(a) == flat(b):
         return 0.95
+    if a in known and b in known:
+        return 0.0
     if any(lcs_ratio(n, z) > 0.87 for z, w in ((a, b), (b, a)) for n in NICK.get(w, ())):
         return 0.7
+    if len(a) == len(b) == 3 and a[0] == b[0] and (a[1] == b[1] or sorted(a) == sorted(b)):
+        return 0.7
     return 0.7 if len(a) >= 3 and abs(len(a) - len(b)) <= 2 and lcs_ratio(a, b) >= 0.75 and (len(a) > 3 or a[0] == b[0]) else 0.0
 
 
-def agree_person(s1: str, g1: str, s2: str, g2: str) -> float:
+def agree_person(s1: str, g1: str, s2: str, g2: str, known: frozenset[str] = frozenset()) -> float:
     """Agreement of two persons' forms, 0 for a conflict; at most one part may hold a misprint."""
     if s1 == s2 or flat(s1) == flat(s2):
         s = 1.0
@@ -142,7 +149,7 @@ def agree_person(s1: str, g1: str, s2: str, g2: str) -> float:
     a, b = g1.split(), g2.split()
     if not a or not b:
         return 0.0
-    got = [_given(x, y) for x, y in zip(a, b)]
+    got = [_given(x, y, known) for x, y in zip(a, b)]
     if min(got) == 0:
         return 0.0
     if s < 0.9 and min(got) == 0.7:
@@ -239,6 +246,11 @@ def entities(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"),
     counts = works.groupBy("form").agg(F.sum("n").alias("n"))
     forms = materialise(names.select("form", "kind", "surname", "rest").distinct().join(counts, "form"))
 
+    first = forms.filter("kind = 'p'").select("surname", F.split("rest", " ")[0].alias("given")).distinct()
+    per = first.filter((F.length("given") > 2) & ~F.col("given").endswith(".")).groupBy("given").agg(F.count(F.lit(1)).alias("n"))
+    least = max(KNOWN_LEAST, KNOWN_SHARE * first.count())
+    known = frozenset(r["given"] for r in per.filter(F.col("n") >= least).collect())  # at most 1 / KNOWN_SHARE of them
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(f, k) for f, *x in zip(*(c.to_pylist() for c in batch.columns)) for k in block_keys(*x)]
@@ -253,7 +265,7 @@ def entities(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"),
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
-            got = [agree_person(a, b, c, e) if k == "p" else agree_org(b, e) for k, a, b, c, e in zip(d["kind"], d["s1"], d["r1"], d["s2"], d["r2"])]
+            got = [agree_person(a, b, c, e, known) if k == "p" else agree_org(b, e) for k, a, b, c, e in zip(d["kind"], d["s1"], d["r1"], d["s2"], d["r2"])]
             t = pa.RecordBatch.from_arrays([batch.column("form"), batch.column("other"), batch.column("n1"), batch.column("n2"), pa.array(got, pa.float64())], ["form", "other", "n1", "n2", "score"])
             yield t.filter(pa.compute.greater(t.column("score"), 0))
 
