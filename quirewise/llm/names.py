@@ -33,7 +33,7 @@ jennifer: jenny jen; johannes: hannes hans; john: jack johnny; jose: pepe; josep
 kenneth: ken; leonard: len leo; lawrence: larry; ludwig: lutz; margaret: peggy maggie meg; maria: mia; matthew: matt; mehmet: memo;
 michael: mike mick; nicholas: nick nico; omar: omi; oscar: ossie; patricia: pat patty trish tricia; pavel: pasha; peter: pete; philip: phil;
 rebecca: becky; richard: dick rick rich; robert: bob rob bobby bert; samuel: sam sammy; sergei: seryozha; stephen: steve; susan: sue susie; susanna: sue susie susi; svetlana: sveta;
-theodore: ted theo; thomas: tom tommy; timothy: tim; tomas: tomi; victoria: vicky vic; vladimir: volodya vova; wilhelm: willi willy; william: bill will billy;
+theodore: ted theo; thomas: tom tommy tomas; timothy: tim; tomas: tomi tom; victoria: vicky vic; vladimir: volodya vova; wilhelm: willi willy; william: bill will billy;
 yekaterina: katya katja; ekaterina: katya; ottilie: tilly tilli; ines: nines; nuria: nuri; priya: pri; andre: dre; clara: klara
 """
 NICK: dict[str, set[str]] = {}
