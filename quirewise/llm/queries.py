@@ -99,5 +99,19 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_WORDS = "list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')"
+_SPANS = f"""WITH row_ AS (SELECT DISTINCT paper_id, text_id, {_WORDS} AS w FROM sentence), out_ AS (SELECT {_WORDS} AS w FROM source_text),
+win AS (SELECT paper_id, text_id, pos, array_to_string(list_slice(w, pos + 1, pos + 12), ' ') AS gram FROM (SELECT *, unnest(range(0, len(w) - 11)) AS pos FROM row_ WHERE len(w) >= 12)),
+osrc AS (SELECT DISTINCT array_to_string(list_slice(w, pos + 1, pos + 12), ' ') AS gram FROM (SELECT *, unnest(range(0, len(w) - 11)) AS pos FROM out_ WHERE len(w) >= 12)),
+hit AS (SELECT paper_id, text_id, pos FROM win WHERE gram IN (SELECT gram FROM win GROUP BY 1 HAVING count(DISTINCT paper_id) > 1) OR gram IN (SELECT gram FROM osrc)),
+isle AS (SELECT *, sum(CASE WHEN pos - before <= 12 THEN 0 ELSE 1 END) OVER (PARTITION BY paper_id, text_id ORDER BY pos) AS k FROM (SELECT *, lag(pos) OVER (PARTITION BY paper_id, text_id ORDER BY pos) AS before FROM hit)),
+found AS (SELECT paper_id, text_id, CAST(min(pos) AS INT) AS start_word, CAST(max(pos) + 12 AS INT) AS end_word FROM isle GROUP BY paper_id, text_id, k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    """SQL where it can express a query on whole tables; the others are tested by brute force, round trips or hand-made cases."""
+    return {
+        "p3_found": f"{_SPANS} SELECT * FROM found",
+        "p3_coverage": f"{_SPANS} SELECT paper_id, text_id, n_words, coalesce(s, 0) AS shared_words, coalesce(c, 0) AS n_spans, CASE WHEN n_words > 0 THEN coalesce(s, 0) / n_words ELSE 0 END AS coverage FROM (SELECT paper_id, text_id, max(len(w)) AS n_words FROM row_ GROUP BY 1, 2) LEFT JOIN (SELECT paper_id, text_id, CAST(sum(end_word - start_word) AS BIGINT) AS s, count(*) AS c FROM found GROUP BY 1, 2) USING (paper_id, text_id)",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    }

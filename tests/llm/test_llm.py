@@ -329,3 +329,20 @@ def test_every_query_runs_on_the_smallest_tables(spark, data):
         df = f(spark, data)
         assert df.columns == fixed.get(k, df.columns), k
         assert df.count() >= 0, k
+
+
+@pytest.mark.parametrize("name", sorted(QS.oracle_sql()))
+def test_queries_equal_their_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    df = QS.queries()[name](spark, data)
+    columns = sorted(df.columns)
+    rel = con.execute(QS.oracle_sql()[name])
+    at = [[c[0] for c in rel.description].index(c) for c in columns]
+    assert sorted(map(repr, map(list, df.select(*columns).collect()))) == sorted(repr([r[i] for i in at]) for r in rel.fetchall())
