@@ -133,7 +133,7 @@ def candidates(text: str, marks: Marks, closing: set[int]) -> list[tuple[int, in
         elif strong or ";" in mark:
             score = 5.0
         elif shut:
-            name = len(after) == 1 and text[start:].startswith(after + ".") or after in marks.short or re.match(r"(?:[^\W\d_]\.)+", text[start : start + 12]) is not None
+            name = len(after) == 1 and text.startswith(after + ".", _SKIP.match(text, start).end()) or len(after) > 1 and after in marks.short or re.match(r"(?:[^\W\d_]\.)+", text[start : start + 12]) is not None
             score = -3.0 if name else 4.0
         elif marks.is_short(last) and not (last.isdigit() and (len(last) > 2 or re.search(r"[.,=<>≤≥]\s?$", text[: m.start() - len(last)][-2:]))):
             score = 3.0 if marks.opens(_head(text, start)) and after[:1].isupper() and follows not in "([（" else -5.0
@@ -141,7 +141,7 @@ def candidates(text: str, marks: Marks, closing: set[int]) -> list[tuple[int, in
             score = 5.0
         if shut and (strong or dots) and after[:1].isupper() and re.match(r"(?:[^\W\d_]\.)+", text[start : start + 12]):
             score = -3.0
-        elif shut and strong and after in marks.short:
+        elif shut and strong and len(after) > 1 and after in marks.short:
             score = -3.0
         out.append((end, start, score))
     for m in _THAI_GAP.finditer(text):
