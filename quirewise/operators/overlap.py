@@ -14,6 +14,7 @@ from quirewise.functions import text as T
 from quirewise.functions.stats import let
 from quirewise.operators import search as Q
 from quirewise.operators.checks import lights
+from quirewise.operators.ranks import numbered
 from quirewise.operators.refs import doi_key
 from quirewise.runtime import table
 
@@ -144,11 +145,12 @@ def select_phrases(phrases: DataFrame, n: int, seed: int = 1, exclude: DataFrame
     """(paper_id, bucket, phrase): a stratified sample of n phrases a paper, one from each stretch, by a seeded hash; used ones are left out."""
     if exclude is not None:
         phrases = phrases.join(exclude.select("phrase").distinct(), "phrase", "left_anti")
-    w = Window.partitionBy("paper_id")
-    k = F.row_number().over(w.orderBy("text_id", "pos")) - 1
-    x = phrases.withColumn("k", k).withColumn("total", F.count(F.lit(1)).over(w)).withColumn("bucket", F.floor(F.col("k") * n / F.greatest(F.lit(n), F.col("total"))))
-    first = F.row_number().over(Window.partitionBy("paper_id", "bucket").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "phrase")), "text_id", "pos"))
-    return x.withColumn("f", first).filter("f = 1").select("paper_id", F.col("bucket").cast("int").alias("bucket"), "text_id", "phrase")
+    k = numbered(phrases, ["paper_id"], ["text_id", "pos"], "k")
+    total = k.groupBy("paper_id").agg(F.count(F.lit(1)).alias("total"))
+    x = phrases.join(k, ["paper_id", "text_id", "pos"]).join(total, "paper_id")
+    x = x.withColumn("bucket", F.floor((F.col("k") - 1) * n / F.greatest(F.lit(n), F.col("total"))).cast("int"))
+    first = F.min(F.struct(F.md5(F.concat(F.lit(f"{seed}|"), "phrase")).alias("code"), "text_id", "pos", "phrase")).alias("f")
+    return x.groupBy("paper_id", "bucket").agg(first).select("paper_id", "bucket", F.col("f.text_id").alias("text_id"), F.col("f.phrase").alias("phrase"))
 
 
 def retrieve_candidates(spark: SparkSession, d: str, phrases: DataFrame, most_hits: int = 25) -> DataFrame:

@@ -8,10 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirewise.functions import patterns as P
 from quirewise.functions import text as T
+from quirewise.operators.ranks import numbered
 from quirewise.runtime import materialise, table
 
 KEYS = ["paper_id", "section_id", "paragraph_id", "text_id"]
@@ -110,8 +110,11 @@ def joined(text: str, order: str, sep: str = " ") -> Column:
 def expand(found: DataFrame, text: DataFrame, to: str = "sentence", plus: int = 0, minus: int = 0) -> DataFrame:
     """Matches with their context in ``expanded``: the sentence with ``minus`` before and ``plus`` after it, or the paragraph."""
     if to == "sentence":
-        w = Window.partitionBy("paper_id").orderBy("text_id").rowsBetween(-minus, plus)
-        around = text.select("paper_id", "text_id", F.array_join(F.collect_list("text").over(w), " ").alias("expanded")) if plus or minus else text.select("paper_id", "text_id", F.col("text").alias("expanded"))
+        around = text.select("paper_id", "text_id", F.col("text").alias("expanded"))
+        if plus or minus:
+            at = text.select("paper_id", "text_id", "text").join(numbered(text, ["paper_id"], ["text_id"]), ["paper_id", "text_id"])
+            wanted = found.select("paper_id", "text_id").distinct().join(at.drop("text"), ["paper_id", "text_id"]).withColumn("pos", F.explode(F.sequence(F.col("pos") - minus, F.col("pos") + plus)))
+            around = wanted.join(at.drop("text_id"), ["paper_id", "pos"]).groupBy("paper_id", "text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("expanded"))
         keys = ["paper_id", "text_id"]
     elif to in ("paragraph", "section"):
         keys = ["paper_id", "section_id", "paragraph_id"][: 3 if to == "paragraph" else 2]
@@ -161,8 +164,7 @@ def equations(text: DataFrame) -> DataFrame:
     comp = F.regexp_extract(bare, f"([{P.COMPARATORS}]{{1,2}})", 1)
     side = lambda k: F.trim(F.regexp_replace(F.split(bare, f"[{P.COMPARATORS}]{{1,2}}")[k], r"[ \t]+", " "))
     out = first.select("paper_id", "text_id", "ord", side(0).alias("lhs"), F.when(df != "", df).alias("df"), comp.alias("comp"), side(1).alias("rhs"))
-    group = F.dense_rank().over(Window.partitionBy("paper_id").orderBy("text_id"))
-    return out.withColumn("grp_id", group).filter(~F.col("lhs").rlike("^[0-9]$"))
+    return out.join(numbered(out, ["paper_id"], ["text_id"], "grp_id"), ["paper_id", "text_id"]).filter(~F.col("lhs").rlike("^[0-9]$"))
 
 
 def descriptives(text: DataFrame) -> DataFrame:

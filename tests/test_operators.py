@@ -171,3 +171,24 @@ def test_no_query_of_the_core_needs_the_subpackage():
             for f in files:
                 if f.endswith(".py"):
                     assert "quirewise.llm" not in open(os.path.join(folder, f)).read(), f
+
+
+def test_numbers_run_through_partitions(spark):
+    from quirewise.operators.ranks import numbered
+
+    rows = [("hot", i) for i in range(0, 3000, 3)] + [("a", 5), ("a", 5), ("b", None), ("b", 1), (None, 1)]
+    df = spark.createDataFrame(rows, "g string, t int").repartition(7).withColumn("pos", F.lit("clash"))
+    got = {(r.g, r.t): r.pos for r in numbered(df, ["g"], ["t"]).collect()}
+    assert all(got["hot", 3 * i] == i + 1 for i in range(1000)) and got["a", 5] == 1 and got["b", None] == 1 and got["b", 1] == 2 and len(got) == 1003
+
+
+def test_windowed_flags_close_with_the_watermark(spark, data, tmp_path):
+    from quirewise.streaming import verdicts as V
+
+    src = tmp_path / "in"
+    rows = spark.read.parquet(f"{data}/sentence.parquet")
+    rows.orderBy("loaded_at").coalesce(1).write.parquet(str(src))
+    q = V.windowed_flags(V.arriving(spark, str(src), rows.schema, "1 days"), ["coi"], "30 days").writeStream.format("memory").queryName("flags_closed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    closed = spark.sql("SELECT sum(n) AS n, sum(n_coi) AS c FROM flags_closed").first()
+    assert 0 < closed.n <= rows.dropDuplicates(["paper_id", "text_id"]).count() and closed.c >= 0
