@@ -13,7 +13,7 @@ from quirewise.functions import patterns as P
 from quirewise.functions import stats as S
 from quirewise.functions import text as T
 from quirewise.operators import search as Q
-from quirewise.runtime import spread, table
+from quirewise.runtime import materialise, spread, table
 
 
 
@@ -305,11 +305,11 @@ def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k
     g = F.col(group) if group else F.lit(0)
     base = spread(items).select(g.alias("g"), F.col(item).alias("i"), T.normalise(F.col(text)).alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words))
     base = base.withColumn("c", F.md5("n"))
-    classes = base.groupBy("g", "c").agg(F.min("i").alias("i"), F.min("n").alias("n"), F.max("i").alias("last"))
+    classes = materialise(base.groupBy("g", "c").agg(F.min("i").alias("i"), F.min("n").alias("n"), F.max("i").alias("last")))
     sh = classes.select("g", "i", F.explode(T.shingles(F.col("n"), k)).alias("s")).withColumn("s", F.xxhash64("s"))
     df = sh.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")  # the others stand once: they come first and meet nothing
     sets = sh.join(df, "s", "left").groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("x"))
-    sets = sets.select("g", "i", F.transform("x", lambda y: y["s"]).alias("x"), F.size("x").alias("m"))
+    sets = materialise(sets.select("g", "i", F.transform("x", lambda y: y["s"]).alias("x"), F.size("x").alias("m")))
     prefix = sets.select("g", "i", "m", F.explode(F.slice("x", F.lit(1), F.col("m") - F.ceil(F.lit(least) * F.col("m")).cast("int") + 1)).alias("s"))
     other = prefix.select("g", "s", F.col("i").alias("j"), F.col("m").alias("m2"))
     # of sets that alike the smaller holds at least ``least`` of the larger

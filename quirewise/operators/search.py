@@ -36,8 +36,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     """The bibliography, each entry once: the row loaded last."""
     rows = table(spark, d, "bib")
     rest = [c for c in rows.columns if c not in ("paper_id", "bib_id", "loaded_at")]
-    latest = F.max_by(F.struct(*rest), F.struct("loaded_at", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest])).alias("r")
-    return rows.groupBy("paper_id", "bib_id").agg(latest).select("paper_id", "bib_id", "r.*")
+    return rows.groupBy("paper_id", "bib_id").agg(*[F.max_by(c, "loaded_at").alias(c) for c in rest])  # unused ones aren't read
 
 
 _shared: dict[tuple[str, str], DataFrame] = {}
