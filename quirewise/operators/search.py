@@ -33,10 +33,11 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
-    """The bibliography, each entry once: the row loaded last."""
+    """The bibliography, each entry once: the row loaded last; one without a time counts as the earliest."""
     rows = table(spark, d, "bib")
     rest = [c for c in rows.columns if c not in ("paper_id", "bib_id", "loaded_at")]
-    return rows.groupBy("paper_id", "bib_id").agg(*[F.max_by(c, "loaded_at").alias(c) for c in rest])  # unused ones aren't read
+    when = F.coalesce("loaded_at", F.lit("0001-01-01 00:00:00").cast(rows.schema["loaded_at"].dataType))
+    return rows.groupBy("paper_id", "bib_id").agg(*[F.max_by(c, when).alias(c) for c in rest])  # unused ones aren't read
 
 
 _shared: dict[tuple[str, str], DataFrame] = {}
