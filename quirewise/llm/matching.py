@@ -1,8 +1,8 @@
 """References matched with the records of a register without common keys.
 
-Candidates share a band of weighted MinHashes across attributes: of title words, of title words and surnames, or of title words,
-year and container. A word weighs the less the more works of the register have it, and one that none has can't match: blocks thus stay small
-however many rows there are. Pairs get similarity features of title, authors, year and container; a logistic classifier is fitted on weakly labelled pairs, its probabilities are calibrated on held-out pairs,
+Candidates share a band of weighted MinHashes across attributes: of title words, of title words and surnames, or of title words and year.
+A word weighs the less the more works of the register have it, and one that none has can't match. Beside these bands, which may miss a pair,
+stand ways that don't: a rare word of the title, its first two telling words, the whole of it, and a surname with the year. Pairs get similarity features of title, authors, year and container; a logistic classifier is fitted on weakly labelled pairs, its probabilities are calibrated on held-out pairs,
 and of competing editions of a work the nearest in time is kept.
 """
 
@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 from quirewise.llm.names import agree_org, flat, fold, lcs_ratio, parse
 from quirewise.runtime import materialise
 
-#: MinHash bands: of two title words, of a title word with a surname, of a title word with year and container's initial.
-TITLE_BANDS, NAME_BANDS, YEAR_BANDS = 16, 8, 8
+#: MinHash bands: of two title words, of a title word with a surname, of a title word with the year.
+TITLE_BANDS, NAME_BANDS, YEAR_BANDS = 24, 12, 16
+#: Works that share a title word which at most so many works of the register have meet without any other condition.
+RARE = 20
 #: Title words in more than this share of the register (but at least so many titles) say nothing about a work.
 COMMON_SHARE, COMMON_LEAST = 0.02, 20
 #: Labelled pairs that the classifier sees at most: they are collected, so their number is bounded.
@@ -70,8 +72,6 @@ def compare_titles(a: list[str], b: list[str], cut: bool) -> tuple[float, float,
         else:
             only_a.append(w)
     la, lb = sum(map(len, a)), sum(map(len, b))
-    if 4 * same < min(la, lb) and not len(a) == len(b) == 1:  # too little in common for misprints to explain
-        return 2 * same / max(1, la + lb), same / max(1, min(la, lb)), 0.0
     ja, jb = "".join(only_a), "".join(left)
     like = lcs_ratio(ja, jb) * (len(ja) + len(jb)) / 2 if ja and jb else 0
     like = like if like > 0.7 * min(len(ja), len(jb)) else 0
@@ -101,8 +101,6 @@ def compare_containers(a: list[str], b: list[str]) -> float:
 def features(x: dict, y: dict) -> list[float]:
     """The numbers that describe a pair: x a reference, y a record, each {words, cut, names, year, container}."""
     ta, tb, sa, sb, ca, cb = x["words"], y["words"], x["names"], y["names"], x["container"], y["container"]
-    if ta and tb and not set(ta) & set(tb) - {"the", "of", "and", "in", "with"}:
-        sa = sb = ca = []  # no word in common: nothing else can make it the same work
     title, contained, marker = compare_titles(ta, tb, x["cut"]) if ta and tb else (0.5, 0.5, 0.0)
     if sa and sb:
         hit = sum(any(same_author(s, t) for t in sb) for s in sa)
@@ -169,14 +167,17 @@ class Logistic:
 
 
 def _weighed(forms: DataFrame, df: DataFrame, common: list[str]) -> DataFrame:
-    """(id, words, df, names, year, titled): a form with those words that the register has, and how many works have them."""
+    """(id, words, df, names, year, whole, lead): a form with those words that the register has, how many works have them, and hashes of the
+    whole title and of its first two telling words (a shortened title keeps its beginning)."""
     w = forms.select("id", F.explode(F.array_distinct("words")).alias("w")).filter((F.length("w") > 2) & ~F.col("w").isin(common) if common else F.length("w") > 2)
     got = w.join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "df"))).alias("x"))
-    return forms.select("id", "names", "year", (F.size("words") > 0).alias("titled"), F.substring(F.get(F.filter("container", lambda w: ~w.isin("the", "a")), F.lit(0)), 1, 1).alias("place")).join(got, "id", "left").select("id", F.col("x.w").alias("words"), F.col("x.df").alias("df"), "names", "year", "titled", "place")
+    telling = F.filter("words", lambda w: (F.length(w) > 2) & ~w.isin(common) if common else F.length(w) > 2)
+    lead = F.when(F.size(telling) > 1, F.xxhash64(F.slice(telling, 1, 2)))
+    return forms.select("id", "names", "year", F.when(F.size("words") > 0, F.xxhash64("words")).alias("whole"), lead.alias("lead")).join(got, "id", "left").select("id", F.col("x.w").alias("words"), F.col("x.df").alias("df"), "names", "year", "whole", "lead")
 
 
-def _bands(forms: DataFrame, register: bool) -> DataFrame:
-    """(id, band): hashes under which works meet. References without title meet records by any surname and the year."""
+def _bands(forms: DataFrame) -> DataFrame:
+    """(id, band): hashes under which works meet."""
     n = 2 * TITLE_BANDS
     rng = np.random.default_rng(7)
     mul, add = rng.integers(1, 2**61 - 1, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**61 - 1, n, dtype=np.uint64)
@@ -197,12 +198,18 @@ def _bands(forms: DataFrame, register: bool) -> DataFrame:
         if r["words"]:
             m = least(r["words"], 1.0 / np.array(r["df"], float))
             out += [hash((1, *sorted(m[2 * k : 2 * k + 2]))) for k in range(TITLE_BANDS) if m[2 * k] != m[2 * k + 1]]
-            if r["place"]:
-                out += [hash((2, m[k], y, ord(r["place"]))) for k in range(YEAR_BANDS) for y in years]
+            out += [hash((2, m[k], y)) for k in range(YEAR_BANDS) for y in years]
+            rare = [w for w, n in zip(r["words"], r["df"]) if n <= RARE]
+            if rare:
+                out += [hash((5, h)) for h in pd.util.hash_array(np.array(rare, object), categorize=False).tolist()]
             if sur:
                 a = least(sur)
                 out += [hash((3, m[k], a[k])) for k in range(NAME_BANDS)]
-        if (register or not r["titled"]) and sur:
+        if r["whole"] is not None:
+            out.append(hash((6, r["whole"])))
+        if r["lead"] is not None:
+            out.append(hash((7, r["lead"])))
+        if sur:
             out += [hash((4, h, y)) for h in pd.util.hash_array(np.array(sur, object), categorize=False).tolist() for y in years]
         return sorted(set(out))
 
@@ -241,7 +248,7 @@ def match(references: DataFrame, register: DataFrame, key: tuple[str, str] = ("p
     n = reg.count()
     df = reg.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     common = [r["w"] for r in df.filter(F.col("df") > max(COMMON_LEAST, COMMON_SHARE * n)).collect()]  # at most words per title / share
-    met = _bands(_weighed(forms, df, common), False).join(_bands(_weighed(reg, df, common), True).withColumnRenamed("id", "rid"), "band").select("id", "rid").distinct()
+    met = _bands(_weighed(forms, df, common)).join(_bands(_weighed(reg, df, common)).withColumnRenamed("id", "rid"), "band").select("id", "rid").distinct()
     side = [F.struct("words", "cut", "names", "year", "container").alias(c) for c in ("x", "y")]
     pairs = met.join(forms.select("id", side[0]), "id").join(reg.select(F.col("id").alias("rid"), side[1]), "rid")
 

@@ -79,6 +79,17 @@ def test_references_match_their_works(spark):
     assert M.match(bib.limit(0), reg).count() == 0 and M.match(bib, reg.limit(0)).count() == 0
 
 
+def test_titled_references_meet_without_bands(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
+    works = [(i, f"{word()} {word()} of {word()} {word()}", 1980 + i % 40, [f"Ana {word().title()}"], f"Journal of {word().title()} Things") for i in range(300)]
+    ref = lambda i, t, y, a, c: ("p", i, t, f"{a[0].split()[1]}, A.", y, c)
+    misprint = lambda t: " ".join(w[:3] + "x" + w[4:] if len(w) > 2 else w for w in t.split())
+    refs = [ref(*w) for w in works[:200]] + [ref(i, misprint(t), y, a, c) for i, t, y, a, c in works[200:]]
+    got = M.match(spark.createDataFrame(refs, "paper_id string, bib_id int, title string, authors string, year int, container string"), spark.createDataFrame(works, "record_id bigint, title string, year int, authors array<string>, container string"))
+    assert {(r.bib_id, r.record_id) for r in got.collect()} == {(i, i) for i in range(300)}
+
+
 def test_logistic_is_calibrated():
     import numpy as np
 
