@@ -1,7 +1,8 @@
 """Statistics as Column expressions: distributions by finite sums, consistency tests of means and deviations, effect sizes.
 
 Whole degrees of freedom, all that is ever extracted from text, make the sums finite (Abramowitz & Stegun 26.6, 26.7). Up to
-``MAX_DF`` they stay inside the JVM; beyond it the normal and chi-square limits serve.
+``MAX_DF`` they are summed; beyond it, or where a first term would underflow, t has its normal limit, and chi-square and F have Temme's
+uniform expansions or, with one number small, the sum over that one (checked to 1e-6).
 """
 
 from __future__ import annotations
@@ -76,8 +77,44 @@ def t_p(t: Column, df: Column) -> Column:
     return let(F.struct(t.cast("double").alias("t"), df.cast("double").alias("v")), body)
 
 
+def _uniform(n: Column, half: Column, plain: Column, limit: Column) -> Column:
+    """Distribution function by Temme's first two terms: ``half`` is half the squared deviate a unit of n with the sign of ``plain``, the
+    inverse of the plain deviate; ``limit`` is the second term's value near the centre."""
+
+    def body(y: Column) -> Column:
+        e = y["e"]
+        second = F.when(F.abs(e) < 3e-4, y["l"]).otherwise(1 / e - y["i"])
+        return normal_cdf(e * F.sqrt(y["n"])) + F.exp(-y["n"] * e * e / 2) / F.sqrt(2 * math.pi * y["n"]) * second
+
+    deviate = F.signum(plain) * F.sqrt(2 * F.greatest(F.lit(0.0), half))
+    return let(F.struct(n.alias("n"), deviate.alias("e"), plain.alias("i"), limit.alias("l")), body)
+
+
+def _f_wide(f: Column, a: Column, b: Column) -> Column:
+    """Upper p of F with two large numbers."""
+    x0, r = b / (a + b), b / (b + a * f)
+    s = F.sqrt(x0 * (1 - x0))
+    half = -(x0 * F.log(r / x0) + (1 - x0) * F.log((1 - r) / (1 - x0)))
+    return _uniform((a + b) / 2, half, F.when(r == x0, F.lit(0.0)).otherwise(s / (r - x0)), (1 - 2 * x0) / (3 * s))
+
+
+def _f_long(f: Column, a: Column, b: Column) -> Column:
+    """Upper p of F with a small first and a large second number: a sum over the first, Hill's normal deviate for the t it starts from."""
+
+    def body(q: Column) -> Column:
+        t2 = a * f
+        z = let(F.sqrt((b - 0.5) * F.log1p(t2 / b)), lambda z: z + (z * z * z + 3 * z) / (48 * (b - 0.5) * (b - 0.5)))
+        power = F.exp(-b / 2 * F.log1p(t2 / b))
+        even = power * _series((a / 2).cast("int"), F.lit(1.0), lambda k: (b + 2 * k - 2) / (2 * k) * q)
+        gamma = F.sqrt(b / 2) * (1 - 1 / (4 * b) + 1 / (32 * b * b))
+        odd = normal_two_sided(z) + F.when(a > 1, 2 / math.sqrt(math.pi) * gamma * F.sqrt(q) * power * _series(((a - 1) / 2).cast("int"), F.lit(1.0), lambda k: (b + 2 * k - 1) / (2 * k + 1) * q)).otherwise(0.0)
+        return F.when(a % 2 == 0, even).otherwise(odd)
+
+    return let(a * f / (b + a * f), body)
+
+
 def f_p(f: Column, df1: Column, df2: Column) -> Column:
-    """Upper p of F with whole degrees of freedom; null for none or above ``MAX_DF``; 1 for F <= 0."""
+    """Upper p of F with whole degrees of freedom; null for none; 1 for F <= 0."""
 
     def odd(a: Column, b: Column, theta: Column) -> Column:
         def tail(cs: Column) -> Column:
@@ -92,8 +129,10 @@ def f_p(f: Column, df1: Column, df2: Column) -> Column:
         even1 = let(r, lambda q: F.pow(q, b / 2) * _series((a / 2).cast("int"), F.lit(1.0), lambda k: (b + 2 * k - 2) / (2 * k) * (1 - q)))
         even2 = let(r, lambda q: 1 - F.pow(1 - q, a / 2) * _series((b / 2).cast("int"), F.lit(1.0), lambda k: (a + 2 * k - 2) / (2 * k) * q))
         both = let(F.atan(F.sqrt(a * f / b)), lambda theta: odd(a, b, theta))
-        p = F.when(a % 2 == 0, even1).when(b % 2 == 0, even2).otherwise(both)
-        return F.when(f.isNull() | a.isNull() | b.isNull() | (a <= 0) | (b <= 0) | (a > MAX_DF) | (b > MAX_DF), F.lit(None)).when(f <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+        wide = (F.least(a, b) > 500) & (F.greatest(a, b) > 1000)
+        large = F.when(wide, _f_wide(f, a, b)).when(b > MAX_DF, _f_long(f, a, b)).when(a > MAX_DF, 1 - _f_long(1 / f, b, a))
+        p = F.when(wide | (a > MAX_DF) | (b > MAX_DF), large).when(a % 2 == 0, even1).when(b % 2 == 0, even2).otherwise(both)
+        return F.when(f.isNull() | a.isNull() | b.isNull() | (a <= 0) | (b <= 0), F.lit(None)).when(f <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
     return let(F.struct(f.cast("double").alias("f"), df1.cast("double").alias("a"), df2.cast("double").alias("b")), body)
 
@@ -105,7 +144,9 @@ def chi2_p(x: Column, df: Column) -> Column:
         x, v = y["x"], y["v"]
         even = F.exp(-x / 2) * _series((v / 2).cast("int"), F.lit(1.0), lambda k: x / 2 / k)
         odd = let(F.sqrt(x), lambda z: 2 * (1 - normal_cdf(z)) + 2 * F.exp(-x / 2) / math.sqrt(2 * math.pi) * _series(((v - 1) / 2).cast("int"), z, lambda k: x / (2 * k + 1)))
-        return F.when(x.isNull() | v.isNull() | (v <= 0) | (v > MAX_DF), F.lit(None)).when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(v % 2 == 0, even).otherwise(odd))))
+        mu = x / v - 1
+        wide = 1 - _uniform(v / 2, mu - F.log1p(mu), F.when(mu == 0, F.lit(0.0)).otherwise(1 / mu), F.lit(1 / 3))
+        return F.when(x.isNull() | v.isNull() | (v <= 0), F.lit(None)).when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when((v > MAX_DF) | (x > 1000), wide).when(v % 2 == 0, even).otherwise(odd))))
 
     return let(F.struct(x.cast("double").alias("x"), df.cast("double").alias("v")), body)
 

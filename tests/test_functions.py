@@ -31,6 +31,16 @@ def test_distributions_agree_with_the_jvm(spark):
         assert abs(r.p - (1 - j.ChiSquaredDistribution(float(r.a)).cumulativeProbability(r.x))) < 1e-9
 
 
+def test_distributions_with_many_degrees_of_freedom(spark):
+    j = spark._jvm.org.apache.commons.math3.distribution
+    rows = [(q, a, b) for q in (0.9, 0.98, 1.0, 1.001, 1.05, 3.9) for a, b in ((1, 2001), (2, 2500), (3, 50000), (4, 100000), (7, 3001), (400, 9000), (401, 9001), (600, 2400), (3000, 4000), (1500, 1500), (5000, 12), (5001, 7))]
+    for r in spark.createDataFrame(rows, "f double, a int, b int").select("*", S.f_p(F.col("f"), F.col("a"), F.col("b")).alias("p")).collect():
+        assert abs(r.p - (1 - j.FDistribution(float(r.a), float(r.b)).cumulativeProbability(r.f))) < 1e-6, r
+    rows = [(q * v, v) for q in (0.9, 0.99, 1.0, 1.0001, 1.02, 1.1) for v in (1514, 1901, 2001, 2002, 7570, 100001)]
+    for r in spark.createDataFrame(rows, "x double, a int").select("*", S.chi2_p(F.col("x"), F.col("a")).alias("p")).collect():
+        assert abs(r.p - (1 - j.ChiSquaredDistribution(float(r.a)).cumulativeProbability(r.x))) < 1e-6, r
+
+
 def test_distribution_edges(spark):
     assert one(spark, (2.2, 0), "t double, v int", S.t_p(F.col("t"), F.col("v"))) is None
     assert one(spark, (2.2, None), "t double, v int", S.t_p(F.col("t"), F.col("v"))) is None
