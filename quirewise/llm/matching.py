@@ -1,39 +1,43 @@
 """References matched with the records of a register without common keys.
 
-Candidates share a band of weighted MinHashes across attributes: of title words, of title words and surnames, or of title words and year.
-A word weighs the less the more works of the register have it, and one that none has can't match. Beside these bands, which may miss a pair,
-stand ways that don't: a rare word of the title, its first two telling words, the whole of it, and a surname with the year. Pairs get similarity features of title, authors, year and container; a logistic classifier is fitted on weakly labelled pairs, its probabilities are calibrated on held-out pairs,
-and of competing editions of a work the nearest in time is kept.
+Candidates share a MinHash band across attributes: title words alone, title words with a surname, title words with the year, surnames with
+the year. Each hash function draws the words of a title in an order of its own, rarer words sooner, and a band takes as many of the first
+ones as it needs for the register to hold but a few works with all of them by chance; so the bands grow finer with the register and the
+pairs grow with the rows, not with their square. Beside them stand ways without chance: whole titles, their first words with a surname or
+the year. Years must be compatible. Pairs get similarity features of title, authors, year and container; a logistic classifier is
+fitted on weakly labelled pairs, its probabilities are calibrated on held-out pairs, and of competing editions the nearest in time is kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirewise.llm.names import agree_org, flat, fold, lcs_ratio, parse
 from quirewise.runtime import materialise
 
-#: MinHash bands: of two title words, of a title word with a surname, of a title word with the year.
-TITLE_BANDS, NAME_BANDS, YEAR_BANDS = 24, 12, 16
-#: Works that share a title word which at most so many works of the register have meet without any other condition.
-RARE = 20
-#: Title words in more than this share of the register (but at least so many titles) say nothing about a work.
-COMMON_SHARE, COMMON_LEAST = 0.02, 20
+#: MinHash bands: of title words, of title words with a surname, of title words with the year; words that a band holds at most.
+TITLE_BANDS, NAME_BANDS, YEAR_BANDS, DEPTH = 12, 5, 5, 5
+#: Works that a band may hold by chance, and the share of works of two years in a row, by which that is estimated.
+EXPECTED, YEAR_SHARE = 3.0, 0.05
+#: Places of the table of word counts: its size doesn't depend on the vocabulary, words that fall together add up on both sides alike.
+PLACES = 1 << 20
 #: Labelled pairs that the classifier sees at most: they are collected, so their number is bounded.
 SAMPLE = 20_000
 # Words that set a work apart from another of the same name.
 MARKERS = set("reply response comment rejoinder erratum corrigendum correction addendum supplement edition ed part volume vol wave study first second third fourth fifth revisited revised i ii iii iv v vi 1 2 3 4 5 6".split())
 # Words that shortened names of containers leave out.
 _SMALL = {"of", "the", "and", "in", "for", "o"}
-FEATURES = ["title", "contained", "marker", "no_title", "authors", "first", "no_authors", "year0", "year1", "year10", "year_off", "no_year", "container", "no_container", "rest"]
+FEATURES = ["title", "contained", "marker", "no_title", "authors", "first", "no_authors", "year0", "year1", "year_digit", "no_year", "container", "no_container", "all_else"]
 
 
 def title_words(title: str | None) -> list[str]:
@@ -45,10 +49,16 @@ def title_words(title: str | None) -> list[str]:
 
 def surnames(authors: list[str] | None) -> list[str]:
     """The surname of each author; an organisation's words, with blanks between."""
-    found = [p for a in authors or () if a and (p := parse(a.strip(" ")))]
-    return [flat(p[1]) if p[0] == "p" else p[2] for p in found]
+    return [p for a in authors or () if a and (p := _surname(a.strip(" ")))]
 
 
+@lru_cache(200_000)
+def _surname(name: str) -> str | None:
+    p = parse(name)
+    return p and (flat(p[1]) if p[0] == "p" else p[2])
+
+
+@lru_cache(200_000)
 def same_author(s: str, t: str) -> bool:
     """Whether two surnames or organisations agree, but for a misprint or a shortening."""
     if s == t:
@@ -80,9 +90,10 @@ def compare_titles(a: list[str], b: list[str], cut: bool) -> tuple[float, float,
     return 2 * (same + like) / max(1, la + lb), (same + like) / max(1, min(la, lb)), float(bool(differ))
 
 
-def compare_containers(a: list[str], b: list[str]) -> float:
+@lru_cache(200_000)
+def compare_containers(first: str, second: str) -> float:
     """1 for the same words, less for shortened ones or initials."""
-    a, b = [w for w in a if w != "the"], [w for w in b if w != "the"]
+    a, b = [w for w in first.split() if w != "the"], [w for w in second.split() if w != "the"]
     short, long = sorted((a, b), key=lambda x: len("".join(x)))
     if len(short) == 1 and len(long) > 1 and short[0] in ("".join(w[0] for w in long), "".join(w[0] for w in long if w not in _SMALL)):
         return 0.9
@@ -98,26 +109,30 @@ def compare_containers(a: list[str], b: list[str]) -> float:
     return 0.5 * len(set(a) & set(b)) / max(len(a), len(b))
 
 
-def features(x: dict, y: dict) -> list[float]:
-    """The numbers that describe a pair: x a reference, y a record, each {words, cut, names, year, container}."""
-    ta, tb, sa, sb, ca, cb = x["words"], y["words"], x["names"], y["names"], x["container"], y["container"]
-    title, contained, marker = compare_titles(ta, tb, x["cut"]) if ta and tb else (0.5, 0.5, 0.0)
-    if sa and sb:
+def features(x: tuple, y: tuple) -> list[float]:
+    """The numbers that describe a pair: x a reference, y a record, each (words, cut, names, year, container) with strings of
+    words parted by blanks and of names parted by semicolons."""
+    (wa, cut, na, xa, ca), (wb, _, nb, xb, cb) = x, y
+    title, contained, marker = (1.0, 1.0, 0.0) if wa and wa == wb else compare_titles(wa.split(), wb.split(), cut) if wa and wb else (0.5, 0.5, 0.0)
+    if na and na == nb:
+        authors, first = 1.0, 1.0
+    elif na and nb:
+        sa, sb = na.split(";"), nb.split(";")
         hit = sum(any(same_author(s, t) for t in sb) for s in sa)
         back = sum(any(same_author(s, t) for s in sa) for t in sb)
         authors, first = max(hit / len(sa), back / len(sb)), float(same_author(sa[0], sb[0]))
     else:
         authors, first = 0.5, 0.5
-    d = abs(x["year"] - y["year"]) if x["year"] is not None and y["year"] is not None else None
+    d = abs(xa - xb) if xa is not None and xb is not None else None
     container = compare_containers(ca, cb) if ca and cb else 0.5
-    rest = not (ta and tb) and authors > 0.66 and bool(sa and sb) and d in (0, 1) and container > 0.8
-    return [title, contained, marker, float(not (ta and tb)), authors, first, float(not (sa and sb)), float(d == 0), float(d == 1), float(d == 10), float(d is not None and d not in (0, 1, 10)), float(d is None), container, float(not (ca and cb)), float(rest)]
+    all_else = not (wa and wb) and authors > 0.66 and bool(na and nb) and d in (0, 1) and container > 0.8
+    return [title, contained, marker, float(not (wa and wb)), authors, first, float(not (na and nb)), float(d == 0), float(d == 1), float(d is not None and d > 1), float(d is None), container, float(not (ca and cb)), float(all_else)]
 
 
 def weak_label(f: list[float]) -> int | None:
     """1 where several attributes agree and none speaks against, 0 where one plainly does, else null."""
     g = dict(zip(FEATURES, f))
-    if g["marker"] or g["year_off"] or (not g["no_title"] and g["contained"] < 0.6) or (not g["no_authors"] and g["authors"] < 0.34):
+    if g["marker"] or (not g["no_title"] and g["contained"] < 0.6) or (not g["no_authors"] and g["authors"] < 0.34):
         return 0
     agree = (g["title"] > 0.9) + (g["authors"] > 0.66) + g["year0"] + (g["container"] > 0.8)
     near = g["title"] > 0.95 and (g["year0"] or g["year1"]) and (g["no_container"] or g["container"] > 0.5)
@@ -161,64 +176,150 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), x] @ self.w, -30, 30)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        """Half the calibrated, half the raw probability, so that ties of the calibration keep their order."""
-        raw = self.raw(x)
-        return 0.5 * np.interp(raw, self.knots, self.values) + 0.5 * raw
-
-
-def _weighed(forms: DataFrame, df: DataFrame, common: list[str]) -> DataFrame:
-    """(id, words, df, names, year, whole, lead): a form with those words that the register has, how many works have them, and hashes of the
-    whole title and of its first two telling words (a shortened title keeps its beginning)."""
-    w = forms.select("id", F.explode(F.array_distinct("words")).alias("w")).filter((F.length("w") > 2) & ~F.col("w").isin(common) if common else F.length("w") > 2)
-    got = w.join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "df"))).alias("x"))
-    telling = F.filter("words", lambda w: (F.length(w) > 2) & ~w.isin(common) if common else F.length(w) > 2)
-    lead = F.when(F.size(telling) > 1, F.xxhash64(F.slice(telling, 1, 2)))
-    return forms.select("id", "names", "year", F.when(F.size("words") > 0, F.xxhash64("words")).alias("whole"), lead.alias("lead")).join(got, "id", "left").select("id", F.col("x.w").alias("words"), F.col("x.df").alias("df"), "names", "year", "whole", "lead")
-
-
-def _bands(forms: DataFrame) -> DataFrame:
-    """(id, band): hashes under which works meet."""
-    n = 2 * TITLE_BANDS
-    rng = np.random.default_rng(7)
-    mul, add = rng.integers(1, 2**61 - 1, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**61 - 1, n, dtype=np.uint64)
-
-    def least(words: list[str], weights: np.ndarray | None = None) -> list[int]:
-        """For each hash function the code of the word that wins: the smallest draw, drawn faster the greater the weight."""
-        h = pd.util.hash_array(np.array(words, object), categorize=False)
-        with np.errstate(over="ignore"):
-            m = h[:, None] * mul + add
-            m = (m ^ (m >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        u = ((m >> np.uint64(11)).astype("float64") + 1) / 2.0**53
-        draw = -np.log(u) if weights is None else -np.log(u) / weights[:, None]
-        return h[draw.argmin(0)].tolist()
-
-    def keys_of(r: dict) -> list[int]:  # the hash of a tuple of integers is the same in every process
-        sur, years = sorted(set(r["names"])), [] if r["year"] is None else [r["year"], r["year"] + 1]
-        out = []
-        if r["words"]:
-            m = least(r["words"], 1.0 / np.array(r["df"], float))
-            out += [hash((1, *sorted(m[2 * k : 2 * k + 2]))) for k in range(TITLE_BANDS) if m[2 * k] != m[2 * k + 1]]
-            out += [hash((2, m[k], y)) for k in range(YEAR_BANDS) for y in years]
-            rare = [w for w, n in zip(r["words"], r["df"]) if n <= RARE]
-            if rare:
-                out += [hash((5, h)) for h in pd.util.hash_array(np.array(rare, object), categorize=False).tolist()]
-            if sur:
-                a = least(sur)
-                out += [hash((3, m[k], a[k])) for k in range(NAME_BANDS)]
-        if r["whole"] is not None:
-            out.append(hash((6, r["whole"])))
-        if r["lead"] is not None:
-            out.append(hash((7, r["lead"])))
-        if sur:
-            out += [hash((4, h, y)) for h in pd.util.hash_array(np.array(sur, object), categorize=False).tolist() for y in years]
-        return sorted(set(out))
+        """Calibrated probabilities."""
+        return np.interp(self.raw(x), self.knots, self.values)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def word_counts(register: DataFrame) -> Broadcast:
+    """How many works have each title word and each surname, in a table of fixed size by their hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, "int64")
         for batch in batches:
-            got = [(r["id"], k) for r in batch.to_pylist() for k in keys_of(r)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["id", "band"])
+            for column, sep, stem in (("words", " ", ""), ("names", ";", ";")):
+                seen = [stem + w for t in batch.column(column).to_pylist() for w in set(t.split(sep)) if w]
+                total += np.bincount(_code(seen) % np.uint64(PLACES), minlength=PLACES)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
+
+    rows = register.select("words", "names").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(PLACES)
+    table[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
+    return register.sparkSession.sparkContext.broadcast(table)
+
+
+def _code(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False)
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(salt * 2654435761)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+class _Draws:
+    """Of each row of a list of word lists the words that each of ``n`` hash functions draws first, rarer ones sooner."""
+
+    def __init__(self, lists: list[list[str]], counts: np.ndarray, n: int, depth: int, salt: int):
+        flat_, sizes = [w for x in lists for w in x], np.fromiter(map(len, lists), "int64", len(lists))
+        codes, known = pd.factorize(np.array(flat_, object))
+        self.h = _code(list(known)) if len(known) else np.empty(0, "uint64")
+        self.f = counts[(self.h % np.uint64(PLACES)).astype("int64")] if len(known) else np.empty(0)
+        row = np.repeat(np.arange(len(lists)), sizes)
+        both = np.unique(row * max(1, len(known)) + codes)  # each word of a row once
+        row, word = both // max(1, len(known)), both % max(1, len(known))
+        keep = self.f[word] > 0  # what the register lacks can't meet anything
+        row, word = row[keep], word[keep]
+        self.rows = len(lists)
+        self.first = np.full((depth, n, self.rows), -1, "int64")
+        if not len(row):
+            return
+        at = np.nonzero(np.r_[True, row[1:] != row[:-1]])[0]
+        owner, group = row[at], np.cumsum(np.r_[0, row[1:] != row[:-1]])
+        for d in range(n):
+            u = ((_mixed(self.h, salt + d) >> np.uint64(11)).astype("float64") + 1) / 2.0**53
+            order = np.argsort(-np.log(u) * self.f, kind="stable")
+            rank = np.empty(len(order), "int64")
+            rank[order] = np.arange(len(order))
+            left = rank[word]
+            for k in range(depth):
+                least = np.minimum.reduceat(left, at)
+                some = least < len(order)
+                if not some.any():
+                    break
+                self.first[k, d, owner[some]] = order[least[some]]
+                left = np.where(left == least[group], len(order), left)
+
+    def keys(self, d: int, start: np.ndarray, works: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray]:
+        """Keys from ``start`` and as many of the words drawn by function d as it takes to come down to EXPECTED works or fewer, and which rows have any."""
+        key, works, used = start.copy(), works.copy(), np.zeros(self.rows, bool)
+        for k in range(self.first.shape[0]):
+            w = self.first[k, d]
+            use = (w >= 0) & ((works > EXPECTED) | ~used)
+            with np.errstate(over="ignore"):
+                key[use] += _mixed(self.h[w[use]], 101)
+            works[use] *= self.f[w[use]] / n
+            used |= use
+        return key, used
+
+
+def _bands(forms: DataFrame, counts: Broadcast, n: int, register: bool) -> DataFrame:
+    """(id, year, band): hashes under which works meet. References that have a title don't use what is there for those without."""
+    n_works = float(max(1, n))
 
-    return forms.mapInArrow(cut, "id long, band long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.split() for t in batch.column("words").to_pylist()]
+            names = [[";" + a for a in dict.fromkeys(t.split(";")) if a] for t in batch.column("names").to_pylist()]
+            year = np.array([-1 if y is None else y for y in batch.column("year").to_pylist()], "int64")
+            size, dated = len(words), year >= 0
+            rows, keys = [], []
+
+            def add(has: np.ndarray, key: np.ndarray, tag: int) -> None:
+                rows.append(np.nonzero(has)[0])
+                keys.append(_mixed(key[has], tag))
+
+            def both_years(has: np.ndarray, key: np.ndarray, tag: int) -> None:
+                for y in (0, 1):
+                    with np.errstate(over="ignore"):
+                        add(has & dated, key + _mixed((year + y).view("uint64"), 7), tag)
+
+            zero = np.zeros(size, "uint64")
+            t = _Draws(words, counts.value, TITLE_BANDS, DEPTH, 1)
+            a = _Draws(names, counts.value, NAME_BANDS, 2, 301)
+            some = np.array([bool(w) for w in words])
+            for d in range(TITLE_BANDS):
+                key, used = t.keys(d, zero, np.full(size, n_works), n_works)
+                add(used, key, 1)
+            for d in range(YEAR_BANDS):
+                key, used = t.keys(d, zero, np.full(size, n_works * YEAR_SHARE), n_works)
+                both_years(used, key, 2)
+            for d in range(NAME_BANDS):
+                w = a.first[0, d]
+                own = np.where(w >= 0, a.h[w] if len(a.h) else 0, 0).astype("uint64")
+                key, used = t.keys(d, own, np.where(w >= 0, a.f[w] if len(a.f) else 0, 0), n_works)
+                add(used & (w >= 0), key, 3)
+            for d in range(2):  # surnames with the year: as many as it takes
+                key, used = a.keys(d, zero, np.full(size, n_works * YEAR_SHARE), n_works)
+                both_years(used, key, 4)
+            whole = _code([" ".join(w) for w in words])
+            add(some, whole, 5)
+            lead = _code([" ".join([x for x in w if len(x) > 2][:2]) for w in words])
+            both_years(some, lead, 6)
+            each = np.array([(i, j) for i, x in enumerate(names) for j in range(len(x))], "int64").reshape(-1, 2)
+            own = _code([x for y in names for x in y])
+            has = some[each[:, 0]]
+            rows.append(each[has, 0])
+            with np.errstate(over="ignore"):
+                keys.append(_mixed(lead[each[has, 0]] + own[has], 7))
+            add(some if register else some & ~dated, lead, 8)
+            add(some & ~dated & np.array([not x for x in names], bool) if register else some, lead, 10)
+            bare = np.ones(size, bool) if register else ~some
+            has = bare[each[:, 0]] & dated[each[:, 0]]
+            for y in (0, 1):
+                rows.append(each[has, 0])
+                with np.errstate(over="ignore"):
+                    keys.append(_mixed(own[has] + _mixed((year[each[has, 0]] + y).view("uint64"), 7), 9))
+            row, key = np.concatenate(rows), np.concatenate(keys).view("int64")
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])] if len(row) else np.empty(0, bool)
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("year").take(at), pa.array(key[new])], ["id", "year", "band"])
+
+    return forms.select("id", "words", "names", "year").mapInArrow(cut, "id long, year int, band long")
 
 
 def _read(rows: DataFrame) -> DataFrame:
@@ -226,14 +327,29 @@ def _read(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            strings = pa.list_(pa.string())
+            titles, authors, containers = (batch.column(c).to_pylist() for c in ("title", "authors", "container"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([title_words(r["title"]) for r in rows], strings), pa.array([(r["title"] or "").rstrip("”\" ").endswith(("...", "…")) for r in rows]), pa.array([surnames(r["authors"]) for r in rows], strings), batch.column("year"), pa.array([title_words(r["container"]) for r in rows], strings)],
+                [
+                    batch.column("id"), pa.array([" ".join(title_words(t)) for t in titles], pa.string()), pa.array([(t or "").rstrip("”\" ").endswith(("...", "…")) for t in titles], pa.bool_()),
+                    pa.array([";".join(surnames(a)) for a in authors], pa.string()), batch.column("year"), pa.array([_container(c) for c in containers], pa.string()),
+                ],
                 ["id", "words", "cut", "names", "year", "container"],
-            )
+            )
+
+    return rows.select("id", "title", "authors", "year", "container").mapInArrow(read, "id long, words string, cut boolean, names string, year int, container string")
+
+
+@lru_cache(200_000)
+def _container(name: str | None) -> str:
+    return " ".join(title_words(name))
+
 
-    return rows.select("id", "title", "authors", "year", "container").mapInArrow(read, "id long, words array<string>, cut boolean, names array<string>, year int, container array<string>")
+def _compatible(a: Column, b: Column) -> Column:
+    """Whether two years may stand for one: either is missing, they are at most one apart, or a decade or one digit but the last
+    is wrong, as by a misprint (a wrong last digit can't be told from another edition)."""
+    x, y = F.lpad(a.cast("string"), 4, "0"), F.lpad(b.cast("string"), 4, "0")
+    differ = sum(((F.substr(x, F.lit(i), F.lit(1)) != F.substr(y, F.lit(i), F.lit(1))).cast("int") for i in (1, 2, 3)), F.lit(0))
+    return a.isNull() | b.isNull() | (F.abs(a - b) <= 1) | ((a % 10 == b % 10) & ((differ == 1) | (F.abs(a - b) == 10)))
 
 
 def match(references: DataFrame, register: DataFrame, key: tuple[str, str] = ("paper_id", "bib_id"), least: float = 0.5) -> DataFrame:
@@ -245,44 +361,42 @@ def match(references: DataFrame, register: DataFrame, key: tuple[str, str] = ("p
     ref = references.select(*key, "title", F.split("authors", ";").alias("authors"), F.col("year").cast("int").alias("year"), "container").withColumn("id", F.xxhash64("title", "authors", "year", "container"))
     forms = materialise(_read(ref.dropDuplicates(["id"])))
     reg = materialise(_read(register.select(F.col("record_id").alias("id"), "title", "authors", F.col("year").cast("int").alias("year"), "container")))
-    n = reg.count()
-    df = reg.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    common = [r["w"] for r in df.filter(F.col("df") > max(COMMON_LEAST, COMMON_SHARE * n)).collect()]  # at most words per title / share
-    met = _bands(_weighed(forms, df, common)).join(_bands(_weighed(reg, df, common)).withColumnRenamed("id", "rid"), "band").select("id", "rid").distinct()
-    side = [F.struct("words", "cut", "names", "year", "container").alias(c) for c in ("x", "y")]
-    pairs = met.join(forms.select("id", side[0]), "id").join(reg.select(F.col("id").alias("rid"), side[1]), "rid")
+    n, counts = reg.count(), word_counts(reg)
+    theirs = _bands(reg, counts, n, True).withColumnsRenamed({"id": "rid", "year": "year2"})
+    met = _bands(forms, counts, n, False).join(theirs, "band").filter(_compatible(F.col("year"), F.col("year2"))).select("id", "rid").distinct()
+    parts = ["words", "cut", "names", "year", "container"]
+    pairs = met.join(forms, "id").join(reg.select(F.col("id").alias("rid"), *[F.col(c).alias(f"{c}2") for c in parts]), "rid")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            two = list(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()))
-            f = [features(x, y) for x, y in two]
-            years = [(x["year"], y["year"]) for x, y in two]
+            one, two = ([batch.column(f"{c}{k}").to_pylist() for c in parts] for k in ("", "2"))
+            f = [features(x, y) for x, y in zip(zip(*one), zip(*two))]
+            off = [abs(a - b) if a is not None and b is not None else None for a, b in zip(one[3], two[3])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("rid"), pa.array(f, pa.list_(pa.float64())), pa.array([weak_label(v) for v in f], pa.int32()), pa.array([b for _, b in years], pa.int32()), pa.array([abs(a - b) if a is not None and b is not None else None for a, b in years], pa.int32())],
+                [batch.column("id"), batch.column("rid"), pa.array(f, pa.list_(pa.float64())), pa.array([weak_label(v) for v in f], pa.int32()), batch.column("year2"), pa.array(off, pa.int32())],
                 ["id", "rid", "f", "label", "year", "off"],
             )
 
-    scored = materialise(pairs.select("id", "rid", "x", "y").mapInArrow(measure, "id long, rid long, f array<double>, label int, year int, off int"))
+    scored = materialise(pairs.select("id", "rid", *parts, *[f"{c}2" for c in parts]).mapInArrow(measure, "id long, rid long, f array<double>, label int, year int, off int"))
     labelled = scored.filter("label IS NOT NULL")
     per = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    out = references.select(*key).join(register.select("record_id"), F.lit(False)).withColumn("confidence", F.lit(0.0)).select(*key, "record_id", "confidence")
     if len(per) < 2:
-        return out if not per.get(1) else _back(ref, labelled.filter("label = 1").withColumn("p", F.lit(1.0)), key)
+        return _back(ref, labelled.filter("label = 1").withColumn("p", F.lit(1.0)), key)
     order = F.xxhash64("id", "rid")
-    parts = [labelled.filter(F.col("label") == v).orderBy(order).limit(SAMPLE // 2) for v in (0, 1)]
-    train = parts[0].unionByName(parts[1]).select("f", "label", order.alias("o")).toPandas().sort_values("o")
+    halves = [labelled.filter(F.col("label") == v).orderBy(order).limit(SAMPLE // 2) for v in (0, 1)]
+    train = halves[0].unionByName(halves[1]).select("f", "label", order.alias("o")).toPandas().sort_values("o")
     model = Logistic(np.array(train["f"].tolist()), train["label"].to_numpy(float))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.probability(np.array(batch.column("f").to_pylist()).reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), batch.column("year"), batch.column("off"), pa.array(p)], ["id", "rid", "year", "off", "p"])
+            x = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), batch.column("year"), batch.column("off"), pa.array(x[:, FEATURES.index("marker")]), pa.array(model.probability(x)), pa.array(model.raw(x))], ["id", "rid", "year", "off", "marker", "p", "raw"])
 
-    sure = scored.filter((F.col("f")[FEATURES.index("marker")] == 0) & (F.col("f")[FEATURES.index("year_off")] == 0))  # by definition another work
-    likely = sure.select("id", "rid", "f", "year", "off").mapInArrow(judge, "id long, rid long, year int, off int, p double").filter(F.col("p") >= least)
+    likely = scored.select("id", "rid", "f", "year", "off").mapInArrow(judge, "id long, rid long, year int, off int, marker double, p double, raw double").filter(F.col("p") >= least)
     # of editions years apart the nearest to the reference stays; without a year on either side the more probable
-    best = Window.partitionBy("id").orderBy(F.coalesce("off", F.lit(99)), F.desc("p"), "rid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kept = likely.withColumn("y0", F.first("year", True).over(best)).filter("year IS NULL OR y0 IS NULL OR abs(year - y0) <= 1")
+    best = Window.partitionBy("id").orderBy(F.coalesce("off", F.lit(99)), F.desc("raw"), "rid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    alike = likely.filter(F.col("marker") == 0)  # an exact check after the classifier: a reply, part or edition is another work by definition
+    kept = alike.withColumn("y0", F.first("year", True).over(best)).filter("year IS NULL OR y0 IS NULL OR abs(year - y0) <= 1")
     return _back(ref, kept, key)
 
 
