@@ -1,9 +1,10 @@
 """Spellings of names linked to one entity each, by suffix blocking and longest common subsequences.
 
 A spelling is read into a form: surname and given names of a person, or the words of an organisation, folded to plain small
-letters. Forms that share a suffix of a token are compared; a suffix counts only together with the first letters of its token and
-the initial of the given name, so common endings make no large blocks. Pairs are compared by the ratio of their longest common
-subsequence; each form then joins the best documented form it agrees with, and works both are cited for count first.
+letters. Forms that share a suffix of a token are compared. A suffix that too many forms have counts only together with the initial
+of the given name, then with one, two and three first letters of its token; what is too common even so is discarded, while the longer
+suffixes of the token and the whole of it stand in any case. Pairs are compared by the ratio of their longest common subsequence; each form
+then joins the best documented form it agrees with, and works both are cited for count first.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +50,9 @@ ORG_WORDS = {"institute": "inst", "centre": "ctr", "center": "ctr", "department"
 ORG_SHORT = {"inst", "ctr", "dept", "soc", "lab", "cons", "consort", "univ", "assoc", "comm", "cent", "labor", "depart"}
 ORG_EMPTY = {"the", "of", "for", "and", "in", "fur", "pour", "de"}
 MIN_SUFFIX, MIN_RATIO = 3, 0.84
+#: Forms above which a key is common, and places of the table of common keys: its size doesn't depend on the data, keys that fall together
+#: add up on all sides alike.
+COMMON, PLACES = 12, 1 << 22
 #: Given names that so large a share of the surnames (but at least so many) goes with are names of their own, no misprints.
 KNOWN_SHARE, KNOWN_LEAST = 0.003, 4
 
@@ -192,49 +199,108 @@ def agree_org(w1: str, w2: str) -> float:
     return total / len(a) if prints <= 1 else 0.0
 
 
-def block_keys(kind: str, surname: str, rest: str) -> list[str]:
-    """Keys under which a form meets others: suffixes of its tokens with first letters of the token and the given initial."""
-    out = set()
+def key_chains(kind: str, surname: str, rest: str) -> list[tuple[bool, tuple[str, ...]]]:
+    """Chains of keys of a form, each key finer than the one before, and whether the last one stands even if it is common: suffixes of the
+    tokens, the tokens without their last letters, whole tokens, and suffixes of a full given name."""
+    out: list[tuple[bool, tuple[str, ...]]] = []
     if kind == "p":
         g = rest.split()
-        firsts = {g[0][0], *(n[0] for n in NICK.get(g[0], ()))} if g else {""}
+        firsts = sorted({g[0][0], *(n[0] for n in NICK.get(g[0], ()))}) if g else [""]
         token = flat(surname.strip("."))
         tokens = [(token, f) for f in firsts]
-        if g and len(g[0].strip(".")) > 3:  # a full given name's suffix, refined by the surname's ends
-            out.add(f"g{g[0].strip('.')[-4:]}|{token[:2]}|{token[-2:]}")
+        if g and len(g[0].strip(".")) > 3:
+            stem = f"g{g[0].strip('.')[-4:]}|{token[:2]}|{token[-2:]}"
+            out.append((False, (stem, f"{stem}|{len(token) // 3}", f"{stem}|{token[:3]}|{token[-3:]}")))
     else:
-        tokens = [(w.strip(".!"), "") for w in rest.split() if len(w) > 5 and w not in ORG_WORDS]
-        tokens = [(t, f"o{len(rest.split()) if '!' not in rest else ''}") for t, _ in tokens] + [(t, "oa") for t, _ in tokens]
+        words = [w.strip(".!") for w in rest.split() if len(w) > 5 and w not in ORG_WORDS]
+        tokens = [(t, f) for t in words for f in (f"o{len(rest.split()) if '!' not in rest else ''}", "oa")]
     for t, f in tokens:
-        for size in range(MIN_SUFFIX, len(t) + 1):
-            for q in {max(0, min(3, len(t) - size - d)) for d in (1, 2, 3)}:
-                if q + size >= 5 or size == len(t):
-                    out.add(f"{f}|{t[:q]}|{t[-size:]}")
-        for size in range(max(3, len(t) - 4), len(t)):  # suffixes of the token read backwards: misprints in the last letters
-            out.add(f"{f}|{t[:size]}|")
+        out.append((True, (f"={f}|{t}",)))
+        for size in range(MIN_SUFFIX, len(t)):
+            end, room = t[-size:], len(t) - size
+            heads = [t[:q] for q in range(1, min(3, room - 1) + 1)]
+            out.append((size >= len(t) - 3, (f"{kind}{end}", f"{f}|{end}", *(f"{f}|{h}|{end}" for h in heads))))
+        for size in range(max(MIN_SUFFIX, len(t) - 4), len(t)):  # misprints in the last letters
+            out.append((size >= len(t) - 3, (f"{kind}{t[:size]}<", f"{f}|{t[:size]}<")))
         if kind == "p" and ("." in surname or len(t) > 11):  # a second surname may be cut short
-            out.add(f"{f}|{t[:6]}|")
-    return sorted(out)
+            out.append((True, (f"{f}|{t[:6]}<<",)))
+    return out
 
 
-def spellings(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"), work: tuple[str, ...] = ("title",)) -> DataFrame:
-    """(name, work, n): every spelling with the works it is cited for; elements between semicolons without blanks at their ends."""
-    key = F.xxhash64(*(F.substring(F.regexp_replace(F.lower(F.coalesce(F.col(w).cast("string"), F.lit(""))), r"[^\p{L}]+", ""), 1, 24) for w in work))
-    parts = [rows.select(F.explode(F.split(c, ";")).alias("name"), key.alias("work")) for c in columns]
+def chain_codes(forms: DataFrame) -> DataFrame:
+    """(form, keys, marks): the hashed keys of all chains one behind the other; a mark is 1 at the start of a chain, 2 more where it stands."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chains = [key_chains(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            keys = pd.util.hash_array(np.array([k for c in chains for _, ks in c for k in ks], object), categorize=False).view("int64")
+            marks = np.array([(j == 0) + 2 * stands for c in chains for stands, ks in c for j in range(len(ks))], "int8")
+            ends = np.cumsum([0, *(sum(len(ks) for _, ks in c) for c in chains)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(marks))], ["form", "keys", "marks"])
+
+    return forms.select("form", "kind", "surname", "rest").mapInArrow(code, "form long, keys array<long>, marks array<byte>")
+
+
+def common_keys(codes: DataFrame) -> Broadcast:
+    """A bit for each place of keys that more than COMMON forms have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            own = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+            both = np.unique(own * PLACES + keys.flatten().to_numpy().view("uint64").astype("uint64") % np.uint64(PLACES)) % PLACES
+            at, n = np.unique(both, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype("int64")), pa.array(n.astype("int64"))], ["place", "n"])
+
+    rows = codes.select("keys").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    found = np.zeros(PLACES, bool)
+    found[rows.filter(F.col("n") > COMMON).select("place").toArrow().column("place").to_numpy()] = True  # at most PLACES of them
+    return codes.sparkSession.sparkContext.broadcast(np.packbits(found))
+
+
+def block_keys(codes: DataFrame, common: Broadcast) -> DataFrame:
+    """(form, key): of each chain the first key that isn't common, or the last where it stands in any case."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.unpackbits(common.value).astype(bool)
+        for batch in batches:
+            lists = batch.column(1)
+            keys, marks = lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            if not len(keys):
+                continue
+            own = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            start = np.nonzero(marks & 1)[0]
+            last = np.append(start[1:], len(keys)) - 1
+            free = np.where(often[(keys.view("uint64") % np.uint64(PLACES)).astype("int64")], len(keys), np.arange(len(keys)))
+            at = np.minimum.reduceat(free, start)
+            at = np.where((at == len(keys)) & (marks[start] >= 2), last, at)
+            at = at[at < len(keys)]
+            got = np.unique(np.stack([own[at], keys[at]]), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got[0])), pa.array(got[1])], ["form", "key"])
+
+    return codes.mapInArrow(pick, "form long, key long")
+
+
+def spellings(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"), works: tuple[str, ...] = ("title", "doi")) -> DataFrame:
+    """(name, works, n): every spelling with the works it is cited for, known by their whole titles or DOIs; elements between semicolons
+    without blanks at their ends. A reference without either shares no work with another."""
+    keys = [F.regexp_replace(F.lower(F.col(w).cast("string")), r"[^\p{L}\p{N}]+", "") for w in works if w in rows.columns]
+    own = F.array_distinct(F.filter(F.array(*[F.when(F.length(k) > 0, F.xxhash64(k)) for k in keys]), lambda x: x.isNotNull())) if keys else F.array().cast("array<bigint>")
+    parts = [rows.select(F.explode(F.split(c, ";")).alias("name"), own.alias("works")) for c in columns]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.select(F.regexp_replace("name", r"^[ \t]+|[ \t]+$", "").alias("name"), "work").filter(F.length("name") > 0).groupBy("name", "work").agg(F.count(F.lit(1)).alias("n"))
+    return both.select(F.regexp_replace("name", r"^[ \t]+|[ \t]+$", "").alias("name"), "works").filter(F.length("name") > 0).groupBy("name", "works").agg(F.count(F.lit(1)).alias("n"))
 
 
-def entities(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"), work: tuple[str, ...] = ("title",)) -> DataFrame:
+def entities(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"), works: tuple[str, ...] = ("title", "doi")) -> DataFrame:
     """(name, entity): every spelling with the id of its entity, a hash of the form it is best documented under. A spelling
     used for several entities, such as an initial shared by relatives whose works show both, has a row for each.
 
     Null and empty cells give no spelling, neither does "et al."; repeated rows change nothing but counts; an empty table gives
     no row.
     """
-    said = materialise(spellings(rows, columns, work))
+    said = materialise(spellings(rows, columns, works))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +308,9 @@ def entities(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"),
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in range(4)], ["name", "kind", "surname", "rest"])
 
     names = materialise(said.select("name").distinct().mapInArrow(read, "name string, kind string, surname string, rest string").withColumn("form", F.xxhash64("kind", "surname", "rest")))
-    works = materialise(said.join(names.select("name", "form"), "name").groupBy("form", "work").agg(F.sum("n").alias("n")))
-    counts = works.groupBy("form").agg(F.sum("n").alias("n"))
+    cited = said.join(names.select("name", "form"), "name")
+    works = materialise(cited.select("form", F.explode("works").alias("work")).distinct())
+    counts = cited.groupBy("form").agg(F.sum("n").alias("n"))
     forms = materialise(names.select("form", "kind", "surname", "rest").distinct().join(counts, "form"))
 
     first = forms.filter("kind = 'p'").select("surname", F.split("rest", " ")[0].alias("given")).distinct()
@@ -251,12 +318,8 @@ def entities(rows: DataFrame, columns: tuple[str, ...] = ("authors", "editors"),
     least = max(KNOWN_LEAST, KNOWN_SHARE * first.count())
     known = frozenset(r["given"] for r in per.filter(F.col("n") >= least).collect())  # at most 1 / KNOWN_SHARE of them
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(f, k) for f, *x in zip(*(c.to_pylist() for c in batch.columns)) for k in block_keys(*x)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], ["form", "key"])
-
-    keys = materialise(forms.select("form", "kind", "surname", "rest").mapInArrow(key, "form long, key string").withColumn("key", F.xxhash64("key")))
+    codes = materialise(chain_codes(forms))
+    keys = materialise(block_keys(codes, common_keys(codes)))
     met = keys.join(keys.withColumnRenamed("form", "other"), "key").filter(F.col("form") < F.col("other")).select("form", "other").distinct()
     one = forms.select("form", "kind", F.col("surname").alias("s1"), F.col("rest").alias("r1"), F.col("n").alias("n1"))
     two = forms.select(F.col("form").alias("other"), F.col("kind").alias("kind2"), F.col("surname").alias("s2"), F.col("rest").alias("r2"), F.col("n").alias("n2"))

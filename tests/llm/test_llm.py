@@ -159,7 +159,7 @@ def test_names_agree(a, b, same):
     got = (N.agree_person(p[1], p[2], q[1], q[2]) if p[0] == "p" else N.agree_org(p[2], q[2])) > 0 if p[0] == q[0] else False
     assert got is same
     if same:
-        assert set(N.block_keys(*p)) & set(N.block_keys(*q))
+        assert {k for _, c in N.key_chains(*p) for k in c} & {k for _, c in N.key_chains(*q) for k in c}
 
 
 def test_names_that_are_none():
@@ -184,6 +184,26 @@ def test_entities(spark):
     assert N.entities(df.limit(0)).count() == 0
 
 
+def test_short_surnames_and_works_without_title(spark):
+    kind = "title string, doi string, authors string, editors string"
+    rows = [(f"T{i}", None, a, None) for i, a in enumerate(["Li, Wei", "Li, W.", "LI WEI", "Ng, Ada", "Ng, A.", "Doe, Jo", "Doe, J."])]
+    got = {(r.name_a, r.name_b) for r in N.name_pairs(N.entities(spark.createDataFrame(rows, kind))).collect()}
+    assert {("Li, W.", "Li, Wei"), ("Ng, A.", "Ng, Ada"), ("Doe, J.", "Doe, Jo")} <= got and not any("Li" in a and "Ng" in b for a, b in got)
+    two = lambda t: spark.createDataFrame([(t(0), None, "Hartmann, Jane; Hartmann, J.", None), (t(1), None, "Hartmann, John", None), (t(2), None, "Hartmann, J.", None), (t(3), None, "Hartmann, John", None)], kind)
+    for t in (lambda i: None, lambda i: f"The same beginning of long titles {i}"):  # untitled works, or works of one beginning, are no evidence
+        got = [r.entity for r in N.entities(two(t)).collect() if r.name == "Hartmann, J."]
+        assert len(got) == 1
+
+
+@pytest.mark.parametrize("common", [0, 3, 10**6])
+def test_common_keys_are_refined(spark, monkeypatch, common):
+    monkeypatch.setattr(N, "COMMON", common)
+    rows = [(f"T{i}", None, a, None) for i, a in enumerate(["Gandarssen, Ida"] * 4 + ["Gandarssen, I.", "Gamdarssen, Ida", "Pettarssen, Ida", "Gandarssen, Bo", "Gandarsen, Ida"])]
+    got = {(r.name_a, r.name_b) for r in N.name_pairs(N.entities(spark.createDataFrame(rows, "title string, doi string, authors string, editors string"))).collect()}
+    same = ["Gamdarssen, Ida", "Gandarsen, Ida", "Gandarssen, I.", "Gandarssen, Ida"]
+    assert got == set(itertools.combinations(same, 2))
+
+
 # 5 sentences
 
 OPENERS = {"The", "It", "We", "Die", "Das", "La", "Le", "Our", "Its", "Later"}
