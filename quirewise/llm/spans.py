@@ -2,8 +2,9 @@
 
 A text is cut into segments: longest runs of windows of ``k`` words that have the same smallest hash of four words in a row
 (their minimizer). Equal windows thereby meet in one shard wherever they stand, and a shard holds each segment text only once,
-with the least and the greatest owner. In a shard the windows with two owners are the recurring passages; they are compiled into
-one automaton, through which the shard's segments stream. The segments found are joined back to all records.
+with the least and the greatest owner. There the recurring windows are confirmed and merged into whole passages. The passages of a shard are
+compiled into one automaton, and the segments of all records, copies included, stream through the automata of their shards, which
+report every occurrence. A table of bits of fixed size keeps segments away whose minimizer no passage has.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirewise.runtime import materialise
 
 GRAM = 4
-#: Distinct segments that a shard holds on average, and segments of one minimizer above which its windows are spread one by one.
-SHARD_SEGMENTS, HOT_SEGMENTS, SALTS = 40_000, 200_000, 8
+#: Distinct segments that a shard holds on average, segments of one minimizer above which its windows are spread one by one, rows of one
+#: minimizer above which they stream through several copies of its automaton (there are at most HOT_MOST such), and bits of the table.
+SHARD_SEGMENTS, HOT_SEGMENTS, HOT_ROWS, HOT_MOST, BITS = 40_000, 200_000, 50_000, 10_000, 1 << 22
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
 
 
@@ -76,16 +79,15 @@ def _distinct(texts: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
             owners = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(seg, pa.string()), owners, pa.compute.is_null(owners)], ["low", "seg", "owner", "outer"])
 
-    return texts.select("owner", "text").mapInArrow(cut, "low long, seg string, owner string, outer boolean").groupBy("low", "seg").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("outer").alias("outer"))
+    return texts.select("owner", "text").mapInArrow(cut, "low long, seg string, owner string, outer boolean").groupBy("low", "seg").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("outer").alias("outer"), F.count(F.lit(1)).alias("n"))
 
 
-def locate(shard: pa.Table, k: int) -> pa.Table:
-    """Of one shard (low, seg, lo, hi, outer) the segments that hold recurring windows, with their places as [from, to) pairs."""
-    import ahocorasick
-
+def confirm(shard: pa.Table, k: int) -> pa.Table:
+    """(low, passage) of one shard (low, seg, lo, hi, outer): the longest stretches of its segments of which every ``k`` words recur."""
     pdf = shard.to_pydict()
     vocabulary: dict[str, int] = {}
-    coded = [tuple(vocabulary.setdefault(w, len(vocabulary)) for w in s.split(" ")) for s in pdf["seg"]]
+    split = [s.split(" ") for s in pdf["seg"]]
+    coded = [tuple(vocabulary.setdefault(w, len(vocabulary)) for w in s) for s in split]
     seen: dict[tuple, list] = {}
     recurring = set()
     for ids, lo, hi, outer in zip(coded, pdf["lo"], pdf["hi"], pdf["outer"]):
@@ -101,38 +103,73 @@ def locate(shard: pa.Table, k: int) -> pa.Table:
             if x[0] is not None and (x[2] or x[0] != x[1]):
                 recurring.add(w)
     del seen
-    out = {"low": [], "seg": [], "spans": []}
-    if recurring:
-        passages = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for w in recurring:
-            passages.add_word(w, 1)
-        passages.make_automaton()
-        for low, seg, ids in zip(pdf["low"], pdf["seg"], coded):
-            spans: list[list[int]] = []
-            for end, _ in passages.iter(ids):
-                a, b = end - k + 1, end + 1
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = b
-                else:
-                    spans.append([a, b])
-            if spans:
-                out["low"].append(low)
-                out["seg"].append(seg)
-                out["spans"].append(spans)
-    return pa.table({"low": pa.array(out["low"], pa.int64()), "seg": pa.array(out["seg"], pa.string()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))})
-
-
-def _merge(spans: Column) -> Column:
-    """Sorted, unbroken stretches of an array of (a, b)."""
-    grown = F.aggregate(
-        F.array_sort(spans),
-        F.array().cast("array<struct<a:int,b:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(acc, F.lit(-1))["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return grown
-
-
-def shared_spans(records: DataFrame, outside: DataFrame | None = None, owner: str = "paper_id", item: str = "text_id", text: str = "text", k: int = 12, shard_segments: int = SHARD_SEGMENTS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    out: set[tuple[int, str]] = set()
+    for low, words, ids in zip(pdf["low"], split, coded) if recurring else ():
+        run = None
+        for i in range(len(ids) - k + 1):
+            if ids[i : i + k] in recurring:
+                run = i if run is None else run
+            elif run is not None:
+                out.add((low, " ".join(words[run : i + k - 1])))
+                run = None
+        if run is not None:
+            out.add((low, " ".join(words[run:])))
+    return pa.table({"low": pa.array([x[0] for x in out], pa.int64()), "passage": pa.array([x[1] for x in out], pa.string())})
+
+
+class Passages:
+    """An automaton over words of the passages of one shard."""
+
+    def __init__(self, passages: list[str]):
+        import ahocorasick
+
+        self.vocabulary: dict[str, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for p in passages:
+            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in p.split(" "))
+            self.automaton.add_word(ids, len(ids))
+        self.automaton.make_automaton()
+
+    def spans(self, segment: str) -> list[list[int]]:
+        """Unbroken stretches [from, to) of the segment's words that lie in passages."""
+        known = self.vocabulary
+        out: list[list[int]] = []
+        for end, size in self.automaton.iter(tuple(known.get(w, 0) for w in segment.split(" "))):
+            a, b = end - size + 1, end + 1
+            while out and a <= out[-1][1]:
+                a, b = min(a, out[-1][0]), max(b, out[-1][1])
+                out.pop()
+            out.append([a, b])
+        return out
+
+
+def _located(rows: DataFrame, kinds: str) -> DataFrame:
+    """(o, i, a, b) for rows (o, i, start, seg, kind) sorted by shard, salt and kind: passages (kind 0) are compiled, the segments behind them stream through."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, automaton = None, [], None
+        for batch in batches:
+            shard, salt, kind, start, seg = (batch.column(c).to_pylist() for c in ("shard", "salt", "kind", "start", "seg"))
+            row, first, last = [], [], []
+            for j, key in enumerate(zip(shard, salt)):
+                if key != at:
+                    at, held, automaton = key, [], None
+                if kind[j] == 0:
+                    held.append(seg[j])
+                    continue
+                if held and automaton is None:
+                    automaton, held = Passages(held), []
+                for a, b in automaton.spans(seg[j]) if automaton else ():
+                    row.append(j)
+                    first.append(start[j] + a)
+                    last.append(start[j] + b)
+            t = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("o").take(t), batch.column("i").take(t), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["o", "i", "a", "b"])
+
+    return rows.mapInArrow(stream, f"{kinds}, a int, b int")
+
+
+def shared_spans(records: DataFrame, outside: DataFrame | None = None, owner: str = "paper_id", item: str = "text_id", text: str = "text", k: int = 12, shard_segments: int = SHARD_SEGMENTS, hot_segments: int = HOT_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(owner, item, start_word, end_word): the longest unbroken stretches of words of a record that lie in ``k`` words in a row
     which also stand in a row in a record of another owner, or in a row of ``outside`` (its column ``text``).
 
@@ -145,30 +182,54 @@ def shared_spans(records: DataFrame, outside: DataFrame | None = None, owner: st
         texts = texts.unionByName(outside.select(F.lit(None).cast("string").alias("owner"), F.col("text")))
     hot = np.empty(0, "int64")
     distinct = materialise(_distinct(texts, k, hot))
-    sizes = distinct.groupBy("low").count()
-    frequent = sizes.filter(F.col("count") > hot_segments).select("low").toPandas()["low"]  # at most rows / hot_segments of them
+    sizes = distinct.groupBy("low").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    frequent = sizes.filter(F.col("c") > hot_segments).select("low").toPandas()["low"]  # at most rows / hot_segments of them
     if len(frequent):
         hot = frequent.to_numpy("int64")
         distinct = materialise(_distinct(texts, k, hot))
-    n_shards = max(16, -(-distinct.count() // shard_segments))
-    found = (
-        distinct.withColumn("shard", F.pmod(F.col("low"), F.lit(n_shards)))
-        .groupBy("shard")
-        .applyInArrow(lambda shard: locate(shard, k), "low long, seg string, spans array<array<int>>")
-        .select("low", F.xxhash64("seg").alias("code"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+        sizes = distinct.groupBy("low").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    total = distinct.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n_shards = max(16, -(-total["c"] // shard_segments))
+    each = max(hot_rows, total["n"] // HOT_MOST)
+    salts = {r["low"]: -(-r["n"] // each) for r in sizes.filter(F.col("n") > each).collect()}  # at most HOT_MOST of them
+
+    shard = F.pmod(F.col("low"), F.lit(n_shards)).cast("int").alias("shard")
+    passages = materialise(distinct.withColumn("shard", shard).repartition(n_shards, "shard").groupBy("shard").applyInArrow(lambda x: confirm(x, k), "low long, passage string"))
+    bits = np.zeros(BITS, bool)
+    bits[passages.select(F.pmod("low", F.lit(BITS)).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()] = True  # at most BITS of them
+    sent = records.sparkSession.sparkContext.broadcast((np.packbits(bits), salts))
+
     kinds = f"o {rec.schema['o'].dataType.simpleString()}, i {rec.schema['i'].dataType.simpleString()}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, many = sent.value
+        some = np.unpackbits(packed).astype(bool)
         for batch in batches:
             row, start, seg, low = _segments(batch.column(2).to_pylist(), k, hot)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(low), pa.array(seg, pa.string())], ["o", "i", "start", "low", "seg"])
-
-    places = rec.mapInArrow(cut, f"{kinds}, start int, low long, seg string").select("o", "i", "start", "low", F.xxhash64("seg").alias("code"), F.pmod(F.hash("o", "i"), F.lit(SALTS)).alias("salt"))
-    spans = places.join(found, ["low", "code", "salt"]).select("o", "i", F.explode(F.transform("spans", lambda x: F.struct((x[0] + F.col("start")).alias("a"), (x[1] + F.col("start")).alias("b")))).alias("x"))
-    merged = spans.groupBy("o", "i").agg(_merge(F.collect_set("x")).alias("x"))
-    return merged.select(F.col("o").alias(owner), F.col("i").alias(item), F.explode("x").alias("x")).select(owner, item, F.col("x.a").alias("start_word"), F.col("x.b").alias("end_word"))
+            keep = np.nonzero(some[low % BITS])[0]
+            at = pa.array(np.array(row, "int64")[keep])
+            ways = np.array([many.get(x, 1) for x in low[keep].tolist()], "int64")
+            spread_ = np.array([hash((j, len(t))) for j, t in zip(start, seg)], "int64")[keep] + np.array(row, "int64")[keep] * 7919
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(start, "int32")[keep]), pa.array(low[keep]), pa.array([seg[j] for j in keep.tolist()], pa.string()), pa.array((spread_ % ways).astype("int32"))],
+                ["o", "i", "start", "low", "seg", "salt"],
+            )
+
+    mine = rec.mapInArrow(cut, f"{kinds}, start int, low long, seg string, salt int").select("o", "i", "start", "seg", shard, "salt", F.lit(1).alias("kind"))
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(x, p, j) for x, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for j in range(sent.value[1].get(x, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32())], ["low", "seg", "salt"])
+
+    null = [F.lit(None).cast(rec.schema[c].dataType).alias(c) for c in ("o", "i")]
+    compiled = passages.mapInArrow(copy, "low long, seg string, salt int").select(*null, F.lit(0).alias("start"), "seg", shard, "salt", F.lit(0).alias("kind"))
+    both = compiled.unionByName(mine).repartition(n_shards, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    w = Window.partitionBy("o", "i").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = _located(both, kinds).distinct().withColumn("new", (reach.isNull() | (F.col("a") > reach)).cast("int")).withColumn("isle", F.sum("new").over(w))
+    merged = runs.groupBy("o", "i", "isle").agg(F.min("a").alias("start_word"), F.max("b").alias("end_word"))
+    return merged.select(F.col("o").alias(owner), F.col("i").alias(item), "start_word", "end_word")
 
 
 def coverage(records: DataFrame, spans: DataFrame, owner: str = "paper_id", item: str = "text_id", text: str = "text") -> DataFrame:

@@ -125,8 +125,8 @@ def brute_spans(rows, outside, k):
     return out
 
 
-@pytest.mark.parametrize("hot", [10**9, 1])
-def test_spans_by_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,rows_each", [(10**9, 10**9), (1, 10**9), (10**9, 2), (1, 1)])
+def test_spans_by_brute_force(spark, hot, rows_each):
     rng = random.Random(2)
     phrases = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(4, 20))) for _ in range(12)]
     rows = [(f"p{rng.randrange(6)}", i, "  ".join(rng.choice(phrases) for _ in range(rng.randrange(1, 4)))) for i in range(60)]
@@ -136,13 +136,18 @@ def test_spans_by_brute_force(spark, hot):
     df = df.unionByName(df.limit(5)).withColumn("low", F.lit("clash"))
     src = spark.createDataFrame([(t,) for t in outside], "text string")
     for k in (6, 12):
-        got = {tuple(r) for r in X.shared_spans(df, src, k=k, shard_segments=7, hot_segments=hot).collect()}
+        got = {tuple(r) for r in X.shared_spans(df, src, k=k, shard_segments=7, hot_segments=hot, hot_rows=rows_each).collect()}
         assert got == brute_spans(rows, [t for t in outside if t], k)
     cov = {(r.paper_id, r.text_id): r for r in X.coverage(df, X.shared_spans(df, src, k=6)).collect()}
     assert all(0 <= r.coverage <= 1 for r in cov.values()) and cov["p1", 100].coverage == 0 and len(cov) == len(rows)
     assert X.shared_spans(df.limit(0), src).count() == 0
 
 
+def test_automata_find_whole_passages_and_parts():
+    a = X.Passages(["a b c d e", "c d e f", "x y"])
+    assert a.spans("z a b c d e f q x y") == [[1, 7], [8, 10]] and a.spans("a b c d z c d e") == [] and a.spans("c d e f") == [[0, 4]]
+
+
 # 4 names
 
 
