@@ -20,7 +20,7 @@ from quirewise.runtime import materialise
 TOKENIZERS = os.environ.get("TOKENIZERS_PATH", "/opt/tokenizers")
 #: The fixed pattern by which the vocabularies of byte-level BPE were made.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Beyond so many distinct words, or so many characters in them, the word table is joined by a shuffle instead of being sent to the executors.
+#: Beyond so many distinct words, or so many characters in them, only the most frequent words are sent to the executors, the others are joined by a shuffle.
 TABLE_WORDS, TABLE_CHARS = 1_500_000, 24_000_000
 _FLUSH = 200_000
 _state: dict = {}
@@ -73,15 +73,15 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_table(docs: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(word, ids): the ids of every distinct word, each encoded once; written to the shared folder."""
+    """(word, ids, n): the ids of every distinct word, each encoded once, with its count; written to the shared folder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(tokenizer, folder)._core_bpe.encode_single_piece
         for batch in batches:
             words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([one(w.encode()) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([words, pa.array([one(w.encode()) for w in words.to_pylist()], pa.list_(pa.int32())), batch.column(1)], ["word", "ids", "n"])
 
-    return materialise(distinct_words(docs, text).select("word").mapInArrow(encode, "word string, ids array<int>"))
+    return materialise(distinct_words(docs, text).mapInArrow(encode, "word string, ids array<int>, n long"))
 
 
 def _by_table(docs: DataFrame, key: str, text: str, words: DataFrame, sizes: bool) -> DataFrame:
@@ -122,33 +122,66 @@ def _by_table(docs: DataFrame, key: str, text: str, words: DataFrame, sizes: boo
     return docs.select(key, text).mapInArrow(encode, f"`{key}` {kind}, n_tokens long" if sizes else f"`{key}` {kind}, ids array<int>")
 
 
-def _by_join(docs: DataFrame, key: str, text: str, words: DataFrame, sizes: bool) -> DataFrame:
-    """The same by a shuffle join on the word; rows are kept apart by an id of their own, so repeated keys stay repeated."""
+def _by_join(docs: DataFrame, key: str, text: str, words: DataFrame, sizes: bool, table_words: int) -> DataFrame:
+    """The same for a larger table: the most frequent words are sent to the executors, so that no word of the join is frequent, the
+    others are joined by a shuffle on the word. Rows are kept apart by an id of their own, so repeated keys stay repeated."""
+    # a power of two above which words are frequent, so that they keep to the bounds of the table
+    steps = words.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("w"), F.sum(F.length("word") + F.size("ids")).alias("c")).orderBy(F.desc("k")).collect()  # at most 64 rows
+    k, many, chars = 64, 0, 0
+    for step in steps:
+        many, chars = many + step["w"], chars + step["c"]
+        if many > table_words or chars > TABLE_CHARS:
+            break
+        k = step["k"]
+    often = words.filter(F.col("n") >= 2.0**k).select("word", "ids").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(often.column("word").to_pylist(), often.column("ids").to_pylist())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter()
+        split, known = _splitter(), sent.value
         for batch in batches:
+            row, pos, word, ids = [], [], [], []
+
+            def put(i: int, at: int, w: str | None, x: list[int] | None) -> None:
+                row.append(i)
+                pos.append(at)
+                word.append(w)
+                ids.append(x)
+
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = split.findall(t) if t else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["row", "pos", "word"])
+                held: list[int] = []
+                at = -1
+                for at, w in enumerate(split.findall(t) if t else ()):
+                    x = known.get(w)
+                    if x is not None:
+                        held += x
+                        continue
+                    if held:
+                        put(i, 2 * at, None, held)
+                        held = []
+                    put(i, 2 * at + 1, w, None)
+                if held:
+                    put(i, 2 * at + 2, None, held)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(word, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["row", "pos", "word", "ids"])
 
     # the row ids are written down first: monotonically_increasing_id isn't the same in a repeated task
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
-    at = rows.select("row", "text").mapInArrow(cut, "row long, pos int, word string").join(words, "word")
+    cuts = materialise(rows.select("row", "text").mapInArrow(cut, "row long, pos int, word string, ids array<int>"))
+    rare = cuts.filter("word IS NOT NULL").select("row", "pos", "word").join(words.filter(F.col("n") < 2.0**k).select("word", "ids"), "word").select("row", "pos", "ids")
+    at = cuts.filter("ids IS NOT NULL").select("row", "pos", "ids").unionByName(rare)
     if sizes:
         got = at.groupBy("row").agg(F.sum(F.size("ids")).alias("v"))
-        return rows.join(got, "row", "left").select(F.col("key").alias(key), F.coalesce("v", F.lit(0)).cast("long").alias("n_tokens"))
+        return rows.select("row", "key").join(got, "row", "left").select(F.col("key").alias(key), F.coalesce("v", F.lit(0)).cast("long").alias("n_tokens"))
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]))
     got = at.groupBy("row").agg(ordered.alias("v"))
-    return rows.join(got, "row", "left").select(F.col("key").alias(key), F.coalesce("v", F.array().cast("array<int>")).alias("ids"))
+    return rows.select("row", "key").join(got, "row", "left").select(F.col("key").alias(key), F.coalesce("v", F.array().cast("array<int>")).alias("ids"))
 
 
 def _encode(docs: DataFrame, key: str, text: str, tokenizer: str, folder: str, table_words: int, sizes: bool) -> DataFrame:
     words = word_table(docs, text, tokenizer, folder)
     size = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("word") + F.size("ids")), F.lit(0)).alias("c")).first()
-    way = _by_table if size["n"] <= table_words and size["c"] <= TABLE_CHARS else _by_join
-    return way(docs, key, text, words, sizes)
+    if size["n"] <= table_words and size["c"] <= TABLE_CHARS:
+        return _by_table(docs, key, text, words.select("word", "ids"), sizes)
+    return _by_join(docs, key, text, words, sizes, table_words)
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, table_words: int = TABLE_WORDS) -> DataFrame:
