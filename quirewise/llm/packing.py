@@ -1,7 +1,8 @@
 """Filling of containers of fixed capacity: best fit in every partition, then a tree of merges of what isn't full.
 
 Each level packs the groups of the level below: bins that are nearly full are settled, the others go up as items. The levels
-only hold (bin, size) and the content follows by a join, so the memory of a task doesn't depend on the number of items.
+only hold (bin, size) and the content follows by a join. A group with more bins than a task should hold is split by a hash that differs
+from level to level, and at the root such rounds go on as long as they save bins; so no bin is left out and memory stays bounded.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from quirewise.llm.tokens import TOKENIZERS, token_sizes
 from quirewise.runtime import materialise
 
-#: Unused room up to which a bin counts as full; items that one task packs at once; groups merged by a level; underfull
-#: bins that a group hands up at most, the emptiest first (the others keep their container as it is).
-SLACK, CHUNK, FAN_IN, HAND_UP = 8, 200_000, 8, 20_000
+#: Unused room up to which a bin counts as full; items that one task packs at once; groups merged by a level; underfull bins beyond
+#: which a group is split; share of the bins that a round at the root must save for another one.
+SLACK, CHUNK, FAN_IN, GROUP, GAIN = 8, 200_000, 8, 200_000, 0.001
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -44,7 +45,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, capacity: int, key: str = "item", size: str = "size", groups: int | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int, key: str = "item", size: str = "size", group: int = GROUP) -> DataFrame:
     """(key, size, container STRING) for each item with 0 < size <= capacity; other sizes must be cut or left out before.
 
     Keys must be unique. The packing depends on how the items lie in partitions; it is settled by being written down.
@@ -71,22 +72,26 @@ def pack(items: DataFrame, capacity: int, key: str = "item", size: str = "size",
     packed = materialise(items.select(F.col(key).alias("k"), F.col(size).cast("int").alias("s")).mapInPandas(first, f"k {kind}, s int, bin string"))
     bins = packed.groupBy("bin").agg(F.sum("s").cast("int").alias("s"))
     under = materialise(bins.filter(F.col("s") < capacity - SLACK).withColumn("g", F.split("bin", r"\.")[0].cast("int")))
-    n_groups = groups or max(1, under.select("g").distinct().count())
-    maps = None
-    while n_groups > 1:
-        n_groups = -(-n_groups // FAN_IN)
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["s", "bin"])
-            up = pdf.head(HAND_UP)
-            to = pd.Series(best_fit(up["s"].tolist(), capacity), index=up.index)
-            heads = up["bin"].groupby(to).transform("first")
-            return pd.DataFrame({"bin": up["bin"], "head": heads, "s": up["s"].groupby(to).transform("sum"), "g": up["g"]})
-
-        level = materialise(under.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int")).groupBy("g").applyInPandas(merge, "bin string, head string, s int, g int"))
+    state = under.agg(F.max("g").alias("g"), F.count(F.lit(1)).alias("n")).first()
+    n_groups, left, maps, round_ = (state["g"] or 0) + 1, state["n"], None, 0
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "bin"])
+        to = pd.Series(best_fit(pdf["s"].tolist(), capacity), index=pdf.index)
+        return pd.DataFrame({"bin": pdf["bin"], "head": pdf["bin"].groupby(to).transform("first"), "s": pdf["s"].groupby(to).transform("sum"), "g": pdf["g"]})
+
+    while n_groups > 1 or left > group:
+        n_groups, round_ = -(-n_groups // FAN_IN), round_ + 1
+        up = under.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int"))
+        parts = up.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))  # as many rows as groups
+        split = up.join(F.broadcast(parts), "g").withColumn("h", F.pmod(F.xxhash64("bin", F.lit(round_)), F.col("parts")))
+        level = materialise(split.groupBy("g", "h").applyInPandas(merge, "bin string, head string, s int, g int"))
         moved = level.select("bin", "head")
         maps = moved if maps is None else maps.join(moved.select(F.col("bin").alias("head"), F.col("head").alias("top")), "head", "left").select("bin", F.coalesce("top", "head").alias("head"))
         under = level.filter((F.col("bin") == F.col("head")) & (F.col("s") < capacity - SLACK)).select("bin", "s", "g")
+        before, left = left, under.count()
+        if n_groups == 1 and before - left < GAIN * before:
+            break
     out = packed if maps is None else packed.join(maps, "bin", "left").withColumn("bin", F.coalesce("head", "bin"))
     return out.select(F.col("k").alias(key), F.col("s").alias(size), F.col("bin").alias("container"))
 

@@ -266,7 +266,7 @@ def test_long_texts_stay_feasible():
 # 6 tokens
 
 
-@pytest.mark.parametrize("limit", [TK.TABLE_WORDS, 0])
+@pytest.mark.parametrize("limit", [TK.TABLE_WORDS, 40, 3, 0])
 def test_ids_equal_whole_encoding(spark, limit):
     texts = ["Hello world", "", None, "  two  spaces\n\n", "naïve — Größe 中文 हिन्दी <|endoftext|>", "x" * 5000, "it's we'll 12345 !!!", "Hello world", "  a"]
     df = docs(spark, texts).withColumn("ids", F.lit("clash")).withColumn("word", F.lit(1))
@@ -329,6 +329,22 @@ def test_hopeless_items_stay_alone(spark):
     assert K.pack(items, 2048).select("container").distinct().count() == 200
 
 
+def test_partitions_with_gaps_meet(spark):
+    rows = spark.range(24, numPartitions=24).filter("id IN (0, 8, 16)").select(F.col("id").alias("item"), F.lit(600).alias("size"))
+    assert K.pack(rows, 2048).select("container").distinct().count() == 1
+
+
+@pytest.mark.parametrize("group", [5, 10**6])
+def test_large_groups_are_split_and_lose_nothing(spark, group):
+    items = spark.range(120, numPartitions=10).select(F.col("id").alias("item"), (100 + F.col("id") * 37 % 900).cast("int").alias("size"))
+    got = K.pack(items, 2048, group=group).collect()
+    fill = {}
+    for r in got:
+        fill[r.container] = fill.get(r.container, 0) + r.size
+    assert len({r.item for r in got}) == len(got) == 120 and max(fill.values()) <= 2048
+    assert len(fill) <= 1.2 * sum(fill.values()) / 2048
+
+
 # 8 garbled text
 
 CLEAN = ["Das Maß für die Übung ist größer.", "La réponse dépasse l’échelle après l’épreuve.", "Каждый ответ снижает шкала по плану.", "Příloha vysvětluje třetí měření.", "第二次误差改变了结果。", "Výběr žáků – plain “quote” (±7 €).", "plain ascii", "¤ £ ¢ Å Ð ß · ┌──┐ ©"] * 40
