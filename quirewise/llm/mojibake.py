@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.runtime import materialise
@@ -28,6 +28,8 @@ LOST = "lost"
 ROUNDS, PULL, UNCHANGED = 5, 20.0, 0.7
 #: Evidence of a valid UTF-8 sequence among characters that would form one by chance hardly ever.
 VALID = 5.0
+#: Least gain of a token and of a stretch to count as evidence; places of the table of pair counts: its size doesn't depend on the data.
+TOKEN_GAIN, STRETCH_GAIN, PLACES = 1.0, 0.0, 4_194_301
 #: The prior shares before the first round.
 START = {"utf8": 1e-3, "one": 1e-5, "wide": 1e-4, LOST: 1e-2}
 _SPLIT = re.compile("[ \n\r\t]")
@@ -124,7 +126,7 @@ class _OneByte:
 def chains() -> dict[str, object]:
     """All chains by name, "read as<what it was"."""
     out: dict[str, object] = {f"{e}<utf-8": _Utf8As(e) for e in UTF8_READ_AS}
-    out["cp1252<utf-8<cp1252<utf-8"] = _Utf8As("cp1252", 2)
+    out |= {f"{e}<utf-8<{e}<utf-8": _Utf8As(e, 2) for e in UTF8_READ_AS}
     out |= {f"{e}<utf-8": _Runs(e, "utf-8", "utf8") for e in UTF8_READ_AS_WIDE}
     out |= {f"latin-1<{e}": _Wide(e) for e in WIDE_READ_AS_LATIN}
     out |= {f"{a}<{b}": _OneByte(a, b) for a in ONE_BYTE for b in ONE_BYTE if a != b}
@@ -146,19 +148,21 @@ def pairs(token: str) -> list[tuple[str, str]]:
     return [("", b) if _wide(b) else (a, b) for a, b in zip(s, s[1:]) if not (a.isascii() and b.isascii()) and not (_wide(a) and b == " ")]
 
 
+def place(pair: tuple[str, str]) -> int:
+    return (ord(pair[0] or "\0") * 0x110000 + ord(pair[1])) % PLACES
+
+
 class Judge:
-    """Scores chains for texts by a table of pair counts."""
+    """Scores chains for texts by counts of pairs (by their place) and of characters."""
 
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        self.n, self.chains = counts, chains()
-        self.single: dict[str, int] = {}
-        for (a, b), n in counts.items():
-            for c in {a, b}:
-                if not c.isascii():
-                    self.single[c] = self.single.get(c, 0) + n
+    def __init__(self, counts: dict[int, int], single: dict[str, int]):
+        self.n, self.chains, self.single = counts, chains(), single
         self.known: dict[str, dict[str, float]] = {}
         self.one = [k for k, c in self.chains.items() if c.kind == "one"]
-        self.utf8 = [k for k, c in self.chains.items() if isinstance(c, _Utf8As)]
+        self.utf8 = {k: f"{k}<{k}" for k, c in self.chains.items() if isinstance(c, _Utf8As) and c.times == 1}
+        alone = min(self.n.get(place((" ", "\ufffd")), 0), self.n.get(place(("\ufffd", " ")), 0))
+        # how much likelier the sign of lost characters is in a text that lost some than in one that means it
+        self.lost = math.log(0.5 * (sum(single.values()) + 4) / (alone + 1))
         self.over_latin = [k for k, c in self.chains.items() if c.kind == "wide"]
         self.over_wide = [k for k, c in self.chains.items() if isinstance(c, _Runs) and c.kind == "utf8"]
         self.logs = {c: math.log(n + 0.5) for c, n in self.single.items()}
@@ -189,11 +193,11 @@ class Judge:
                 got = 0.0
             else:
                 after = pairs(new)
-                now = sum(math.log(self.n.get(p, 0) + 0.5) for p in after) / len(after) if after else 2.0
+                now = sum(math.log(self.n.get(place(p), 0) + 0.5) for p in after) / len(after) if after else 2.0
                 weight = sum(not x.isascii() for x in token)
                 if c.kind == "utf8":  # what a valid sequence looked like before is left out: its counts come from garbled texts
                     unseen = any(x not in self.single for x in new if not x.isascii())
-                    plain = isinstance(c, _Utf8As) and chain != "cp866<utf-8"  # only there do real words hold valid sequences
+                    plain = isinstance(c, _Utf8As) and not chain.startswith("cp866<utf-8")  # only there do real words hold valid sequences
                     got = -3.0 if unseen else (now - (0 if plain else self._base(token))) * min(weight / 2, 12) + VALID * plain
                 else:
                     got = (now - self._base(token)) * min(weight, 12)
@@ -206,7 +210,7 @@ class Judge:
         """Mean log count of the token's own pairs."""
         if self.last[0] != token:
             before = pairs(token)
-            self.last = (token, sum(math.log(self.n.get(p, 0) + 0.5) for p in before) / max(1, len(before)))
+            self.last = (token, sum(math.log(self.n.get(place(p), 0) + 0.5) for p in before) / max(1, len(before)))
         return self.last[1]
 
     def _likely(self, token: str, mask: int) -> list[str]:
@@ -230,9 +234,13 @@ class Judge:
                 if not c.isascii():
                     m |= self._mask(c)
                     wide |= _wide(c)
-            rest = [k for k in self.utf8 if self.chains[k].seq.search(token)] + self.over_latin * latin + self.over_wide * wide
+            rest = self.over_latin * latin + self.over_wide * wide
+            for k, twice in self.utf8.items():
+                c = self.chains[k]
+                if c.seq.search(token):
+                    rest += [k, twice] if c.seq.search(c.undo(token)) else [k]
             cand = rest + (self._likely(token, m) if m else [])
-            got = frozenset(k for k in cand if self.gain(k, token) > 2)
+            got = frozenset(k for k in cand if self.gain(k, token) > TOKEN_GAIN)
             if len(self.known) > 400_000:
                 self.known.clear()
             self.known[token] = got
@@ -244,7 +252,7 @@ class Judge:
         out = []
         lost = [w for w in toks if "�" in w and w.strip("�")]  # alone between blanks it may be meant
         if lost:
-            out.append((LOST, 12.0 + len(lost), 0, len(toks)))
+            out.append((LOST, self.lost * sum(w.count("\ufffd") for w in lost), 0, len(toks)))
         cand = set().union(*map(self._hints, set(toks))) if toks else ()
         for k in cand:
             best = run = 0.0
@@ -256,34 +264,36 @@ class Judge:
                 elif run > best:
                     best, span = run, (start, i + 1)
             best -= 2 * math.log1p(span[0] + len(toks) - span[1])
-            if best > 2:
+            if best > STRETCH_GAIN:
                 out.append((k, best, *span))
-        return sorted(out, key=lambda x: -x[1])[:6]
+        return sorted(out, key=lambda x: (-x[1], x[0]))
 
-    def restore(self, chain: str, text: str, first: int, last: int) -> str:
-        """The text with the chain undone in its tokens from ``first`` up to ``last``."""
-        if chain == LOST:
-            return text
-        parts, k = re.split("([ \n\r\t])", text), 0
-        for i, w in enumerate(parts):
-            if not w.isascii():
-                if first <= k < last:
-                    parts[i] = self.chains[chain].undo(w) or w
-                k += 1
-        return "".join(parts)
 
+def restored(known: dict[str, object], chain: str, text: str, first: int, last: int) -> str:
+    """The text with the chain undone in its tokens from ``first`` up to ``last``."""
+    if chain == LOST:
+        return text
+    parts, k = re.split("([ \n\r\t])", text), 0
+    for i, w in enumerate(parts):
+        if not w.isascii():
+            if first <= k < last:
+                parts[i] = known[chain].undo(w) or w
+            k += 1
+    return "".join(parts)
 
-def pair_counts(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
-    """Counts of character pairs over all rows; their number is bounded by the characters in use, not by the rows."""
+
+def pair_counts(docs: DataFrame, text: str = "text") -> tuple[dict[int, int], dict[str, int]]:
+    """Counts over all rows of character pairs by their place (at most PLACES) and of characters beyond ASCII (at most all of Unicode)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
-        total: dict[tuple[str, str], int] = {}
+        total: dict[int, int] = {}
 
         def settle() -> None:
             for w, n in seen.items():
                 for p in pairs(w):
-                    total[p] = total.get(p, 0) + n
+                    for k in (place(p), *(-1 - ord(c) for c in {*p} if c and not c.isascii())):
+                        total[k] = total.get(k, 0) + n
             seen.clear()
 
         for batch in batches:
@@ -293,10 +303,11 @@ def pair_counts(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], in
             if len(seen) > 100_000:
                 settle()
         settle()
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total], pa.string()), pa.array([b for _, b in total], pa.string()), pa.array(total.values(), pa.int64())], ["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["k", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()), rows.column("n").to_pylist()))
+    rows = docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    both = dict(zip(rows.column("k").to_pylist(), rows.column("n").to_pylist()))
+    return {k: n for k, n in both.items() if k >= 0}, {chr(-1 - k): n for k, n in both.items() if k < 0}
 
 
 def garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -305,47 +316,59 @@ def garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     What was lost in decoding (U+FFFD) stays as it is. Null and empty texts and plain ASCII are never garbled; a null source
     counts as one source; repeated rows of a key come out once each; an empty table gives no row.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(pair_counts(docs, text))
+    sent = docs.sparkSession.sparkContext.broadcast(pair_counts(docs, text))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    shape = "array<struct<chain:string,ll:double,first:int,last:int>>"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = Judge(sent.value)
+        j = Judge(*sent.value)
+        of = pa.list_(pa.struct([("chain", pa.string()), ("ll", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            got = [(i, *e, t) for i, t in enumerate(batch.column(2).to_pylist()) for e in j.evidence(t)]
-            at = pa.array([g[0] for g in got], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.float64()), pa.array([j.restore(g[1], g[5], g[3], g[4]) for g in got], pa.string())],
-                ["key", "source", "chain", "ll", "restored"],
-            )
+            got = [j.evidence(t) for t in batch.column(2).to_pylist()]
+            at = pa.array([i for i, g in enumerate(got) if g], pa.int64())
+            found = [[{"chain": c, "ll": v, "first": a, "last": b} for c, v, a, b in g] for g in got if g]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(found, of)], ["key", "source", "text", "ev"])
 
     plain = F.octet_length("text") > F.char_length("text")
-    found = materialise(rows.filter(plain).mapInArrow(judge, f"key {kind}, source string, chain string, ll double, restored string"))
-    found = found.withColumn("rid", F.xxhash64("key", "source"))
+    found = materialise(rows.filter(plain).mapInArrow(judge, f"key {kind}, source string, text string, ev {shape}"))
     sizes = materialise(rows.groupBy("source").agg(F.count(F.lit(1)).alias("size")))
     kinds = {k: c.kind for k, c in chains().items()} | {LOST: LOST}
-    present = {r["chain"] for r in found.select("chain").distinct().collect()}  # at most the fixed number of chains
+    present = {r["chain"] for r in found.select(F.explode("ev.chain").alias("chain")).distinct().collect()}  # at most the fixed number of chains
     kinds = {k: v for k, v in kinds.items() if k in present}
     if not kinds:
-        return found.select(F.col("key").alias(key), "chain", F.lit(0.0).alias("posterior"), F.col("restored").alias(text))
+        return found.select(F.col("key").alias(key), F.lit("").alias("chain"), F.lit(0.0).alias("posterior"), F.col("text").alias(text)).filter(F.lit(False))
     n_all = sizes.agg(F.sum("size")).first()[0] or 0
-    ev = found.select("rid", "source", "chain", "ll").distinct()
-    overall: dict[str, float] = {k: START[v] for k, v in kinds.items()}
-    prior = None
-    for _ in range(ROUNDS):
-        shares = F.create_map(*[F.lit(x) for kv in overall.items() for x in kv])
-        own = ev if prior is None else ev.join(prior, ["source", "chain"], "left")
-        p = shares[F.col("chain")] if prior is None else F.coalesce("share", shares[F.col("chain")] * PULL / (F.col("size0") + PULL))
-        if prior is not None:
-            own = own.join(sizes.withColumnRenamed("size", "size0"), "source")
-        scored = own.select("rid", "source", "chain", (F.col("ll") + F.log(p)).alias("s"))
-        top = scored.groupBy("rid").agg(F.max("s").alias("m"))
-        total = scored.join(top, "rid").groupBy("rid").agg(F.first("m").alias("m"), F.sum(F.exp(F.col("s") - F.col("m"))).alias("z"))
-        post = materialise(scored.join(total, "rid").select("rid", "source", "chain", F.exp(F.col("s") - F.col("m") - F.log(F.col("z") + F.exp(-F.col("m")))).alias("r")))
-        per = post.groupBy("source", "chain").agg(F.sum("r").alias("r"))
-        overall = {k: START[v] for k, v in kinds.items()} | {x["chain"]: max((x["r"] + 1) / (n_all + len(kinds)), START[kinds[x["chain"]]] / 10) for x in post.groupBy("chain").agg(F.sum("r").alias("r")).collect()}
-        shares = F.create_map(*[F.lit(x) for kv in overall.items() for x in kv])
-        prior = materialise(per.join(sizes, "source").select("source", "chain", ((F.col("r") + PULL * shares[F.col("chain")]) / (F.col("size") + PULL)).alias("share")))
-    best = post.groupBy("rid").agg(F.sum("r").alias("p"), F.max_by("chain", F.struct("r", "chain")).alias("chain")).filter("p > 0.5")
-    return found.join(best, ["rid", "chain"]).select(F.col("key").alias(key), "chain", F.col("p").alias("posterior"), F.col("restored").alias(text)).distinct()
+    overall = {k: START[v] for k, v in kinds.items()}
+
+    def shares(of: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+
+    # one row a source: its size, and the share of each chain that its records showed
+    prior = sizes.select("source", "size", F.lit(None).cast("map<string,double>").alias("own"))
+    for round_ in range(ROUNDS):
+        all_ = shares(overall)
+        known = found.select("key", "source", "text", "ev").join(prior, "source") if round_ else found.withColumn("own", F.lit(None).cast("map<string,double>")).withColumn("size", F.lit(0.0))
+        share = lambda e: (F.coalesce(F.element_at("own", e["chain"]), F.lit(0.0)) + PULL * F.element_at(all_, e["chain"])) / (F.col("size") + PULL)  # noqa: B023, E731
+        scored = known.withColumn("s", F.transform("ev", lambda e: e["ll"] + F.log(share(e)))).withColumn("m", F.array_max("s"))
+        base = scored.withColumn("z", F.aggregate("s", F.exp(-F.col("m")), lambda acc, x: acc + F.exp(x - F.col("m"))))
+        post = base.withColumn("r", F.transform("s", lambda x: F.exp(x - F.col("m")) / F.col("z")))
+        if round_ == ROUNDS - 1:
+            break
+        each = post.select("source", F.explode(F.arrays_zip(F.col("ev.chain").alias("chain"), F.col("r"))).alias("x")).groupBy("source", F.col("x.chain").alias("chain")).agg(F.sum("x.r").alias("r"))
+        each = materialise(each)
+        summed = {x["chain"]: x["r"] for x in each.groupBy("chain").agg(F.sum("r").alias("r")).collect()}  # as many as chains
+        overall = {k: max((summed.get(k, 0.0) + 1) / (n_all + len(kinds)), START[v] / 10) for k, v in kinds.items()}
+        own = each.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "r"))).alias("own"))
+        prior = materialise(sizes.join(own, "source", "left"))
+
+    best = post.withColumn("p", 1 - F.exp(-F.col("m")) / F.col("z")).filter("p > 0.5").withColumn("e", F.element_at("ev", F.array_position("s", F.col("m")).cast("int")))
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = chains()
+        for batch in batches:
+            d = [batch.column(c).to_pylist() for c in ("chain", "text", "first", "last")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chain"), batch.column("posterior"), pa.array([restored(known, *x) for x in zip(*d)], pa.string())], [key, "chain", "posterior", text])
+
+    chosen = best.select("key", F.col("e.chain").alias("chain"), F.col("p").alias("posterior"), "text", F.col("e.first").alias("first"), F.col("e.last").alias("last")).distinct()
+    return chosen.mapInArrow(restore, f"`{key}` {kind}, chain string, posterior double, `{text}` string").distinct()
