@@ -1,9 +1,9 @@
 """Spellings of names linked to one entity each, by suffix blocking and longest common subsequences.
 
 A spelling is read into a form: surname and given names of a person, or the words of an organisation, folded to plain small
-letters. Forms that share a suffix of a token are compared. A suffix that too many forms have counts only together with the initial
-of the given name, then with one, two and three first letters of its token; what is too common even so is discarded, while the longer
-suffixes of the token and the whole of it stand in any case. Pairs are compared by the ratio of their longest common subsequence; each form
+letters. Forms that share a suffix of a token and the initial of the given name are compared. A suffix that too many forms have counts
+only together with the first letter of its token, then with three; what is too common even so is discarded, while the longer suffixes of
+the token and the whole of it stand in any case. Pairs are compared by the ratio of their longest common subsequence; each form
 then joins the best documented form it agrees with, and works both are cited for count first.
 """
 
@@ -52,7 +52,7 @@ ORG_EMPTY = {"the", "of", "for", "and", "in", "fur", "pour", "de"}
 MIN_SUFFIX, MIN_RATIO = 3, 0.84
 #: Forms above which a key is common, and places of the table of common keys: its size doesn't depend on the data, keys that fall together
 #: add up on all sides alike.
-COMMON, PLACES = 12, 1 << 22
+COMMON, PLACES = 12, 1 << 23
 #: Given names that so large a share of the surnames (but at least so many) goes with are names of their own, no misprints.
 KNOWN_SHARE, KNOWN_LEAST = 0.003, 4
 
@@ -218,23 +218,24 @@ def key_chains(kind: str, surname: str, rest: str) -> list[tuple[bool, tuple[str
         out.append((True, (f"={f}|{t}",)))
         for size in range(MIN_SUFFIX, len(t)):
             end, room = t[-size:], len(t) - size
-            heads = [t[:q] for q in range(1, min(3, room - 1) + 1)]
-            out.append((size >= len(t) - 3, (f"{kind}{end}", f"{f}|{end}", *(f"{f}|{h}|{end}" for h in heads))))
+            heads = [t[:q] for q in sorted({1, min(3, room - 1)}) if 0 < q < room]
+            out.append((size >= len(t) - 3, (f"{f}|{end}", *(f"{f}|{h}|{end}" for h in heads))))
         for size in range(max(MIN_SUFFIX, len(t) - 4), len(t)):  # misprints in the last letters
-            out.append((size >= len(t) - 3, (f"{kind}{t[:size]}<", f"{f}|{t[:size]}<")))
+            out.append((size >= len(t) - 3, (f"{f}|{t[:size]}<",)))
         if kind == "p" and ("." in surname or len(t) > 11):  # a second surname may be cut short
             out.append((True, (f"{f}|{t[:6]}<<",)))
     return out
 
 
 def chain_codes(forms: DataFrame) -> DataFrame:
-    """(form, keys, marks): the hashed keys of all chains one behind the other; a mark is 1 at the start of a chain, 2 more where it stands."""
+    """(form, keys, marks): the hashed keys of all chains one behind the other; a mark is 1 at the start of a chain, 2 more where the chain
+    stands, 4 more for a last key that stands, whose count doesn't matter."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chains = [key_chains(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             keys = pd.util.hash_array(np.array([k for c in chains for _, ks in c for k in ks], object), categorize=False).view("int64")
-            marks = np.array([(j == 0) + 2 * stands for c in chains for stands, ks in c for j in range(len(ks))], "int8")
+            marks = np.array([(j == 0) + 2 * stands + 4 * (stands and j == len(ks) - 1) for c in chains for stands, ks in c for j in range(len(ks))], "int8")
             ends = np.cumsum([0, *(sum(len(ks) for _, ks in c) for c in chains)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(marks))], ["form", "keys", "marks"])
 
@@ -246,13 +247,11 @@ def common_keys(codes: DataFrame) -> Broadcast:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            own = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
-            both = np.unique(own * PLACES + keys.flatten().to_numpy().view("uint64").astype("uint64") % np.uint64(PLACES)) % PLACES
-            at, n = np.unique(both, return_counts=True)
+            keys = batch.column(0).flatten().to_numpy()[batch.column(1).flatten().to_numpy() < 4]  # a form has a key but once or twice
+            at, n = np.unique((keys.view("uint64") % np.uint64(PLACES)).astype("int64"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype("int64")), pa.array(n.astype("int64"))], ["place", "n"])
 
-    rows = codes.select("keys").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    rows = codes.select("keys", "marks").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     found = np.zeros(PLACES, bool)
     found[rows.filter(F.col("n") > COMMON).select("place").toArrow().column("place").to_numpy()] = True  # at most PLACES of them
     return codes.sparkSession.sparkContext.broadcast(np.packbits(found))
@@ -270,10 +269,8 @@ def block_keys(codes: DataFrame, common: Broadcast) -> DataFrame:
                 continue
             own = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             start = np.nonzero(marks & 1)[0]
-            last = np.append(start[1:], len(keys)) - 1
-            free = np.where(often[(keys.view("uint64") % np.uint64(PLACES)).astype("int64")], len(keys), np.arange(len(keys)))
-            at = np.minimum.reduceat(free, start)
-            at = np.where((at == len(keys)) & (marks[start] >= 2), last, at)
+            often_ = often[(keys.view("uint64") % np.uint64(PLACES)).astype("int64")] & (marks < 4)
+            at = np.minimum.reduceat(np.where(often_, len(keys), np.arange(len(keys))), start)
             at = at[at < len(keys)]
             got = np.unique(np.stack([own[at], keys[at]]), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got[0])), pa.array(got[1])], ["form", "key"])
