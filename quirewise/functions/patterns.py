@@ -11,13 +11,19 @@ from dataclasses import dataclass, field
 _BEFORE, _BEHIND = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def java(pattern: str, ignore_case: bool = True) -> str:
-    """The pattern as Spark needs it: each ``\\b`` as the edge it is, before or behind a word."""
+    """The pattern as Spark needs it: each ``\\b`` as an edge between ASCII words. Where a plain letter stands beside it one look suffices,
+    next to anything optional, a class or a group both sides are looked at."""
     parts = pattern.split(r"\b")
     out = parts[0]
     for p in parts[1:]:
-        last, follows = out[-1:], p[:1]
-        out += (_BEHIND if last.isalnum() or not (follows.isalnum() or follows in "([\\" and follows) else _BEFORE) + p
+        last, follows, after = out[-1:], p[:1], p[1:2]
+        plain = last.isascii() and last.isalnum() and out[-2:-1] != "\\"
+        opens = follows.isascii() and follows.isalnum() and after not in ("?", "*", "{")
+        out += (_BEHIND if plain else _BEFORE if opens else _EDGE) + p
     return ("(?i)" if ignore_case else "") + out
 
 
@@ -72,7 +78,7 @@ NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 T_TEST = rf"\bt\s*\(\s*([0-9]+)\s*\)\s*=\s*({NUMBER})"
 F_TEST = rf"\bF\s*\(\s*([0-9]+)\s*,\s*([0-9]+)\s*\)\s*=\s*({NUMBER})"
 CHI_TEST = rf"(?:[χΧ]|\bchi|\bchi-squared|\bchisq)\s*[2²]?\s*\(\s*([0-9]+)\s*\)\s*=\s*({NUMBER})"
-P_NEXT = r"[,;]?\s*p\s*([<=>])\s*([0-9]*\.[0-9]+)"
+P_NEXT = r"[,;]?\s*p\s*([<=>~])\s*([0-9]*\.[0-9]+)"
 CI = rf"([0-9]{{2}}(?:\.[0-9])?)\s*%?\s*(?:CI|confidence interval)[^\[(\n]{{0,20}}[\[(]?\s*({NUMBER})\s*[,;]\s*({NUMBER})\s*[\])]?"
 # Effect sizes by the signs they are reported with.
 EFFECTS = {
@@ -91,9 +97,16 @@ URL = r"(?:https?://|www\.)[^\s<>\"')\]}]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com
 CITATION = r"\(([^()]*[A-Z][^()]*,? (?:1[6-9]|20)[0-9][0-9][a-z]?[^()]*)\)"
 
 _SIG = r"\bsignifican"
-FLAGS: dict[str, Flag] = {
+# The vocabulary of the checks; a tuple of flags holds where one of them does.
+FLAGS: dict[str, Flag | tuple[Flag, ...]] = {
     "marginal": _f(rf"(?:\bmargin[a-z]*(?: +[a-z]+){{0,5}}|\btrend[a-z]*(?: +[a-z]+){{0,1}}|\balmost(?: +[a-z]+){{0,2}}|\bapproach[a-z]*(?: +[a-z]+){{0,2}}|\bborder[a-z]*(?: +[a-z]+){{0,2}}|\bclose to(?: +[a-z]+){{0,2}}) +{_SIG[2:]}"),
-    "coi": _f(r"conflicts? of interest|competing (?:financial )?interest|declarations? of interest|duality of interest|financial disclosure|\bdisclosures?\b[^\n]{0,60}interest", never=(r"no information on (?:conflicts|competing)",)),
+    "coi": (
+        _f(r"competing financial interest|declaration of interest|duality of interest"),
+        _f(r"conflicts? of interest|competing interests?", r"author|interests?[.:;,]|disclosed|reported|mentioned|declared|communicated|revealed|divulged|aired|voiced|expressed|no[^\n]{0,20}(?:conflict|competing)"),
+        _f(r"conflicts? of interest|competing interests?", cased=(r"Conflict|CONFLICT|Compet|COMPET",)),
+        _f(r"disclosure", r"\binterests?\b", never=(r"financial disclosure|conflicts? of interest|competing interests?",)),
+        _f(r"disclosure", cased=(r"Disclos|DISCLOS|No|NO|Nil|NIL|Author[^\n]{0,2} [dD]isclo",), never=(r"financial disclosure|conflicts? of interest|competing interests?",)),
+    ),
     "funding": _f(r"\bfunder|\bfunded\b|\bfunding\b|\bfinanc|\bsupported by\b|\bgrant|\bsponsor|\backnowledg", r"\bworks?\b|\bstud(?:y|ies)\b|\bresearch\b|\bmanuscript\b|\bproject\b|\bpaper\b|\barticle\b|\bauthor|\bthank", never=(r"\b(?:no|without|not) (?:[a-z]+ )?(?:fund|support|grant)",)),
     "data_sentence": _f(r"\bdata(?:sets?)?\b", r"\bavailab|\bsupplement|\barchive|\baccess|\bshared?\b|\bonline\b|\bfound\b|\bfind\b|\bdetailed\b|\bsee\b|https?:|\brepositor|\bosf\b|open science framework|researchbox|zenodo|github|figshare|datadryad|kaggle|mendeley|dataverse|ourworldindata"),
     "data_request": _f(r"\bdata(?:sets?)?\b", r"\b(?:on|upon) (?:reasonable )?request"),
@@ -122,18 +135,18 @@ FLAGS: dict[str, Flag] = {
     "panel_quality": _f(r"\battention checks?\b|\bcatch trials?\b|\binstructional manipulation check|\bIMC\b|\bbot detection\b|\bduplicate (?:IP|response)|\bcaptcha\b|\bscreening question"),
     "missing": _f(r"\bmissing (?:data|values?)\b|\battrition\b|\bdrop-?out\b|\bdid not complete\b|\bincomplete responses?\b"),
     "missing_handled": _f(r"\b(?:listwise|pairwise) deletion\b|\b(?:multiple|mean) imputation\b|\bFIML\b|\bfull information maximum likelihood\b|\bMICE\b|\bcomplete-case analysis\b|\bexpectation-maximi[sz]ation\b"),
-    "r_ethics": _f(r"\bethics\b|\bIRB\b|\bapproval\b|\bconsent\b"),
-    "r_credit": _f(r"\bcredit (?:author|taxonomy)|\bauthor contributions?\b"),
-    "r_coi": _f(r"conflicts? of interest|competing interests?"),
-    "r_funding": _f(r"\bfunding\b|\bsupported by\b|\bgrants?\b"),
-    "r_prereg": _f(r"\bpre-?regist|\baspredicted\b|\bosf\.io\b"),
-    "r_protocol": _f(r"\bprotocol\b|\banalysis plan\b"),
-    "r_materials": _f(r"\bmaterials?\b[^\n]{0,60}\bavailable\b|\bmaterials?\b[^\n]{0,80}(?:osf|zenodo|github)"),
-    "r_data": _f(r"\bdata\b[^\n]{0,60}\bavailable\b|\bdatasets?\b|\bdata\b[^\n]{0,80}(?:osf|zenodo)"),
-    "r_code": _f(r"\bcode\b[^\n]{0,60}\bavailable\b|\breplication package\b|github"),
-    "r_preprint": _f(r"\bpreprint|\barxiv\b"),
-    "r_model": _f(r"\bchatgpt\b|\bgpt-?[0-9]|\bgenerative (?:AI|model)|\blarge language model|\bAI-assisted\b"),
-    "r_impact": _f(r"\bsocial impact\b|\bsocietal impact\b"),
+    "r_ethics": _f(r"ethic|IRB|institutional review|approval|consent"),
+    "r_credit": _f(r"credit|author contribution|contribution statement"),
+    "r_coi": _f(r"conflict of interest|competing interest"),
+    "r_funding": _f(r"funding|supported by|grant|funded"),
+    "r_prereg": _f(r"pre-?regist|aspredicted|osf\.io"),
+    "r_protocol": _f(r"protocol|preregistered analysis plan|pre-?analysis plan"),
+    "r_materials": _f(r"materials? (?:are|available|at)|osf\.io|zenodo|github"),
+    "r_data": _f(r"data (?:are|available|at)|data availability|dataset|osf\.io|zenodo"),
+    "r_code": _f(r"code (?:is|are|available|at)|analytic code|replication package|github"),
+    "r_preprint": _f(r"preprint|psyarxiv|arxiv|pre-print"),
+    "r_model": _f(r"\b(?:ChatGPT|OpenAI|Claude|Gemini|Bard|Copilot|Qwen|Ollama|Mistral|Llama|DeepSeek|Grok|Perplexity|Midjourney|DALL[- ]?E|Opus|Sonnet|Haiku|GPT[- ]?[0-9]?|LLM|LLMs)\b|large language model|generative AI|artificial intelligence|AI[- ]?(?:tool|assistant|chatbot|generated|assisted|usage|model)"),
+    "r_impact": _f(r"social impact"),
 }
 POWER_WORD, POWER_TERM, POWER_NUMBER = r"\bpower(?:ed|s)?\b", r"\beffect size|\bsample size|\ba priori\b|\ba posteriori\b|\bpost[- ]hoc\b|\bsensitivity\b|\bstatistical power\b|\bto detect\b|\bachieve|\bobserved power\b", r"(?:^|[^0-9])(?:[0-9]{1,3}|[013-9][0-9]{3}|2[1-9][0-9]{2})(?:[^0-9]|$)"
 
@@ -171,6 +184,6 @@ CHECKS: dict[str, Check] = {
     "response_rate_check": Check(("survey", "response_rate", "panel", "panel_quality"), {"survey_checks": "CAST(n_survey > 0 AS INT) + CAST(n_panel > 0 AS INT)", "survey_missing": "CAST(n_survey > 0 AND n_response_rate = 0 AS INT) + CAST(n_panel > 0 AND n_panel_quality = 0 AS INT)"}, _light(("n_survey = 0 AND n_panel = 0", "na"), ("(n_survey = 0 OR n_response_rate > 0) AND (n_panel = 0 OR n_panel_quality > 0)", "green"), other="yellow"), "Survey response"),
     "missing_data_check": Check(("missing", "missing_handled"), {"missing_data_mentions": "n_missing", "handling_method_found": "CAST(n_missing_handled > 0 AS INT)"}, _light(("n_missing = 0", "na"), ("n_missing_handled > 0", "green"), other="yellow"), "Missing data"),
     "r2_check": Check(tuple(R_ITEMS), {"r2_checks": "14", "r2_passed": _R_SUM}, _light((f"{_R_SUM} = 14", "green"), other="yellow"), "Editorial checklist", "Open science & transparency", ("bib", "doi")),
-    "harking_check": Check(("confirmatory", "prereg"), {"confirmatory_statements": "n_confirmatory", "preregistration_found": "CAST(n_prereg > 0 OR n_prereg_link > 0 AS INT)"}, _light(("n_confirmatory = 0", "na"), ("n_prereg > 0 OR n_prereg_link > 0", "green"), other="yellow"), "Confirmatory claims", "Social science methodology", ("prereg_link",)),
+    "harking_check": Check(("confirmatory",), {"confirmatory_statements": "n_confirmatory", "preregistration_found": "CAST(n_prereg_link > 0 AS INT)"}, _light(("n_confirmatory = 0", "na"), ("n_prereg_link > 0", "green"), other="yellow"), "Confirmatory claims", "Social science methodology", ("prereg_link",)),
     "multiple_comparisons_check": Check(("multiplicity",), {"p_value_n": "n_p", "correction_mentioned": "CAST(n_multiplicity > 0 AS INT)"}, _light(("n_p < 5", "na"), ("n_multiplicity > 0", "green"), other="yellow"), "Multiple comparisons", "Social science methodology", ("p",)),
 }

@@ -9,19 +9,29 @@ from quirewise.functions.patterns import Flag, java, stems
 from quirewise.functions.stats import let
 
 # Words without weight in titles and phrases.
-STOPWORDS = "a an the of in on and or for to from with by at as is are was were be been this that these those it its their our we not no than then into between among during after before".split()
+STOPWORDS = """a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing
+down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now
+of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under
+until up very was we were what when where which while who whom why will with would you your et al fig table""".split()
 # Words that don't identify an affiliation.
-AFFILIATION_STOPWORDS = "the of and for in at university department institute school college faculty center centre laboratory hospital research national state science sciences division group inc ltd llc gmbh".split()
+AFFILIATION_STOPWORDS = """university of the department institute hospital school college center centre faculty and for medical national laboratory research group inc ltd
+gmbh corporation company science sciences""".split()
 
 
 def matches(c: Column | str, pattern: str, ignore_case: bool = True) -> Column:
     return (F.col(c) if isinstance(c, str) else c).rlike(java(pattern, ignore_case))
 
 
-def flag(c: Column | str, f: Flag, low: Column | None = None) -> Column:
-    """Whether a sentence meets a flag; false for null. With ``low``, the text in small letters, literals are looked for first:
+def flag(c: Column | str, f: Flag | tuple[Flag, ...], low: Column | None = None) -> Column:
+    """Whether a sentence meets a flag, or one of several; false for null. With ``low``, the text in small letters, literals are looked for first:
     a byte search decides nearly every sentence, and the regular expression only runs on the rest."""
 
+    if isinstance(f, tuple):
+        some = flag(c, f[0], low)
+        for g in f[1:]:
+            some = some | flag(c, g, low)
+        return some
+
     def fits(p: str) -> Column:
         words = stems(p) if low is not None else None
         if not words:
@@ -53,14 +63,26 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"), F.lit(0))
 
 
+def normalise_letters(c: Column) -> Column:
+    """Small letters and digits of all scripts, everything else a blank; each sign of scripts without blanks stands alone."""
+    low = F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))
+    apart = F.regexp_replace(low, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])", " $1 ")
+    return F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}\p{M}]+", " "))
+
+
 def shingles(c: Column, k: int = 5) -> Column:
     """Set of k-grams of a normalised text; a shorter text is its own shingle, an empty one has none."""
+    return word_shingles(normalise(c), k)
+
+
+def word_shingles(c: Column, k: int = 5) -> Column:
+    """The same of a text that is normalised."""
 
     def of_words(w: Column) -> Column:
         long = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " ")))
         return F.when(F.size(w) >= k, long).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
-    return let(F.filter(F.split(normalise(c), " "), lambda x: x != ""), of_words)
+    return let(F.filter(F.split(c, " "), lambda x: x != ""), of_words)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -71,6 +71,16 @@ def _per_paper(spark: SparkSession, d: str, counts: DataFrame, light: Column) ->
     return Q.papers(spark, d).join(counts, "paper_id", "left").fillna(0).withColumn("traffic_light", light)
 
 
+def or_na(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """(paper_id, traffic_light) of all papers; na for those without a row."""
+    return Q.papers(spark, d).join(found.select("paper_id", "traffic_light"), "paper_id", "left").fillna("na", ["traffic_light"])
+
+
+def lit_by(spark: SparkSession, d: str, rows: DataFrame, light: str) -> DataFrame:
+    """(paper_id, traffic_light) of all papers: ``light`` for those that have a row, na for the others."""
+    return or_na(spark, d, rows.select("paper_id").distinct().withColumn("traffic_light", F.lit(light)))
+
+
 def lights(*cases: tuple[Column, str], other: str) -> Column:
     out = F.when(cases[0][0], cases[0][1])
     for c, v in cases[1:]:
@@ -104,16 +114,15 @@ def stat_p_nonsig(spark: SparkSession, d: str) -> DataFrame:
 
 
 def computed_p(kind: Column, value: Column, df1: Column, df2: Column) -> Column:
-    return F.when(kind == "t", S.t_p(value, df1)).when(kind == "F", S.f_p(value, df1, df2)).when(kind == "chi2", S.chi2_p(value, df1))
+    return F.when(kind == "t", S.t_p(value, df1)).when(kind == "F", S.f_p(F.abs(value), df1, df2)).when(kind == "chi2", S.chi2_p(value, df1))
 
 
 def statcheck_rows(spark: SparkSession, d: str) -> DataFrame:
     """Tests with a reported p: the p recomputed, whether they disagree, and whether that changes the decision at .05."""
     t = Q.tests(Q.text_table(spark, d)).filter(F.col("kind").isin("t", "F") & F.col("p_reported").isNotNull())
     t = t.withColumn("p_computed", F.round(computed_p(F.col("kind"), F.col("value"), F.col("df1"), F.col("df2")), 6)).filter("p_computed IS NOT NULL")
-    less = F.col("p_comp") == "<"
-    wrong = F.when(less, F.col("p_computed") >= F.col("p_reported")).when(F.col("p_comp") == ">", F.col("p_computed") <= F.col("p_reported")).otherwise(F.round("p_computed", 3) != F.round("p_reported", 3))
-    return t.withColumn("error", wrong).withColumn("decision_error", wrong & ((F.col("p_reported") <= 0.05) != (F.col("p_computed") <= 0.05)))
+    wrong = F.when(F.col("p_comp") == "<", F.col("p_computed") >= F.col("p_reported")).otherwise(F.round("p_computed", 3) != F.round("p_reported", 3))
+    return t.withColumn("error", wrong).withColumn("decision_error", wrong & ((F.col("p_reported") < 0.05) != (F.col("p_computed") < 0.05)))
 
 
 def stat_check(spark: SparkSession, d: str) -> DataFrame:
@@ -121,15 +130,16 @@ def stat_check(spark: SparkSession, d: str) -> DataFrame:
     return _per_paper(spark, d, n, lights((F.col("statcheck_found") == 0, "na"), (F.col("statcheck_errors") > 0, "red"), other="green"))
 
 
+@Q.once
 def effects(text: DataFrame) -> DataFrame:
-    """(paper_id, text_id, kind, value) of the effect sizes reported in a sentence."""
+    """(paper_id, text_id, k, kind, value) of the effect sizes reported in a sentence, numbered kind by kind."""
 
     def found(kind: str, name: str) -> Column:
         rx = P.java(rf"(?:{name})\s*=\s*({P.NUMBER})", kind not in ("V", "f", "g", "r", "d"))
-        return F.transform(F.regexp_extract_all("text", F.lit(rx), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value")))
+        return F.transform(F.regexp_extract_all("text", F.lit(rx), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.try_cast("double").alias("value")))
 
     entries = [found(k, n) for k, n in P.EFFECTS.items()]
-    return text.filter(F.col("text").rlike(f"=\\s*{P.NUMBER}")).select("paper_id", "text_id", F.explode(F.concat(*entries)).alias("e")).select("paper_id", "text_id", "e.kind", "e.value")
+    return text.filter(F.col("text").rlike(f"=\\s*{P.NUMBER}")).select("paper_id", "text_id", F.posexplode(F.concat(*entries)).alias("k", "e")).select("paper_id", "text_id", "k", "e.kind", "e.value")
 
 
 def stat_effect_size(spark: SparkSession, d: str) -> DataFrame:
@@ -142,18 +152,23 @@ def stat_effect_size(spark: SparkSession, d: str) -> DataFrame:
     return _per_paper(spark, d, n, lights((found + missing == 0, "na"), (found == 0, "red"), (missing > 0, "yellow"), other="green"))
 
 
+def named_sizes(text: DataFrame) -> DataFrame:
+    """(paper_id, text_id, n1, n2, m): group sizes and the m of a table as the sentence names them; n stands for n1."""
+    size = lambda p: F.regexp_extract("text", P.java(p), 1).try_cast("int")
+    return text.filter(F.col("text").rlike("[0-9]")).select("paper_id", "text_id", F.coalesce(size(r"\bn1\s*=\s*([0-9]+)"), size(r"\bn\s*=\s*([0-9]+)")).alias("n1"), size(r"\bn2\s*=\s*([0-9]+)").alias("n2"), size(r"\b(?:df|m)\s*=\s*([0-9]+)").alias("m"))
+
+
 def es_check_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Every test crossed with the effect sizes of its sentence: the size recomputed from the test and compared; unsupported pairs are SKIP."""
+    """Every test crossed with the effect sizes of its sentence: the size recomputed from the test and compared. SKIP where the pair has no
+    rule or where the sentence doesn't name what it takes: both group sizes for d and g, n for dz and phi, n and m for V (1 for one degree)."""
     text = Q.text_table(spark, d)
-    size = lambda p: F.regexp_extract("text", P.java(p, False), 1).try_cast("int")
-    t = Q.tests(text).select("paper_id", "text_id", F.col("kind").alias("test"), "ord", "df1", "df2", "value", size(r"\b[nN]\s*=\s*([0-9]+)").alias("n"))
-    x = t.join(effects(text).withColumnsRenamed({"kind": "effect", "value": "reported"}), ["paper_id", "text_id"])
-    v, a, b, n = F.col("value"), F.col("df1"), F.col("df2"), F.col("n")
-    half = (a + 2) / 2
+    t = Q.tests(text).select("paper_id", "text_id", F.col("kind").alias("test"), "ord", "df1", "df2", "value").join(named_sizes(text), ["paper_id", "text_id"])
+    x = t.join(effects(text).drop("k").withColumnsRenamed({"kind": "effect", "value": "reported"}), ["paper_id", "text_id"])
+    v, a, b, n1, n2 = F.col("value"), F.col("df1"), F.col("df2"), F.col("n1"), F.col("n2")
     is_ = lambda k, e: (F.col("test") == k) & (F.col("effect") == e)
     got = (
-        F.when(is_("t", "d"), S.d_from_t(v, half, half)).when(is_("t", "g"), S.hedges(S.d_from_t(v, half, half), a)).when(is_("t", "dz"), S.dz_from_t(v, a + 1)).when(is_("t", "r"), S.r_from_t(v, a)).when(is_("F", "eta2"), S.eta2_from_f(v, a, b))
-        .when(is_("F", "omega2"), S.omega2_from_f(v, a, b)).when(is_("F", "f"), S.cohens_f(v, a, b)).when(is_("chi2", "phi"), S.phi_from_chi2(v, n)).when(is_("chi2", "V"), S.v_from_chi2(v, n, a))
+        F.when(is_("t", "d"), S.d_from_t(v, n1, n2)).when(is_("t", "g"), S.hedges(S.d_from_t(v, n1, n2), n1 + n2 - 2)).when(is_("t", "dz"), S.dz_from_t(v, n1)).when(is_("t", "r"), S.r_from_t(v, a)).when(is_("F", "eta2"), S.eta2_from_f(v, a, b))
+        .when(is_("F", "omega2"), S.omega2_from_f(v, a, b)).when(is_("F", "f"), S.cohens_f(v, a, b)).when(is_("chi2", "phi"), S.phi_from_chi2(v, n1)).when(is_("chi2", "V"), S.v_from_chi2(v, n1, F.coalesce("m", F.when(a == 1, 1))))
     )
     return x.withColumn("computed", F.round(got, 6)).withColumn("status", S.compare(F.col("reported"), F.col("computed")))
 
@@ -161,22 +176,40 @@ def es_check_rows(spark: SparkSession, d: str) -> DataFrame:
 def intervals(text: DataFrame) -> DataFrame:
     """(paper_id, text_id, ord, level, lo, hi): confidence intervals as reported."""
     rx = P.java(P.CI)
-    g = lambda k: F.regexp_extract("match", rx, k).cast("double")
+    g = lambda k: F.regexp_extract("match", rx, k).try_cast("double")
     return Q.exploded(text, P.CI).select("paper_id", "text_id", "ord", (g(1) / 100).alias("level"), g(2).alias("lo"), g(3).alias("hi"))
 
 
-def ci_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals against the first effect size of their sentence: ERROR if reversed, WARN if off-centre, ERROR if the effect lies outside."""
+def ci_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals with an effect size of their sentence: for each test the first size, in sentences without a test every size."""
     text = Q.text_table(spark, d)
-    first = effects(text).groupBy("paper_id", "text_id").agg(F.min(F.struct("kind", "value")).alias("e")).select("paper_id", "text_id", F.col("e.kind").alias("effect"), F.col("e.value").alias("es"))
-    x = intervals(text).join(first, ["paper_id", "text_id"])
-    tolerance = F.greatest(F.lit(0.05), 0.10 * F.abs("es"))
-    status = F.when(F.col("lo") > F.col("hi"), "ERROR").when((F.col("es") < F.col("lo")) | (F.col("es") > F.col("hi")), "ERROR").when(F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("es")) > tolerance, "WARN").otherwise("PASS")
-    return x.withColumn("status", status)
-
-
-def es_check(spark: SparkSession, d: str) -> DataFrame:
-    rows = es_check_rows(spark, d).select("paper_id", "status").unionByName(ci_rows(spark, d).select("paper_id", "status"))
+    t = Q.tests(text).select("paper_id", "text_id", F.col("kind").alias("test"), F.col("ord").alias("test_ord"), "df1", "df2", F.col("value").alias("stat"))
+    e = effects(text).withColumnsRenamed({"kind": "effect", "value": "es"})
+    x = intervals(text).join(e, ["paper_id", "text_id"]).join(named_sizes(text), ["paper_id", "text_id"]).join(t, ["paper_id", "text_id"], "left")
+    return x.filter("test IS NULL OR k = 0")
+
+
+def ci_rows(spark: SparkSession, d: str, inversions: bool = False) -> DataFrame:
+    """Intervals against effect sizes: ERROR if reversed, WARN if off-centre, then compared with the interval computed by the method of
+    the kind where the sentence names what it takes, else PASS. The methods of eta squared and dz invert noncentral distributions in
+    Python and count with ``inversions`` only."""
+    x = ci_pairs(spark, d)
+    lo, hi, es, n1, n2 = (F.col(c) for c in ("lo", "hi", "es", "n1", "n2"))
+    off = F.abs((lo + hi) / 2 - es) > F.greatest(F.lit(0.05), 0.10 * F.abs(es))
+    status = F.when(hi < lo, "ERROR").when(off, "WARN")
+    r, dd = S.ci_r(es, n1), S.ci_d(es, n1, n2)
+    if inversions:
+        keys = x.filter((F.col("effect") == "eta2") & (F.col("test") == "F")).select("stat", "df1", "df2").distinct()
+        eta = keys.withColumn("eta", S.eta2_interval_udf()(F.col("stat"), F.col("df1").cast("double"), F.col("df2").cast("double"), F.lit(0.95)))
+        dz = x.filter((F.col("effect") == "dz") & (n1 >= 2)).select("es", "n1").distinct().withColumn("dz", S.dz_interval_udf()(es * F.sqrt(n1), n1.cast("double"), F.lit(0.95)))
+        x = x.join(eta, ["stat", "df1", "df2"], "left").join(dz, ["es", "n1"], "left")
+        status = status.when((F.col("effect") == "eta2") & F.col("eta.lo").isNotNull(), S.compare_interval(lo, hi, F.col("eta.lo"), F.col("eta.hi"))).when((F.col("effect") == "dz") & F.col("dz.lo").isNotNull(), S.compare_interval(lo, hi, F.col("dz.lo"), F.col("dz.hi")))
+    status = status.when((F.col("effect") == "r") & r[0].isNotNull(), S.compare_interval(lo, hi, *r)).when((F.col("effect") == "d") & (n1 > 0) & (n2 > 0) & (n1 + n2 > 2), S.compare_interval(lo, hi, *dd)).otherwise("PASS")
+    return x.select("paper_id", "text_id", "ord", "test", "test_ord", "k", "effect", "es", "level", "lo", "hi", status.alias("status"))
+
+
+def es_check(spark: SparkSession, d: str, inversions: bool = False) -> DataFrame:
+    rows = es_check_rows(spark, d).select("paper_id", "status").unionByName(ci_rows(spark, d, inversions).select("paper_id", "status"))
     n = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("es_checked"), *[F.count_if(F.col("status") == s).alias(f"es_{s.lower()}") for s in ("PASS", "WARN", "ERROR", "SKIP")])
     return _per_paper(spark, d, n, lights((F.col("es_checked") == 0, "na"), (F.col("es_error") > 0, "red"), (F.col("es_warn") > 0, "yellow"), other="green"))
 
@@ -264,7 +297,7 @@ def prereg_statement(spark: SparkSession, d: str) -> DataFrame:
 def df_consistency_check(spark: SparkSession, d: str) -> DataFrame:
     """Tests whose degrees of freedom imply more participants than the largest N that the paper names."""
     text = Q.text_table(spark, d)
-    ns = text.select("paper_id", F.explode(F.regexp_extract_all("text", F.lit(P.java(r"\bn\s*=\s*([0-9]{2,6})")), F.lit(1))).alias("n")).groupBy("paper_id").agg(F.max(F.col("n").cast("int")).alias("max_n"))
+    ns = text.select("paper_id", F.explode(F.regexp_extract_all("text", F.lit(P.java(r"\bn\s*=\s*([0-9]{2,6})")), F.lit(1))).alias("n")).groupBy("paper_id").agg(F.max(F.col("n").try_cast("int")).alias("max_n"))
     t = Q.tests(text).filter(F.col("kind").isin("t", "F")).withColumn("implied", F.when(F.col("kind") == "t", F.col("df1") + 2).otherwise(F.col("df1") + F.col("df2") + 2))
     n = t.join(ns, "paper_id").groupBy("paper_id").agg(F.count(F.lit(1)).alias("df_checked"), F.count_if(F.col("implied") > F.col("max_n")).alias("df_inconsistent"))
     return _per_paper(spark, d, n, lights((F.col("df_checked") == 0, "na"), (F.col("df_inconsistent") > 0, "red"), other="green"))
@@ -295,21 +328,29 @@ def members(rows: DataFrame, heads: DataFrame, keys: list[str], by: str, salts:
     return rows.withColumn("salt", F.pmod(F.hash(by), F.lit(salts))).join(salted, [*keys, "salt"]).drop("salt")
 
 
-def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k: int = 5, least: float = 0.65, least_words: int = 12) -> DataFrame:
+#: Texts of a group that share a shingle above which it comes last in the order of shingles.
+COMMON_SHINGLE = 20
+
+
+def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k: int = 5, least: float = 0.65, least_words: int = 12, letters: bool = False) -> DataFrame:
     """(group, item_a, item_b, similarity): pairs of texts, within a group or over all, whose shingle sets have a Jaccard of ``least`` or more.
 
-    Exact by prefix filtering: with shingles in one global order, rarest first, two sets that alike must share one of their first
-    ``n - ceil(least * n) + 1``; only these are joined. Texts of equal shingles are compared once, as one class, and come out as pairs of
-    the class's smallest item with the others; shorter texts than ``least_words`` are left out.
+    Exact by prefix filtering: with shingles in one global order (by hash, common ones last), two sets that alike must share one of
+    their first ``n - ceil(least * n) + 1``; only these are joined. Texts of equal shingles are compared once, as one class, and come out
+    as pairs of the class's smallest item with the others; shorter texts than ``least_words`` are left out. With ``letters`` the letters
+    and digits of all scripts count, and each sign of scripts without blanks is a word.
     """
     g = F.col(group) if group else F.lit(0)
-    base = spread(items).select(g.alias("g"), F.col(item).alias("i"), T.normalise(F.col(text)).alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words))
+    norm = T.normalise_letters(F.col(text)) if letters else T.normalise(F.col(text))
+    base = spread(items).select(g.alias("g"), F.col(item).alias("i"), norm.alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words))
     base = base.withColumn("c", F.md5("n"))
     classes = materialise(base.groupBy("g", "c").agg(F.min("i").alias("i"), F.min("n").alias("n"), F.max("i").alias("last")))
-    sh = classes.select("g", "i", F.explode(T.shingles(F.col("n"), k)).alias("s")).withColumn("s", F.xxhash64("s"))
-    df = sh.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")  # the others stand once: they come first and meet nothing
-    sets = sh.join(df, "s", "left").groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("x"))
-    sets = materialise(sets.select("g", "i", F.transform("x", lambda y: y["s"]).alias("x"), F.size("x").alias("m")))
+    sets = materialise(classes.select("g", "i", F.array_sort(F.transform(T.word_shingles(F.col("n"), k), lambda s: F.xxhash64(s))).alias("x")))
+    each = sets.select("g", "i", F.explode("x").alias("s"))
+    often = each.groupBy("g", "s").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > COMMON_SHINGLE).select("g", "s")
+    last = each.join(often, ["g", "s"]).groupBy("g", "i").agg(F.array_sort(F.collect_list("s")).alias("last"))
+    sets = sets.join(last, ["g", "i"], "left").select("g", "i", F.when(F.col("last").isNull(), F.col("x")).otherwise(F.concat(F.array_except("x", "last"), "last")).alias("x"))
+    sets = materialise(sets.withColumn("m", F.size("x")))
     prefix = sets.select("g", "i", "m", F.explode(F.slice("x", F.lit(1), F.col("m") - F.ceil(F.lit(least) * F.col("m")).cast("int") + 1)).alias("s"))
     other = prefix.select("g", "s", F.col("i").alias("j"), F.col("m").alias("m2"))
     # of sets that alike the smaller holds at least ``least`` of the larger
@@ -322,9 +363,11 @@ def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k
 
 
 def duplicate_check(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that recur word for word in other paragraphs, and pairs of near-duplicate paragraphs."""
     text = Q.text_table(spark, d)
     exact = duplicate_sentences(spark, d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("exact_n"))
-    near = near_duplicates(text, "paper_id", "text_id", "text").groupBy("paper_id").agg(F.count(F.lit(1)).alias("near_n"))
+    paragraphs = text.filter("text IS NOT NULL AND paragraph_id IS NOT NULL").groupBy("paper_id", "paragraph_id").agg(Q.joined("text", "text_id").alias("text"))
+    near = near_duplicates(paragraphs, "paper_id", "paragraph_id", "text").groupBy("paper_id").agg(F.count(F.lit(1)).alias("near_n"))
     n = Q.papers(spark, d).join(exact, "paper_id", "left").join(near, "paper_id", "left").fillna(0).withColumn("duplicate_n", F.col("exact_n") + F.col("near_n"))
     some = text.filter(F.length(F.trim("text")) > 0).select("paper_id").distinct().withColumn("some", F.lit(True))
     return n.join(some, "paper_id", "left").withColumn("traffic_light", lights((F.col("some").isNull(), "na"), (F.col("duplicate_n") > 0, "yellow"), other="green")).select("paper_id", "duplicate_n", "traffic_light")

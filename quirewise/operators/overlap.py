@@ -16,7 +16,7 @@ from quirewise.operators import search as Q
 from quirewise.operators.checks import lights
 from quirewise.operators.ranks import numbered
 from quirewise.operators.refs import doi_key
-from quirewise.runtime import table
+from quirewise.runtime import materialise, table
 
 SHINGLE, MIN_RUN, PHRASE, PASSAGES = 6, 8, 9, 25
 QUOTED = r"[“\"][^“”\"]{25,700}[”\"]"
@@ -30,6 +30,7 @@ def word_list(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(masked), F.lit(rf"{MASK}|[\p{{L}}\p{{N}}]+(?:['’][\p{{L}}\p{{N}}]+)?"), F.lit(0))
 
 
+@Q.once
 def manuscripts(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, text_id, w): words of the sentences of all papers outside references, figures and tables."""
     rows = Q.text_table(spark, d).filter(~F.coalesce("section_type", F.lit("")).isin("figure", "table") & (F.length(F.trim("text")) > 0))
@@ -47,6 +48,7 @@ def grams(rows: DataFrame, keys: list[str], k: int = SHINGLE) -> DataFrame:
     return x.select(*keys, F.col("g.pos").alias("pos"), F.array_join("g.x", " ").alias("gram"))
 
 
+@Q.once
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, text_id, source_id, start_word, end_word, source_start): runs of MIN_RUN words and more that lie under shared shingles."""
     src = grams(library(spark, d), ["source_id"]).groupBy("gram", "source_id").agg(F.min("pos").alias("spos"))
@@ -58,6 +60,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     return g.filter(F.col("end_word") - F.col("start_word") >= MIN_RUN).drop("isle")
 
 
+@Q.once
 def scored_words(spark: SparkSession, d: str) -> DataFrame:
     return manuscripts(spark, d).groupBy("paper_id").agg(F.sum(F.size(F.filter("w", lambda x: x != MASK))).alias("n_scored"))
 
@@ -71,18 +74,27 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
     b = src.select("source_id", "title", F.explode(T.content_words(F.col("title"))).alias("word"))
     by_title = a.join(b, "word").select("paper_id", "source_id", "ptitle", "title").distinct().filter(T.title_similarity(F.col("ptitle"), F.col("title")) >= 0.7).select("paper_id", "source_id")
     same = by_doi.union(by_title).distinct().withColumn("same_work", F.lit(True))
-    refs = Q.references(spark, d).select("paper_id", doi_key("doi").alias("rdoi"), F.substring(T.normalise(F.col("title")), 1, 80).alias("rt"))
+    refs = Q.references(spark, d).select("paper_id", doi_key("doi").alias("rdoi"), T.normalise(F.col("title")).alias("rt"))
     c1 = refs.filter("rdoi IS NOT NULL").join(src, F.col("rdoi") == F.col("doi")).select("paper_id", "source_id")
-    c2 = refs.filter(F.length("rt") > 20).join(src.withColumn("st", F.substring("t", 1, 80)), F.col("rt") == F.col("st")).select("paper_id", "source_id")
+    # a title's beginning of 80 characters stands in a reference's title: its first two words meet any two of the reference, then it is looked for
+    key = F.array_join(F.slice(F.split("t", " "), 1, 2), " ")
+    two = let(F.split("rt", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(2)), " ")))
+    titles = src.withColumn("st", F.substring("t", 1, 80)).filter(F.length("st") > 20).select("source_id", key.alias("two"), F.concat(F.lit(" "), "st", F.when(F.length("t") > 80, "").otherwise(" ")).alias("st"))
+    c2 = refs.select("paper_id", "rt").distinct().withColumn("two", F.explode(F.array_distinct(two))).join(titles, "two").filter(F.contains(F.concat(F.lit(" "), "rt", F.lit(" ")), F.col("st"))).select("paper_id", "source_id")
     cited = c1.union(c2).distinct().withColumn("cited", F.lit(True))
     both = same.join(cited, ["paper_id", "source_id"], "full").fillna(False, ["same_work", "cited"])
     kinds = src.filter(F.col("kind").isin("online", "library")).select("source_id")
     return both.join(kinds, "source_id")
 
 
+@Q.once
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, source_id, matched_words, n_runs, coverage, same_work, cited, rank, light) of every source a paper shares runs with."""
-    r = runs(spark, d).groupBy("paper_id", "source_id").agg(F.sum(F.col("end_word") - F.col("start_word")).alias("matched_words"), F.count(F.lit(1)).alias("n_runs"))
+    return rated(spark, d, runs(spark, d))
+
+
+def rated(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    r = found.groupBy("paper_id", "source_id").agg(F.sum(F.col("end_word") - F.col("start_word")).alias("matched_words"), F.count(F.lit(1)).alias("n_runs"))
     x = r.join(scored_words(spark, d), "paper_id").withColumn("coverage", F.round(F.col("matched_words") / F.col("n_scored"), 6))
     x = x.join(flags(spark, d), ["paper_id", "source_id"], "left").fillna(False, ["same_work", "cited"])
     rank = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("coverage"), "source_id"))
@@ -90,23 +102,27 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def union_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """(paper_id, n_scored, covered, covered_uncited, score, score_uncited, top, traffic_light): words covered by any source but the same work."""
-    s = sources(spark, d).select("paper_id", "source_id", "same_work", "cited", "coverage")
-    words = runs(spark, d).join(s, ["paper_id", "source_id"]).filter(~F.col("same_work")).select("paper_id", "text_id", "cited", F.explode(F.sequence("start_word", F.col("end_word") - 1)).alias("pos"))
+    """(paper_id, n_scored, covered, covered_uncited, score, score_uncited, top, traffic_light): words covered by any source but the same
+    work; na where the library is empty, as nothing was compared."""
+    found = materialise(runs(spark, d))  # used for the sources and for the words they cover
+    s = materialise(rated(spark, d, found)).select("paper_id", "source_id", "same_work", "cited", "coverage")
+    words = found.join(s, ["paper_id", "source_id"]).filter(~F.col("same_work")).select("paper_id", "text_id", "cited", F.explode(F.sequence("start_word", F.col("end_word") - 1)).alias("pos"))
     per = words.groupBy("paper_id", "text_id", "pos").agg(F.min("cited").alias("only_cited")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("covered"), F.count_if(~F.col("only_cited")).alias("covered_uncited"))
     top = s.filter(~F.col("same_work")).groupBy("paper_id").agg(F.max("coverage").alias("top"))
     x = scored_words(spark, d).join(per, "paper_id", "left").join(top, "paper_id", "left").fillna(0)
     x = x.withColumn("score", F.when(F.col("n_scored") > 0, F.round(F.col("covered") / F.col("n_scored"), 6)).otherwise(0.0)).withColumn("score_uncited", F.when(F.col("n_scored") > 0, F.round(F.col("covered_uncited") / F.col("n_scored"), 6)).otherwise(0.0))
-    light = lights((F.col("n_scored") == 0, "na"), ((F.col("score_uncited") >= 0.15) | (F.col("top") >= 0.15), "red"), ((F.col("score_uncited") >= 0.05) | (F.col("top") >= 0.08), "yellow"), other="green")
-    return Q.papers(spark, d).join(x.withColumn("traffic_light", light), "paper_id", "left").fillna(0).fillna("na", ["traffic_light"])
+    nothing = library(spark, d).agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+    light = lights((nothing, "na"), ((F.col("score") >= 0.15) | (F.col("top") >= 0.15), "red"), ((F.col("score") >= 0.05) | (F.col("top") >= 0.08), "yellow"), other="green")
+    return Q.papers(spark, d).join(x, "paper_id", "left").fillna(0).withColumn("traffic_light", light)
 
 
 def passages(spark: SparkSession, d: str, most: int = PASSAGES) -> DataFrame:
     """(paper_id, source_id, k, manuscript, source): the first runs of each source with both wordings; a top-k report."""
-    r = runs(spark, d).join(manuscripts(spark, d), ["paper_id", "text_id"]).join(library(spark, d).withColumnRenamed("w", "v"), "source_id")
     k = F.row_number().over(Window.partitionBy("paper_id", "source_id").orderBy("text_id", "start_word"))
+    first = runs(spark, d).withColumn("k", k).filter(F.col("k") <= most)
+    r = first.join(manuscripts(spark, d), ["paper_id", "text_id"]).join(library(spark, d).withColumnRenamed("w", "v"), "source_id")
     n = F.col("end_word") - F.col("start_word")
-    return r.withColumn("k", k).filter(F.col("k") <= most).select("paper_id", "source_id", "k", F.array_join(F.slice("w", F.col("start_word") + 1, n), " ").alias("manuscript"), F.array_join(F.slice("v", F.col("source_start") + 1, n), " ").alias("source"))
+    return r.select("paper_id", "source_id", "k", F.array_join(F.slice("w", F.col("start_word") + 1, n), " ").alias("manuscript"), F.array_join(F.slice("v", F.col("source_start") + 1, n), " ").alias("source"))
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:

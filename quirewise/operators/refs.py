@@ -25,6 +25,7 @@ def ref_table(spark: SparkSession, d: str) -> DataFrame:
     return Q.references(spark, d).withColumn("doi", doi_key("doi")).join(s, ["paper_id", "text_id"], "left")
 
 
+@Q.once
 def xrefs(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, text_id, ord, xref_type, target, contents): cross references in the XML of the sentences, but for addresses."""
     rx = r'<ref type="([a-z]+)"(?: target="([^"]*)")?[^>]*>([^<]*)</ref>'
@@ -72,9 +73,9 @@ def lookup(spark: SparkSession, d: str, dim: DataFrame, key: str = "doi") -> Dat
     return r.join(dim.withColumnRenamed(key, "doi"), "doi")
 
 
-def _counted(spark: SparkSession, d: str, rows: DataFrame, column: str, some: str) -> DataFrame:
+def _counted(spark: SparkSession, d: str, rows: DataFrame, column: str, some: str, none: str = "na") -> DataFrame:
     n = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias(column))
-    return Q.papers(spark, d).join(n, "paper_id", "left").fillna(0).withColumn("traffic_light", lights((F.col(column) > 0, some), other="na"))
+    return Q.papers(spark, d).join(n, "paper_id", "left").fillna(0).withColumn("traffic_light", lights((F.col(column) > 0, some), other=none))
 
 
 def ref_retraction(spark: SparkSession, d: str, retractions: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def ref_retraction(spark: SparkSession, d: str, retractions: DataFrame) -> DataF
 
 
 def ref_miscitation(spark: SparkSession, d: str, miscited: DataFrame) -> DataFrame:
-    return _counted(spark, d, lookup(spark, d, miscited), "miscite_n", "yellow")
+    """Miscited works; green where none is, as the table was there to look in."""
+    return _counted(spark, d, lookup(spark, d, miscited), "miscite_n", "yellow", "green")
 
 
 def ref_pubpeer(spark: SparkSession, d: str, comments: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
+from contextvars import ContextVar
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,44 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "section").select("paper_id", "section_id", "header", "section_type").distinct()
 
 
+#: What the operators of one thread share within ``sharing``.
+_shared: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def sharing(spark: SparkSession, d: str) -> Iterator[None]:
+    """Within it all operators read one written copy of the searchable text and of what is extracted from it, instead of each scanning anew."""
+    token = _shared.set({"folder": (spark.sparkContext.applicationId, d)})
+    _shared.get()["text"] = materialise(text_table(spark, d).drop("formatted", "page_number"))
+    try:
+        yield
+    finally:
+        _shared.reset(token)
+
+
+def once(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a text, or on (spark, folder), whose result is written once and read again within ``sharing``."""
+
+    @wraps(f)
+    def run(*args):
+        held = _shared.get()
+        ours = held is not None and "text" in held and (len(args) == 1 and args[0] is held["text"] or len(args) == 2 and isinstance(args[0], SparkSession) and (args[0].sparkContext.applicationId, args[1]) == held["folder"])
+        if not ours:
+            return f(*args)
+        if f not in held:
+            held[f] = materialise(f(*args))
+        return held[f]
+
+    return run
+
+
+@once
 def papers(spark: SparkSession, d: str) -> DataFrame:
     """Ids of all papers, with or without sentences."""
     return table(spark, d, "paper").select("paper_id").union(table(spark, d, "sentence").select("paper_id")).distinct()
 
 
+@once
 def references(spark: SparkSession, d: str) -> DataFrame:
     """The bibliography, each entry once: the row loaded last; one without a time counts as the earliest."""
     rows = table(spark, d, "bib")
@@ -40,25 +74,11 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("paper_id", "bib_id").agg(*[F.max_by(c, when).alias(c) for c in rest])  # unused ones aren't read
 
 
-_shared: dict[tuple[str, str], DataFrame] = {}
-
-
-@contextmanager
-def sharing(spark: SparkSession, d: str) -> Iterator[None]:
-    """Within it all operators read one written copy of the searchable text, instead of each scanning and deduplicating anew."""
-    key = (spark.sparkContext.applicationId, d)
-    _shared[key] = materialise(text_table(spark, d).drop("formatted", "page_number"))
-    try:
-        yield
-    finally:
-        del _shared[key]
-
-
 def text_table(spark: SparkSession, d: str, include_refs: bool = False) -> DataFrame:
     """Sentences with header and type of their section; the reference list is left out. Null texts never match anything."""
-    shared = _shared.get((spark.sparkContext.applicationId, d))
-    if shared is not None and not include_refs:
-        return shared
+    held = _shared.get()
+    if held is not None and "text" in held and held["folder"] == (spark.sparkContext.applicationId, d) and not include_refs:
+        return held["text"]
     out = sentences(spark, d).join(sections(spark, d), ["paper_id", "section_id"], "left")
     return out if include_refs else out.filter(F.coalesce("section_type", F.lit("")) != "references")
 
@@ -130,6 +150,7 @@ def exploded(text: DataFrame, pattern: str, name: str = "match", ignore_case: bo
     return text.filter(F.col("text").rlike(rx)).select("*", F.posexplode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("ord", name))
 
 
+@once
 def p_values(text: DataFrame) -> DataFrame:
     """Reported p-values: comparator and number, null for n.s."""
     rx = P.java(P.P_VALUE)
@@ -137,6 +158,7 @@ def p_values(text: DataFrame) -> DataFrame:
     return exploded(text, P.P_VALUE).select("paper_id", "text_id", "ord", "text", "match", g(1).alias("p_comp"), T.p_number(g(2), g(3)).alias("p_value"))
 
 
+@once
 def urls(text: DataFrame) -> DataFrame:
     """Addresses in the text without punctuation at their end, first occurrence of each in a paper, with host and kind of place."""
     found = exploded(text, P.URL, "url").select("paper_id", "text_id", "ord", F.regexp_replace("url", r"[.,;:)\]}<>]+$", "").alias("url"))
@@ -167,6 +189,7 @@ def equations(text: DataFrame) -> DataFrame:
     return out.join(numbered(out, ["paper_id"], ["text_id"], "grp_id"), ["paper_id", "text_id"]).filter(~F.col("lhs").rlike("^[0-9]$"))
 
 
+@once
 def descriptives(text: DataFrame) -> DataFrame:
     """Mean, sd, n, range, percentages and "k of n" of a sentence; sentences with none are left out."""
     x = lambda p, k=1: F.regexp_extract("text", P.java(p), k)
@@ -183,6 +206,7 @@ def descriptives(text: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("mean", "sd", "n", "min", "k").isNotNull() | (F.size("percent") > 0))
 
 
+@once
 def tests(text: DataFrame) -> DataFrame:
     """t, F and chi-square tests of a sentence: kind, degrees of freedom, value, and the p reported right behind it."""
     parts = []
@@ -192,7 +216,7 @@ def tests(text: DataFrame) -> DataFrame:
         found = text.filter(F.col("text").rlike(P.java(pattern, kind == "chi2"))).select("paper_id", "text_id", "text", F.posexplode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("ord", "match"))
         parts.append(
             found.select(
-                "paper_id", "text_id", F.lit(kind).alias("kind"), "ord", g(1).cast("int").alias("df1"), (g(2).cast("int") if kind == "F" else F.lit(None).cast("int")).alias("df2"), g(value).cast("double").alias("value"), F.nullif(g(value + 1), F.lit("")).alias("p_comp"), g(value + 2).try_cast("double").alias("p_reported"), "text"
+                "paper_id", "text_id", F.lit(kind).alias("kind"), "ord", g(1).try_cast("int").alias("df1"), (g(2).try_cast("int") if kind == "F" else F.lit(None).cast("int")).alias("df2"), g(value).try_cast("double").alias("value"), F.nullif(g(value + 1), F.lit("")).alias("p_comp"), g(value + 2).try_cast("double").alias("p_reported"), "text"
             )
         )
     return reduce(DataFrame.unionByName, parts)

@@ -274,13 +274,13 @@ for _name in P.CHECKS:
 query(S.keyword_verdicts(), "keyword_verdicts")(C.keyword_verdicts)
 query(f"{B} " + " UNION ALL ".join(f"SELECT paper_id, text_id, '{f}' AS flag FROM body WHERE {S.flag(f)}" for f in P.FLAGS), "keyword_hits")(C.keyword_hits)
 query(f"{B}, {S.PV} " + S.per_paper("SELECT paper_id, count(*) AS p_values FROM pv GROUP BY 1", ["p_values"], "CASE WHEN p_values > 0 THEN 'info' ELSE 'na' END"), "all_p_values")(C.all_p_values)
-query(f"{B}, {_LINKS}, {S.urls('links')} " + S.per_paper("SELECT paper_id, count(*) AS urls FROM urls GROUP BY 1", ["urls"], "CASE WHEN urls > 0 THEN 'info' ELSE 'na' END"), "all_urls")(lambda s, d: C.all_urls(s, d, _links(s, d)))
+query(f"{B}, {S.urls()} " + S.per_paper("SELECT paper_id, count(*) AS urls FROM urls GROUP BY 1", ["urls"], "CASE WHEN urls > 0 THEN 'info' ELSE 'na' END"), "all_urls")(C.all_urls)
 _STAR = S.rx("text", r"\* *p *<")
 query(
     f"{B}, {S.PV} " + S.per_paper(f"SELECT paper_id, count(*) AS n_p, count(*) FILTER (WHERE (p_comp = '<' AND coalesce(p_value, 1) > 0.001 OR p_comp NOT IN ('=', '<') OR p_value IS NULL) AND NOT {_STAR}) AS n_imprecise, count(*) FILTER (WHERE p_comp = '=' AND p_value = 0) AS n_zero FROM pv GROUP BY 1", ["n_p", "n_imprecise", "n_zero"], "CASE WHEN n_p = 0 THEN 'na' WHEN n_imprecise = 0 AND n_zero = 0 THEN 'green' ELSE 'red' END", ["n_imprecise", "n_zero"]), "stat_p_exact"
 )(C.stat_p_exact)
 query(f"{B}, {S.PV} " + S.per_paper("SELECT paper_id, count(*) FILTER (WHERE NOT coalesce(p_value <= 0.05 AND p_comp IN ('<', '='), false)) AS n_nonsignificant FROM pv GROUP BY 1", ["n_nonsignificant"], "CASE WHEN n_nonsignificant > 0 THEN 'yellow' ELSE 'green' END"), "stat_p_nonsig")(C.stat_p_nonsig)
-_SC = f"sc AS (SELECT *, err AS error, err AND (p_reported <= 0.05) <> (p_computed <= 0.05) AS decision_error FROM (SELECT *, CASE WHEN p_comp = '<' THEN p_computed >= p_reported WHEN p_comp = '>' THEN p_computed <= p_reported ELSE round(p_computed, 3) <> round(p_reported, 3) END AS err FROM (SELECT *, round({S.COMPUTED}, 6) AS p_computed FROM tests WHERE kind IN ('t', 'F') AND p_reported IS NOT NULL) WHERE p_computed IS NOT NULL))"
+_SC = f"sc AS (SELECT *, err AS error, err AND (p_reported < 0.05) <> (p_computed < 0.05) AS decision_error FROM (SELECT *, CASE WHEN p_comp = '<' THEN p_computed >= p_reported ELSE round(p_computed, 3) <> round(p_reported, 3) END AS err FROM (SELECT *, round({S.COMPUTED}, 6) AS p_computed FROM tests WHERE kind IN ('t', 'F') AND p_reported IS NOT NULL) WHERE p_computed IS NOT NULL))"
 
 
 @query(f"{B}, {S.tests()}, {_SC} SELECT paper_id, text_id, kind, ord, p_reported, p_computed, error, decision_error FROM sc")
@@ -292,11 +292,13 @@ query(f"{B}, {S.tests()}, {_SC} " + S.per_paper("SELECT paper_id, count(*) AS st
 _ES = ["t_with_es", "t_without_es", "f_with_es", "f_without_es"]
 _HAS = "(EXISTS (SELECT 1 FROM effects e WHERE e.paper_id = tests.paper_id AND e.text_id = tests.text_id))"
 query(f"{B}, {S.tests()}, {S.effects()} " + S.per_paper("SELECT paper_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{c[0].upper() if c[0] == 'f' else 't'}' AND {'h' if '_with_' in c else 'NOT h'}) AS {c}" for c in _ES) + f" FROM (SELECT paper_id, kind, {_HAS} AS h FROM tests WHERE kind IN ('t', 'F')) GROUP BY 1", _ES, "CASE WHEN t_with_es + t_without_es + f_with_es + f_without_es = 0 THEN 'na' WHEN t_with_es + f_with_es = 0 THEN 'red' WHEN t_without_es + f_without_es > 0 THEN 'yellow' ELSE 'green' END"), "stat_effect_size")(C.stat_effect_size)
-_N = "try_cast(nullif(regexp_extract(text, '\\b[nN]\\s*=\\s*([0-9]+)', 1), '') AS INT)"
-_GOT = """CASE WHEN test = 't' AND effect = 'd' THEN value * sqrt(1 / h + 1 / h) WHEN test = 't' AND effect = 'g' THEN value * sqrt(1 / h + 1 / h) * (1 - 3.0 / (4.0 * df1 - 1)) WHEN test = 't' AND effect = 'dz' THEN CASE WHEN df1 + 1 >= 2 THEN value / sqrt(df1 + 1) END
-  WHEN test = 't' AND effect = 'r' THEN value / sqrt(value * value + df1) WHEN test = 'F' AND effect = 'eta2' THEN CASE WHEN value >= 0 THEN value * df1 / (value * df1 + df2) END WHEN test = 'F' AND effect = 'omega2' THEN greatest(0.0, (value * df1 - df1) / (value * df1 + df2 + 1)) WHEN test = 'F' AND effect = 'f' THEN sqrt(value * df1 / df2)
-  WHEN test = 'chi2' AND effect = 'phi' THEN CASE WHEN n > 0 THEN sqrt(value / n) END WHEN test = 'chi2' AND effect = 'V' THEN CASE WHEN n > 0 AND df1 > 0 THEN sqrt(value / (n * df1)) END END"""
-_ESR = f"esr AS (SELECT paper_id, text_id, test, effect, reported, computed, CASE WHEN computed IS NULL THEN 'SKIP' WHEN abs(reported - computed) <= 0.02 THEN 'PASS' WHEN abs(reported - computed) > 0.10 OR abs(reported - computed) > 0.2 * abs(reported) THEN 'ERROR' ELSE 'WARN' END AS status FROM (SELECT *, round({_GOT}, 6) AS computed FROM (SELECT t.paper_id, t.text_id, t.kind AS test, e.kind AS effect, e.value AS reported, t.value, t.df1, t.df2, (t.df1 + 2) / 2 AS h, {_N} AS n FROM tests t JOIN effects e USING (paper_id, text_id))))"
+_X = lambda p: f"try_cast(nullif(regexp_extract(text, {S.q(p)}, 1, 'i'), '') AS INT)"
+_SIZES = f"sizes AS (SELECT paper_id, text_id, coalesce({_X(chr(92) + 'bn1' + chr(92) + 's*=' + chr(92) + 's*([0-9]+)')}, {_X(chr(92) + 'bn' + chr(92) + 's*=' + chr(92) + 's*([0-9]+)')}) AS n1, {_X(chr(92) + 'bn2' + chr(92) + 's*=' + chr(92) + 's*([0-9]+)')} AS n2, {_X(chr(92) + 'b(?:df|m)' + chr(92) + 's*=' + chr(92) + 's*([0-9]+)')} AS m FROM body)"
+_D = "CASE WHEN n1 > 0 AND n2 > 0 THEN value * sqrt(1 / n1 + 1 / n2) END"
+_GOT = f"""CASE WHEN test = 't' AND effect = 'd' THEN {_D} WHEN test = 't' AND effect = 'g' THEN CASE WHEN n1 + n2 > 2 THEN {_D} * (1 - 3.0 / (4.0 * (n1 + n2 - 2) - 1)) END WHEN test = 't' AND effect = 'dz' THEN CASE WHEN n1 >= 2 THEN value / sqrt(n1) END
+  WHEN test = 't' AND effect = 'r' THEN CASE WHEN df1 > 0 THEN value / sqrt(value * value + df1) END WHEN test = 'F' AND effect = 'eta2' THEN CASE WHEN value >= 0 THEN value * df1 / (value * df1 + df2) END WHEN test = 'F' AND effect = 'omega2' THEN CASE WHEN value >= 0 THEN greatest(0.0, (value * df1 - df1) / (value * df1 + df2 + 1)) END WHEN test = 'F' AND effect = 'f' THEN CASE WHEN value >= 0 THEN sqrt(value * df1 / df2) END
+  WHEN test = 'chi2' AND effect = 'phi' THEN CASE WHEN n1 > 0 THEN sqrt(value / n1) END WHEN test = 'chi2' AND effect = 'V' THEN CASE WHEN n1 > 0 AND coalesce(m, CASE WHEN df1 = 1 THEN 1 END) > 0 THEN sqrt(value / (n1 * coalesce(m, 1))) END END"""
+_ESR = _SIZES + f", esr AS (SELECT paper_id, text_id, test, effect, reported, computed, CASE WHEN computed IS NULL THEN 'SKIP' WHEN abs(reported - computed) <= 0.02 THEN 'PASS' WHEN abs(reported - computed) > 0.10 OR abs(reported - computed) > 0.2 * abs(reported) THEN 'ERROR' ELSE 'WARN' END AS status FROM (SELECT *, round({_GOT}, 6) AS computed FROM (SELECT t.paper_id, t.text_id, t.kind AS test, e.kind AS effect, e.value AS reported, t.value, t.df1, t.df2, z.n1, z.n2, z.m FROM tests t JOIN effects e USING (paper_id, text_id) JOIN sizes z USING (paper_id, text_id))))"
 
 
 @query(f"{B}, {S.tests()}, {S.effects()}, {_ESR} SELECT * FROM esr")
@@ -304,16 +306,25 @@ def es_check_rows(s: SparkSession, d: str) -> DataFrame:
     return C.es_check_rows(s, d).select("paper_id", "text_id", "test", "effect", "reported", "computed", "status")
 
 
-_CIR = f"""cir AS (SELECT *, CASE WHEN lo > hi THEN 'ERROR' WHEN es < lo OR es > hi THEN 'ERROR' WHEN abs((lo + hi) / 2 - es) > greatest(0.05, 0.10 * abs(es)) THEN 'WARN' ELSE 'PASS' END AS status FROM (SELECT paper_id, text_id, ord, CAST({_CI[0]} AS DOUBLE) / 100 AS level, CAST({_CI[1]} AS DOUBLE) AS lo, CAST({_CI[2]} AS DOUBLE) AS hi FROM ({S.exploded(P.CI)})) JOIN (SELECT paper_id, text_id, m.kind AS effect, m.value AS es FROM (SELECT paper_id, text_id, min({{'kind': kind, 'value': value}}) AS m FROM effects GROUP BY 1, 2)) USING (paper_id, text_id))"""
+_MC = lambda lo, hi: f"CASE WHEN greatest(abs(lo - ({lo})), abs(hi - ({hi}))) <= 0.06 THEN 'PASS' WHEN greatest(abs(lo - ({lo})), abs(hi - ({hi}))) > 0.20 THEN 'ERROR' ELSE 'WARN' END"
+_Z = 1.959963984540054
+_TANH = lambda x: f"((exp(2 * ({x})) - 1) / (exp(2 * ({x})) + 1))"
+_SE = "sqrt((n1 + n2) / (n1 * n2) + es * es / (2.0 * (n1 + n2 - 2)))"
+_CIR = _SIZES + f""", cir AS (SELECT paper_id, text_id, ord, test, test_ord, k, effect, es, level, lo, hi, CASE WHEN hi < lo THEN 'ERROR' WHEN abs((lo + hi) / 2 - es) > greatest(0.05, 0.10 * abs(es)) THEN 'WARN'
+  WHEN effect = 'r' AND n1 > 3 AND abs(es) < 1 THEN {_MC(_TANH(f"0.5 * ln((1 + es) / (1 - es)) - {_Z} / sqrt(n1 - 3)"), _TANH(f"0.5 * ln((1 + es) / (1 - es)) + {_Z} / sqrt(n1 - 3)"))}
+  WHEN effect = 'd' AND n1 > 0 AND n2 > 0 AND n1 + n2 > 2 THEN {_MC(f"es - {_Z} * {_SE}", f"es + {_Z} * {_SE}")} ELSE 'PASS' END AS status
+  FROM (SELECT paper_id, text_id, ord, try_cast({_CI[0]} AS DOUBLE) / 100 AS level, try_cast({_CI[1]} AS DOUBLE) AS lo, try_cast({_CI[2]} AS DOUBLE) AS hi FROM ({S.exploded(P.CI)}))
+  JOIN (SELECT paper_id, text_id, k, kind AS effect, value AS es FROM effects) USING (paper_id, text_id) JOIN sizes USING (paper_id, text_id) LEFT JOIN (SELECT paper_id, text_id, kind AS test, ord AS test_ord FROM tests) USING (paper_id, text_id) WHERE test IS NULL OR k = 0)"""
 
 
-@query(f"{B}, {S.effects()}, {_CIR} SELECT * FROM cir")
+@query(f"{B}, {S.tests()}, {S.effects()}, {_CIR} SELECT * FROM cir")
 def ci_check_rows(s: SparkSession, d: str) -> DataFrame:
     return C.ci_rows(s, d)
 
 
 _EC = ["es_checked", "es_pass", "es_warn", "es_error", "es_skip"]
-query(f"{B}, {S.tests()}, {S.effects()}, {_ESR}, {_CIR} " + S.per_paper("SELECT paper_id, count(*) AS es_checked, " + ", ".join(f"count(*) FILTER (WHERE status = '{c[3:].upper()}') AS {c}" for c in _EC[1:]) + " FROM (SELECT paper_id, status FROM esr UNION ALL SELECT paper_id, status FROM cir) GROUP BY 1", _EC, "CASE WHEN es_checked = 0 THEN 'na' WHEN es_error > 0 THEN 'red' WHEN es_warn > 0 THEN 'yellow' ELSE 'green' END"), "es_check")(C.es_check)
+query(f"{B}, {S.tests()}, {S.effects()}, {_ESR}, {_CIR[len(_SIZES) + 2:]} " + S.per_paper("SELECT paper_id, count(*) AS es_checked, " + ", ".join(f"count(*) FILTER (WHERE status = '{c[3:].upper()}') AS {c}" for c in _EC[1:]) + " FROM (SELECT paper_id, status FROM esr UNION ALL SELECT paper_id, status FROM cir) GROUP BY 1", _EC, "CASE WHEN es_checked = 0 THEN 'na' WHEN es_error > 0 THEN 'red' WHEN es_warn > 0 THEN 'yellow' ELSE 'green' END"), "es_check")(C.es_check)
+query(None, "es_check_inversions")(lambda s, d: C.es_check(s, d, True))
 query(None, "es_intervals")(C.es_intervals)
 query(S.forensic("mean IS NOT NULL AND n > 0", S.GRIM_BAD, "grim_fail", "red"), "grim_check")(C.grim_check)
 query(S.forensic("mean IS NOT NULL AND sd IS NOT NULL AND n > 1", f"NOT abs({S.T2} - round_even({S.T2}, 0)) < 0.5", "grimmer_fail", "red"), "grimmer_check")(C.grimmer_check)
@@ -322,7 +333,7 @@ query(S.forensic("sd IS NOT NULL AND min IS NOT NULL", "sd > CASE WHEN n IS NULL
 query(S.forensic("sd IS NOT NULL AND n > 1", "sqrt(n) * sd > 10 * sd", "sd_se_suspect", "yellow"), "sd_se_check")(C.sd_se_check)
 query(S.forensic("sd IS NOT NULL AND mean >= 0 AND mean <= 1", "NOT (abs(sd - sqrt(mean * (1 - mean))) < 0.02 OR sd <= 0.5)", "debit_issues", "red"), "debit_check")(C.debit_check)
 query(f"{B}, {S.tests()} " + S.per_paper(f"SELECT paper_id, count(*) AS tested, count(*) FILTER (WHERE p_computed < p_reported * 0.1) AS stalt_issues FROM (SELECT *, round({S.COMPUTED}, 9) AS p_computed FROM tests WHERE p_comp = '<' AND p_reported IS NOT NULL AND kind IN ('t', 'F')) GROUP BY 1", ["tested", "stalt_issues"], "CASE WHEN tested = 0 THEN 'na' WHEN stalt_issues > 0 THEN 'yellow' ELSE 'green' END"), "stalt_check")(C.stalt_check)
-query(None, "csf_check")(C.csf_check)
+query(f"{B}, {S.PV}, {S.CSF} SELECT paper_id, coalesce(n_pvalues, 0) AS n_pvalues, stouffer_p, fisher_p, CASE WHEN coalesce(n_pvalues, 0) = 0 THEN 'na' WHEN stouffer_p < 0.0001 THEN 'yellow' ELSE 'info' END AS traffic_light FROM papers LEFT JOIN csf USING (paper_id)", "csf_check")(C.csf_check)
 _TR = f"""tr AS (SELECT *, row_number() OVER (PARTITION BY paper_id, section_id ORDER BY text_id) AS kk FROM descr JOIN (SELECT DISTINCT paper_id, text_id, section_id FROM sentence) USING (paper_id, text_id) WHERE mean IS NOT NULL AND sd > 0 AND n > 1),
 two AS (SELECT a.paper_id, a.section_id, (a.mean - b.mean) / sqrt(a.sd * a.sd / a.n + b.sd * b.sd / b.n) AS t, a.n + b.n - 2 AS df FROM tr a JOIN tr b ON a.paper_id = b.paper_id AND a.section_id IS NOT DISTINCT FROM b.section_id AND a.kk = 1 AND b.kk = 2)"""
 query(f"{B}, {S.desc()}, {_TR} SELECT paper_id, section_id, round(t, 6) AS t, df, round({S.t_p('t', 'CAST(df AS DOUBLE)')}, 6) AS p FROM two", "test_recalc")(C.test_recalc)
@@ -341,15 +352,15 @@ aff AS (SELECT paper_id, fund, list_bool_or(list_transform(w, lambda k: contains
 _DS = f"ds AS (SELECT paper_id, arg_min(text, text_id) AS text, count(*) AS n, count(DISTINCT paragraph_id) AS n_paragraphs, array_to_string(list_sort(list_distinct(list(coalesce(section_type, '')))), ';') AS sections FROM (SELECT *, {S.norm('text')} AS nrm FROM body) WHERE len(string_split(nrm, ' ')) >= 12 GROUP BY paper_id, nrm HAVING count(DISTINCT paragraph_id) >= 2)"
 query(f"{B}, {_DS} SELECT * FROM ds", "duplicate_sentences")(C.duplicate_sentences)
 query(
-    f"{B}, {_DS}, {S.near('body', 'paper_id', 'text_id', 0.65, 12)} SELECT paper_id, coalesce(e, 0) + coalesce(f, 0) AS duplicate_n, CASE WHEN NOT has_text THEN 'na' WHEN coalesce(e, 0) + coalesce(f, 0) > 0 THEN 'yellow' ELSE 'green' END AS traffic_light FROM (SELECT p.paper_id, e, f, s.paper_id IS NOT NULL AS has_text FROM papers p LEFT JOIN (SELECT paper_id, count(*) AS e FROM ds GROUP BY 1) x USING (paper_id) LEFT JOIN (SELECT g AS paper_id, count(*) AS f FROM near GROUP BY 1) y USING (paper_id) LEFT JOIN (SELECT DISTINCT paper_id FROM body WHERE length(trim(text)) > 0) s ON s.paper_id = p.paper_id)",
+    f"{B}, {_DS}, par AS (SELECT paper_id, paragraph_id, {_AGG} FROM body WHERE text IS NOT NULL AND paragraph_id IS NOT NULL GROUP BY 1, 2), {S.near('par', 'paper_id', 'paragraph_id', 0.65, 12)} SELECT paper_id, coalesce(e, 0) + coalesce(f, 0) AS duplicate_n, CASE WHEN NOT has_text THEN 'na' WHEN coalesce(e, 0) + coalesce(f, 0) > 0 THEN 'yellow' ELSE 'green' END AS traffic_light FROM (SELECT p.paper_id, e, f, s.paper_id IS NOT NULL AS has_text FROM papers p LEFT JOIN (SELECT paper_id, count(*) AS e FROM ds GROUP BY 1) x USING (paper_id) LEFT JOIN (SELECT g AS paper_id, count(*) AS f FROM near GROUP BY 1) y USING (paper_id) LEFT JOIN (SELECT DISTINCT paper_id FROM body WHERE length(trim(text)) > 0) s ON s.paper_id = p.paper_id)",
     "duplicate_check",
 )(C.duplicate_check)
 
 
-@query(f"WITH {S.near('documents', '0', 'doc_id', 0.8, 5)} SELECT a AS doc_id_a, b AS doc_id_b, round(sim, 6) AS similarity FROM near")
+@query(f"WITH {S.near('documents', '0', 'doc_id', 0.8, 1, n=S.LETTERS)} SELECT a AS doc_id_a, b AS doc_id_b, round(sim, 6) AS similarity FROM near")
 def near_duplicate_documents(s: SparkSession, d: str) -> DataFrame:
     """Pairs of classes of equal shingles, and of a class's first document with its copies."""
-    return C.near_duplicates(table(s, d, "documents").filter("text IS NOT NULL"), None, "doc_id", "text", 5, 0.8, 5)
+    return C.near_duplicates(table(s, d, "documents").filter("text IS NOT NULL"), None, "doc_id", "text", 5, 0.8, 1, True)
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
@@ -394,8 +405,8 @@ query(f"{B}, {S.MENTIONS} SELECT * FROM ment", "citation_mentions")(lambda s, d:
 query(f"{B}, {S.MENTIONS}, {S.XREFS}, {S.STATUS} SELECT * FROM cs", "citation_status")(R.citation_status)
 query(f"{B}, {S.MENTIONS}, {S.ORPH} SELECT * FROM orph", "ref_orphans")(R.orphans)
 query(f"{B}, {S.MENTIONS}, {S.XREFS}, {S.STATUS}, {S.ORPH} " + S.per_paper("SELECT paper_id, coalesce(a, 0) AS n_bib, coalesce(b, 0) AS n_cited, coalesce(c, 0) AS n_uncited, coalesce(o, 0) AS n_orphan FROM (SELECT paper_id, count(*) AS a, count(*) FILTER (WHERE cited) AS b, count(*) FILTER (WHERE NOT cited) AS c FROM cs GROUP BY 1) FULL JOIN (SELECT paper_id, count(*) AS o FROM orph GROUP BY 1) USING (paper_id)", ["n_bib", "n_cited", "n_uncited", "n_orphan"], "CASE WHEN n_bib = 0 THEN 'na' WHEN n_uncited > 0 OR n_orphan > 0 THEN 'red' ELSE 'green' END"), "ref_consistency")(R.ref_consistency)
-for _n, _f, _dim, _col, _li in (("ref_retraction", R.ref_retraction, "retraction", "retractionwatch", "info"), ("ref_miscitation", R.ref_miscitation, "miscitation", "miscite_n", "yellow")):
-    query(f"{_LK} " + S.per_paper(f"SELECT paper_id, count(*) AS {_col} FROM r JOIN {_dim} USING (doi) GROUP BY 1", [_col], f"CASE WHEN {_col} > 0 THEN '{_li}' ELSE 'na' END"), _n)(partial(lambda s, d, f, k: f(s, d, _dims(s, d)[k]), f=_f, k=_dim))
+for _n, _f, _dim, _col, _li in (("ref_retraction", R.ref_retraction, "retraction", "retractionwatch", ("info", "na")), ("ref_miscitation", R.ref_miscitation, "miscitation", "miscite_n", ("yellow", "green"))):
+    query(f"{_LK} " + S.per_paper(f"SELECT paper_id, count(*) AS {_col} FROM r JOIN {_dim} USING (doi) GROUP BY 1", [_col], f"CASE WHEN {_col} > 0 THEN '{_li[0]}' ELSE '{_li[1]}' END"), _n)(partial(lambda s, d, f, k: f(s, d, _dims(s, d)[k]), f=_f, k=_dim))
 query(f"{_LK} " + S.per_paper("SELECT paper_id, CAST(sum(total_comments) AS BIGINT) AS pubpeer_comments FROM r JOIN comments USING (doi) WHERE total_comments > 0 AND len(list_filter(users, lambda u: u <> 'Statcheck')) > 0 GROUP BY 1", ["pubpeer_comments"], "CASE WHEN pubpeer_comments > 0 THEN 'info' ELSE 'na' END"), "ref_pubpeer")(lambda s, d: R.ref_pubpeer(s, d, _dims(s, d)["comments"]))
 query(f"{_LK}, {S.REPL} SELECT * FROM repl", "ref_replication_rows")(lambda s, d: R.replications(s, d, _dims(s, d)["replication"]))
 query(f"{_LK}, {S.REPL} " + S.per_paper("SELECT paper_id, count(*) AS replications FROM repl GROUP BY 1", ["replications"], "CASE WHEN replications > 0 THEN 'info' ELSE 'na' END"), "ref_replication")(lambda s, d: R.ref_replication(s, d, _dims(s, d)["replication"]))
@@ -447,19 +458,37 @@ SECTIONS = ["Statistical reporting", "Forensic metascience", "Open science & tra
 OTHERS = {
     "all_p_values": 0, "stat_p_exact": 0, "stat_p_nonsig": 0, "stat_check": 0, "stat_effect_size": 0, "es_check": 0, "df_consistency_check": 0, "grim_check": 1, "grimmer_check": 1, "sd_range_check": 1, "sd_se_check": 1, "debit_check": 1, "stalt_check": 1,
     "prereg_statement": 2, "power": 0, "overlap_light": 3, "funding_coi_affiliation_check": 5, "ref_consistency": 6, "ref_retraction": 6, "ref_miscitation": 6, "ref_pubpeer": 6, "ref_replication": 6, "ref_accuracy": 6,
+    "all_urls": None, "csf_check": 1, "test_recalc": 1, "duplicate_check": 3, "image_forensic_check": 3, "repo_check": 2, "code_check": 2, "prereg_check": 2, "ref_summary": 6,
 }
 
 
+#: Checks whose look-up tables the data doesn't hold: they see the links of the text and empty listings, so that they answer for every paper.
+NO_FILES = "url string, path string"
+RUNS: dict[str, tuple[Query, str]] = {
+    "test_recalc": (lambda s, d: C.lit_by(s, d, C.test_recalc(s, d), "info"), f"{B}, {S.desc()}, {_TR} SELECT paper_id, CASE WHEN c > 0 THEN 'info' ELSE 'na' END AS traffic_light FROM papers LEFT JOIN (SELECT paper_id, count(*) AS c FROM two GROUP BY 1) USING (paper_id)"),
+    "image_forensic_check": (lambda s, d: Q.papers(s, d).withColumn("traffic_light", F.lit("na")), f"{B} SELECT paper_id, 'na' AS traffic_light FROM papers"),
+    "code_check": (lambda s, d: Q.papers(s, d).withColumn("traffic_light", F.lit("na")), f"{B} SELECT paper_id, 'na' AS traffic_light FROM papers"),
+    "repo_check": (lambda s, d: C.or_na(s, d, R.repo_check(Q.urls(Q.text_table(s, d)), s.createDataFrame([], NO_FILES))), f"{B}, {S.urls()} SELECT paper_id, CASE WHEN c > 0 THEN 'green' ELSE 'na' END AS traffic_light FROM papers LEFT JOIN (SELECT paper_id, count(*) AS c FROM urls WHERE kind <> 'other' GROUP BY 1) USING (paper_id)"),
+    "prereg_check": (lambda s, d: C.or_na(s, d, R.prereg_check(Q.urls(Q.text_table(s, d)), s.createDataFrame([], "osf_id string, osf_type string"))), f"{B}, {S.urls()} SELECT paper_id, CASE WHEN c > 0 THEN 'info' ELSE 'na' END AS traffic_light FROM papers LEFT JOIN (SELECT paper_id, count(*) AS c FROM urls WHERE kind IN ('osf', 'aspredicted') GROUP BY 1) USING (paper_id)"),
+    "ref_summary": (lambda s, d: C.lit_by(s, d, Q.references(s, d), "info"), f"{B} SELECT paper_id, CASE WHEN c > 0 THEN 'info' ELSE 'na' END AS traffic_light FROM papers LEFT JOIN (SELECT paper_id, count(*) AS c FROM refs GROUP BY 1) USING (paper_id)"),
+}
+
+
+def check_run(name: str) -> Query:
+    """The check of a name as it runs on every paper."""
+    return RUNS[name][0] if name in RUNS else _QUERIES[name]
+
+
 def verdicts(s: SparkSession, d: str) -> DataFrame:
-    """(paper_id, check, traffic_light) of every check on every paper, all over one copy of the text."""
+    """(paper_id, check, traffic_light) of every check on every paper, all over one copy of the text and of what is extracted from it."""
     with Q.sharing(s, d):
         out = C.keyword_verdicts(s, d)
         for n in OTHERS:
-            out = out.unionByName(_QUERIES[n](s, d).select("paper_id", F.lit(n).alias("check"), "traffic_light"))
+            out = out.unionByName(check_run(n)(s, d).select("paper_id", F.lit(n).alias("check"), "traffic_light"))
     return out
 
 
-_VS = S.keyword_verdicts() + "".join(f" UNION ALL SELECT paper_id, '{n}' AS \"check\", traffic_light FROM ({_SQL[n]})" for n in OTHERS)
+_VS = S.keyword_verdicts() + "".join(f" UNION ALL SELECT paper_id, '{n}' AS \"check\", traffic_light FROM ({RUNS[n][1] if n in RUNS else _SQL[n]})" for n in OTHERS)
 query(_VS, "verdict_matrix")(verdicts)
 
 
@@ -470,7 +499,7 @@ def legend_counts(s: SparkSession, d: str) -> DataFrame:
 
 def _catalogue() -> list[tuple[str, str, str | None, int, bool]]:
     online = {"repo_check", "code_check", "prereg_check", "ref_accuracy", "ref_replication", "ref_retraction", "ref_pubpeer"}
-    rows = [(n, c.label, c.section) for n, c in P.CHECKS.items()] + [(n, n.replace("_", " "), SECTIONS[k]) for n, k in OTHERS.items()] + [(n, n.replace("_", " "), k) for n, k in (("all_urls", None), ("csf_check", SECTIONS[1]), ("test_recalc", SECTIONS[1]), ("duplicate_check", SECTIONS[3]), ("image_forensic_check", SECTIONS[3]), ("repo_check", SECTIONS[2]), ("code_check", SECTIONS[2]), ("prereg_check", SECTIONS[2]), ("ref_summary", SECTIONS[6]))]
+    rows = [(n, c.label, c.section) for n, c in P.CHECKS.items()] + [(n, n.replace("_", " "), None if k is None else SECTIONS[k]) for n, k in OTHERS.items()]
     rows.sort(key=lambda r: (SECTIONS.index(r[2]) if r[2] else len(SECTIONS), r[0]))
     return [(n, lab, sec, i, n in online) for i, (n, lab, sec) in enumerate(rows)]
 
@@ -493,8 +522,8 @@ def report_rows(s: SparkSession, d: str) -> DataFrame:
 @query()
 def report_json(s: SparkSession, d: str) -> DataFrame:
     """One JSON text a paper with its checks in the order of the report."""
-    return RP.to_json(RP.report_rows(C.keyword_verdicts(s, d), check_catalog(s)))
+    return RP.to_json(RP.report_rows(verdicts(s, d), check_catalog(s)))
 
 
 for _n in [*P.CHECKS, *OTHERS]:
-    runner.register(_n)(_QUERIES[_n])
+    runner.register(_n)(check_run(_n))

@@ -16,7 +16,8 @@ def rx(c: str, p: str, case: bool = False) -> str:
 
 def flag(name: str) -> str:
     f = P.FLAGS[name]
-    return "(" + " AND ".join([rx("text", p) for p in f.every] + ["NOT " + rx("text", p) for p in f.never]) + ")"
+    one = lambda f: "(" + " AND ".join([rx("text", p) for p in f.every] + ["NOT " + rx("text", p) for p in f.never] + [rx("text", p, True) for p in f.cased] + ["NOT " + rx("text", p, True) for p in f.cased_never]) + ")"
+    return "(" + " OR ".join(map(one, f)) + ")" if isinstance(f, tuple) else one(f)
 
 
 BODY = """WITH body AS (
@@ -45,6 +46,22 @@ PV = f"""pv AS (SELECT paper_id, text_id, ord, text, match, {g(P.P_VALUE, 1)} AS
   {num("regexp_replace(" + g(P.P_VALUE, 2) + ", '[ \\t\\n\\r]', '', 'g')")} * pow(10.0, -coalesce(try_cast(nullif(regexp_extract({g(P.P_VALUE, 3)}, '-\\s*([0-9]+)', 1), '') AS INT), 0)) AS p_value
   FROM ({exploded(P.P_VALUE)}))"""
 
+def _poly(x: str, *cs: float) -> str:
+    out = repr(cs[-1])
+    for c in reversed(cs[:-1]):
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+# Coefficients of the inverse normal distribution function (algorithm AS 241).
+_NEAR = (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727), (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610)
+_FAR = (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640), (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-09)
+_FARTHEST = (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-05, 2.01033439929228813265e-07), (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 1.84631831751005468180e-05, 1.42151175831644588870e-07, 2.04426310338993978564e-15)
+_QUANTILE = f"CASE WHEN abs(u - 0.5) <= 0.425 THEN (u - 0.5) * {_poly('(0.180625 - (u - 0.5) * (u - 0.5))', *_NEAR[0])} / {_poly('(0.180625 - (u - 0.5) * (u - 0.5))', *_NEAR[1])} ELSE sign(u - 0.5) * CASE WHEN r <= 5 THEN {_poly('(r - 1.6)', *_FAR[0])} / {_poly('(r - 1.6)', *_FAR[1])} ELSE {_poly('(r - 5)', *_FARTHEST[0])} / {_poly('(r - 5)', *_FARTHEST[1])} END END"
+_UPPER = "CASE WHEN z > 6 THEN 0 ELSE greatest(0.0, 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * CASE WHEN z = 0 THEN 0 ELSE list_sum(list_transform(range(0, 121), lambda k: exp((2 * k + 1) * ln(z) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))) END) END"
+CSF = f"""zs AS (SELECT paper_id, p, {_QUANTILE} AS z FROM (SELECT paper_id, p, 1 - p AS u, sqrt(-ln(least(p, 1 - p))) AS r FROM (SELECT paper_id, greatest(1e-12, least(p_value, 1 - 1e-12)) AS p FROM pv WHERE p_value <= 1))),
+csf AS (SELECT paper_id, n_pvalues, round(2 * {_UPPER}, 6) AS stouffer_p, round(least(1.0, list_sum(list_transform(range(0, n_pvalues), lambda k: exp(k * ln(x / 2) - x / 2 - lgamma(k + 1))))), 6) AS fisher_p FROM (SELECT paper_id, count(*) AS n_pvalues, abs(sum(z)) / sqrt(count(*)) AS z, -2 * sum(ln(p)) AS x FROM zs GROUP BY 1))"""
+
 _KIND = "CASE WHEN host LIKE '%github.com' THEN 'github' WHEN host LIKE '%osf.io' THEN 'osf' WHEN host LIKE '%zenodo.org' THEN 'zenodo' WHEN host LIKE '%researchbox.org' THEN 'researchbox' WHEN host LIKE '%aspredicted.org' THEN 'aspredicted' ELSE 'other' END"
 
 
@@ -60,7 +77,7 @@ def tests() -> str:
         full = rf"{pattern}(?:\s*{P.P_NEXT})?"
         x = lambda k, full=full, case=case: g(full, k, case)
         parts.append(
-            f"SELECT paper_id, text_id, '{kind}' AS kind, ord, CAST({x(1)} AS INT) AS df1, {f'CAST({x(2)} AS INT)' if kind == 'F' else 'CAST(NULL AS INT)'} AS df2, CAST({x(value)} AS DOUBLE) AS value, nullif({x(value + 1)}, '') AS p_comp, {num(x(value + 2))} AS p_reported, text FROM ({exploded(full, case=case)})"
+            f"SELECT paper_id, text_id, '{kind}' AS kind, ord, try_cast({x(1)} AS INT) AS df1, {f'try_cast({x(2)} AS INT)' if kind == 'F' else 'CAST(NULL AS INT)'} AS df2, CAST({x(value)} AS DOUBLE) AS value, nullif({x(value + 1)}, '') AS p_comp, {num(x(value + 2))} AS p_reported, text FROM ({exploded(full, case=case)})"
         )
     return "tests AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -82,7 +99,7 @@ def f_p(f: str, a: str, b: str) -> str:
     return f"CASE WHEN {a} <= 0 OR {b} <= 0 THEN NULL WHEN {f} <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, {p})) END"
 
 
-COMPUTED = f"CASE kind WHEN 't' THEN {t_p('value', 'CAST(df1 AS DOUBLE)')} WHEN 'F' THEN {f_p('value', 'CAST(df1 AS DOUBLE)', 'CAST(df2 AS DOUBLE)')} END"
+COMPUTED = f"CASE kind WHEN 't' THEN {t_p('value', 'CAST(df1 AS DOUBLE)')} WHEN 'F' THEN {f_p('abs(value)', 'CAST(df1 AS DOUBLE)', 'CAST(df2 AS DOUBLE)')} END"
 
 
 def desc() -> str:
@@ -99,8 +116,9 @@ def desc() -> str:
 
 
 def effects() -> str:
-    parts = [f"SELECT paper_id, text_id, '{k}' AS kind, CAST(unnest(regexp_extract_all(text, {q(rf'(?:{p})\s*=\s*({P.NUMBER})')}, 1{'' if k in ('V', 'f', 'g', 'r', 'd') else ', ' + q('i')})) AS DOUBLE) AS value FROM body" for k, p in P.EFFECTS.items()]
-    return "effects AS (" + " UNION ALL ".join(parts) + ")"
+    found = lambda k, p: f"regexp_extract_all(text, {q(rf'(?:{p})\s*=\s*({P.NUMBER})')}, 1{'' if k in ('V', 'f', 'g', 'r', 'd') else ', ' + q('i')})"
+    parts = [f"SELECT paper_id, text_id, {at} AS place, '{k}' AS kind, unnest(range(len({found(k, p)}))) AS ord, CAST(unnest({found(k, p)}) AS DOUBLE) AS value FROM body" for at, (k, p) in enumerate(P.EFFECTS.items())]
+    return "effects AS (SELECT paper_id, text_id, CAST(row_number() OVER (PARTITION BY paper_id, text_id ORDER BY place, ord) - 1 AS INT) AS k, kind, value FROM (" + " UNION ALL ".join(parts) + "))"
 
 
 def per_paper(counts: str, cols: list[str], light: str, keep: list[str] | None = None, more: str = "") -> str:
@@ -209,7 +227,7 @@ FLAGGED = f"""src AS (SELECT source_id, {DOI} AS doi, {norm('title')} AS t, titl
 pap AS (SELECT DISTINCT paper_id, {DOI} AS pdoi, title AS ptitle FROM paper),
 pt AS (SELECT *, {content('ptitle')} AS a FROM pap), st AS (SELECT *, {content('title')} AS b FROM src),
 same AS (SELECT paper_id, source_id FROM pap JOIN src ON pdoi = doi UNION SELECT paper_id, source_id FROM pt JOIN st ON len(list_intersect(a, b)) > 0 AND len(list_intersect(a, b)) >= 0.7 * (len(a) + len(b) - len(list_intersect(a, b)))),
-cit AS (SELECT paper_id, source_id FROM refs JOIN src ON nullif(lower(trim(refs.doi)), '') = src.doi UNION SELECT paper_id, source_id FROM (SELECT paper_id, left({norm('title')}, 80) AS rt FROM refs) x JOIN src ON rt = left(t, 80) WHERE length(rt) > 20),
+cit AS (SELECT paper_id, source_id FROM refs JOIN src ON nullif(lower(trim(refs.doi)), '') = src.doi UNION SELECT paper_id, source_id FROM (SELECT DISTINCT paper_id, {norm('title')} AS rt FROM refs) x JOIN src ON contains(' ' || rt || ' ', ' ' || left(t, 80) || CASE WHEN length(t) > 80 THEN '' ELSE ' ' END) WHERE length(left(t, 80)) > 20),
 flags AS (SELECT paper_id, source_id, same.paper_id IS NOT NULL AS same_work, cit.paper_id IS NOT NULL AS cited FROM same FULL JOIN cit USING (paper_id, source_id) WHERE source_id IN (SELECT source_id FROM src WHERE kind IN ('online', 'library')))"""
 FLAGGED = FLAGGED.replace("same.paper_id IS NOT NULL", "s1 IS NOT NULL").replace("cit.paper_id IS NOT NULL", "c1 IS NOT NULL").replace("FROM same FULL JOIN cit", "FROM (SELECT *, 1 AS s1 FROM same) FULL JOIN (SELECT *, 1 AS c1 FROM cit)")
 SOURCES = """sources AS (SELECT paper_id, source_id, matched_words, n_runs, coverage, same_work, cited, row_number() OVER (PARTITION BY paper_id ORDER BY coverage DESC, source_id) AS rank,
@@ -220,13 +238,16 @@ UNION = """wp AS (SELECT paper_id, text_id, pos, bool_and(cited) AS only_cited F
 per AS (SELECT paper_id, count(*) AS covered, count(*) FILTER (WHERE NOT only_cited) AS covered_uncited FROM wp GROUP BY 1),
 top AS (SELECT paper_id, max(coverage) AS top FROM sources WHERE NOT same_work GROUP BY 1),
 uni AS (SELECT paper_id, n_scored, coalesce(covered, 0) AS covered, coalesce(covered_uncited, 0) AS covered_uncited, coalesce(top, 0) AS top, CASE WHEN n_scored > 0 THEN round(coalesce(covered, 0) / n_scored, 6) ELSE 0 END AS score, CASE WHEN n_scored > 0 THEN round(coalesce(covered_uncited, 0) / n_scored, 6) ELSE 0 END AS score_uncited FROM scored LEFT JOIN per USING (paper_id) LEFT JOIN top USING (paper_id)),
-ovl AS (SELECT paper_id, coalesce(n_scored, 0) AS n_scored, coalesce(covered, 0) AS covered, coalesce(covered_uncited, 0) AS covered_uncited, coalesce(top, 0) AS top, coalesce(score, 0) AS score, coalesce(score_uncited, 0) AS score_uncited, CASE WHEN coalesce(n_scored, 0) = 0 THEN 'na' WHEN score_uncited >= 0.15 OR top >= 0.15 THEN 'red' WHEN score_uncited >= 0.05 OR top >= 0.08 THEN 'yellow' ELSE 'green' END AS traffic_light FROM papers LEFT JOIN uni USING (paper_id))"""
+ovl AS (SELECT paper_id, coalesce(n_scored, 0) AS n_scored, coalesce(covered, 0) AS covered, coalesce(covered_uncited, 0) AS covered_uncited, coalesce(top, 0) AS top, coalesce(score, 0) AS score, coalesce(score_uncited, 0) AS score_uncited, CASE WHEN (SELECT count(*) FROM lib) = 0 THEN 'na' WHEN score >= 0.15 OR top >= 0.15 THEN 'red' WHEN score >= 0.05 OR top >= 0.08 THEN 'yellow' ELSE 'green' END AS traffic_light FROM papers LEFT JOIN uni USING (paper_id))"""
 AFF_STOP = "[" + ", ".join(map(q, AFFILIATION_STOPWORDS)) + "]"
 
 
-def near(frm: str, group: str, item: str, least: float, least_words: int, k: int = 5) -> str:
+LETTERS = "trim(regexp_replace(regexp_replace(replace(lower(text), 'ς', 'σ'), '([\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}])', ' \\1 ', 'g'), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g'))"
+
+
+def near(frm: str, group: str, item: str, least: float, least_words: int, k: int = 5, n: str | None = None) -> str:
     """CTE ``near``: pairs of classes of equal normalised texts by Jaccard of their shingles, and of a class's first item with the others."""
-    return f"""nb AS (SELECT {group} AS g, {item} AS i, {norm('text')} AS n FROM {frm} WHERE text IS NOT NULL),
+    return f"""nb AS (SELECT {group} AS g, {item} AS i, {n or norm('text')} AS n FROM {frm} WHERE text IS NOT NULL),
 nc AS (SELECT g, n, min(i) AS i, list_filter(string_split(n, ' '), lambda x: x <> '') AS w FROM nb WHERE n <> '' AND len(string_split(n, ' ')) >= {least_words} GROUP BY g, n),
 nsh AS (SELECT DISTINCT g, i, unnest(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda j: array_to_string(list_slice(w, j, j + {k - 1}), ' '))) AS s FROM nc),
 nn AS (SELECT g, i, count(*) AS m FROM nsh GROUP BY 1, 2),
