@@ -113,7 +113,10 @@ def stat_p_nonsig(spark: SparkSession, d: str) -> DataFrame:
     return _per_paper(spark, d, n, lights((F.col("n_nonsignificant") > 0, "yellow"), other="green"))
 
 
-def computed_p(kind: Column, value: Column, df1: Column, df2: Column) -> Column:
+def computed_p(kind: Column, value: Column, df1: Column, df2: Column, chi: bool = True) -> Column:
+    """The p of a test; with ``chi`` of chi-square tests too."""
+    if not chi:
+        return F.when(kind != "chi2", computed_p(kind, value, df1, df2))
     return F.when(kind == "t", S.t_p(value, df1)).when(kind == "F", S.f_p(F.abs(value), df1, df2)).when(kind == "chi2", S.chi2_p(value, df1))
 
 
@@ -161,7 +164,10 @@ def named_sizes(text: DataFrame) -> DataFrame:
 def es_check_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every test crossed with the effect sizes of its sentence: the size recomputed from the test and compared. SKIP where the pair has no
     rule or where the sentence doesn't name what it takes: both group sizes for d and g, n for dz and phi, n and m for V (1 for one degree)."""
-    text = Q.text_table(spark, d)
+    return effect_rows(Q.text_table(spark, d))
+
+
+def effect_rows(text: DataFrame) -> DataFrame:
     t = Q.tests(text).select("paper_id", "text_id", F.col("kind").alias("test"), "ord", "df1", "df2", "value").join(named_sizes(text), ["paper_id", "text_id"])
     x = t.join(effects(text).drop("k").withColumnsRenamed({"kind": "effect", "value": "reported"}), ["paper_id", "text_id"])
     v, a, b, n1, n2 = F.col("value"), F.col("df1"), F.col("df2"), F.col("n1"), F.col("n2")
@@ -180,9 +186,8 @@ def intervals(text: DataFrame) -> DataFrame:
     return Q.exploded(text, P.CI).select("paper_id", "text_id", "ord", (g(1) / 100).alias("level"), g(2).alias("lo"), g(3).alias("hi"))
 
 
-def ci_pairs(spark: SparkSession, d: str) -> DataFrame:
+def ci_pairs(text: DataFrame) -> DataFrame:
     """Intervals with an effect size of their sentence: for each test the first size, in sentences without a test every size."""
-    text = Q.text_table(spark, d)
     t = Q.tests(text).select("paper_id", "text_id", F.col("kind").alias("test"), F.col("ord").alias("test_ord"), "df1", "df2", F.col("value").alias("stat"))
     e = effects(text).withColumnsRenamed({"kind": "effect", "value": "es"})
     x = intervals(text).join(e, ["paper_id", "text_id"]).join(named_sizes(text), ["paper_id", "text_id"]).join(t, ["paper_id", "text_id"], "left")
@@ -193,7 +198,11 @@ def ci_rows(spark: SparkSession, d: str, inversions: bool = False) -> DataFrame:
     """Intervals against effect sizes: ERROR if reversed, WARN if off-centre, then compared with the interval computed by the method of
     the kind where the sentence names what it takes, else PASS. The methods of eta squared and dz invert noncentral distributions in
     Python and count with ``inversions`` only."""
-    x = ci_pairs(spark, d)
+    return interval_rows(Q.text_table(spark, d), inversions)
+
+
+def interval_rows(text: DataFrame, inversions: bool = False) -> DataFrame:
+    x = ci_pairs(text)
     lo, hi, es, n1, n2 = (F.col(c) for c in ("lo", "hi", "es", "n1", "n2"))
     off = F.abs((lo + hi) / 2 - es) > F.greatest(F.lit(0.05), 0.10 * F.abs(es))
     status = F.when(hi < lo, "ERROR").when(off, "WARN")

@@ -18,6 +18,7 @@ from quirewise.operators import refs as R
 from quirewise.operators import report as RP
 from quirewise.operators import runner
 from quirewise.operators import search as Q
+from quirewise.plans import fixtures as FX
 from quirewise.plans import relational
 from quirewise.plans import sql as S
 from quirewise.sources import files as FS
@@ -307,12 +308,12 @@ def es_check_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 _MC = lambda lo, hi: f"CASE WHEN greatest(abs(lo - ({lo})), abs(hi - ({hi}))) <= 0.06 THEN 'PASS' WHEN greatest(abs(lo - ({lo})), abs(hi - ({hi}))) > 0.20 THEN 'ERROR' ELSE 'WARN' END"
-_Z = 1.959963984540054
+_Z975 = 1.959963984540054
 _TANH = lambda x: f"((exp(2 * ({x})) - 1) / (exp(2 * ({x})) + 1))"
 _SE = "sqrt((n1 + n2) / (n1 * n2) + es * es / (2.0 * (n1 + n2 - 2)))"
 _CIR = _SIZES + f""", cir AS (SELECT paper_id, text_id, ord, test, test_ord, k, effect, es, level, lo, hi, CASE WHEN hi < lo THEN 'ERROR' WHEN abs((lo + hi) / 2 - es) > greatest(0.05, 0.10 * abs(es)) THEN 'WARN'
-  WHEN effect = 'r' AND n1 > 3 AND abs(es) < 1 THEN {_MC(_TANH(f"0.5 * ln((1 + es) / (1 - es)) - {_Z} / sqrt(n1 - 3)"), _TANH(f"0.5 * ln((1 + es) / (1 - es)) + {_Z} / sqrt(n1 - 3)"))}
-  WHEN effect = 'd' AND n1 > 0 AND n2 > 0 AND n1 + n2 > 2 THEN {_MC(f"es - {_Z} * {_SE}", f"es + {_Z} * {_SE}")} ELSE 'PASS' END AS status
+  WHEN effect = 'r' AND n1 > 3 AND abs(es) < 1 THEN {_MC(_TANH(f"0.5 * ln((1 + es) / (1 - es)) - {_Z975} / sqrt(n1 - 3)"), _TANH(f"0.5 * ln((1 + es) / (1 - es)) + {_Z975} / sqrt(n1 - 3)"))}
+  WHEN effect = 'd' AND n1 > 0 AND n2 > 0 AND n1 + n2 > 2 THEN {_MC(f"es - {_Z975} * {_SE}", f"es + {_Z975} * {_SE}")} ELSE 'PASS' END AS status
   FROM (SELECT paper_id, text_id, ord, try_cast({_CI[0]} AS DOUBLE) / 100 AS level, try_cast({_CI[1]} AS DOUBLE) AS lo, try_cast({_CI[2]} AS DOUBLE) AS hi FROM ({S.exploded(P.CI)}))
   JOIN (SELECT paper_id, text_id, k, kind AS effect, value AS es FROM effects) USING (paper_id, text_id) JOIN sizes USING (paper_id, text_id) LEFT JOIN (SELECT paper_id, text_id, kind AS test, ord AS test_ord FROM tests) USING (paper_id, text_id) WHERE test IS NULL OR k = 0)"""
 
@@ -451,6 +452,32 @@ def check_examples(s: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("k", k).filter("k <= 2").groupBy("paper_id", "flag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text_id", F.substring("text", 1, 150).alias("t")))), lambda x: x["t"]), "; ").alias("examples"))
 
 
+# --- every rule on sentences made for it ---
+
+_FIXED = [s for k, v in FX.FLAGS.items() for s in v] + FX.STATISTICS + FX.LINKS
+_FIX_SQL = "WITH body AS (SELECT 'fixture' AS paper_id, text_id, text FROM (VALUES " + ", ".join(f"({i}, {S.q(t)})" for i, t in enumerate(_FIXED)) + ") v(text_id, text))"
+
+
+def fixtures(s: SparkSession) -> DataFrame:
+    """The made sentences as one paper."""
+    return s.createDataFrame([("fixture", i, t) for i, t in enumerate(_FIXED)], "paper_id string, text_id int, text string")
+
+
+@query(f"{_FIX_SQL} " + " UNION ALL ".join(f"SELECT text_id, '{f}' AS flag FROM body WHERE {S.flag(f)}" for f in P.FLAGS))
+def fixture_flags(s: SparkSession, d: str) -> DataFrame:
+    """Which flags each made sentence meets."""
+    return fixtures(s).withColumn("low", F.lower("text")).select("text_id", F.explode(F.array_compact(F.array(*[F.when(T.flag("text", f, F.col("low")), F.lit(k)) for k, f in P.FLAGS.items()]))).alias("flag"))
+
+
+query(f"{_FIX_SQL}, {S.tests()} SELECT text_id, kind, ord, df1, df2, value, p_comp, p_reported, round({S.COMPUTED}, 6) AS p_computed FROM tests", "fixture_tests")(
+    lambda s, d: Q.tests(fixtures(s)).select("text_id", "kind", "ord", "df1", "df2", "value", "p_comp", "p_reported", F.round(C.computed_p(F.col("kind"), F.col("value"), F.col("df1"), F.col("df2"), False), 6).alias("p_computed"))
+)
+query(f"{_FIX_SQL}, {S.tests()}, {S.effects()}, {_ESR} SELECT text_id, test, effect, reported, computed, status FROM esr", "fixture_effects")(lambda s, d: C.effect_rows(fixtures(s)).select("text_id", "test", "effect", "reported", "computed", "status"))
+query(f"{_FIX_SQL}, {S.tests()}, {S.effects()}, {_CIR} SELECT text_id, ord, test, effect, es, lo, hi, status FROM cir", "fixture_intervals")(lambda s, d: C.interval_rows(fixtures(s)).select("text_id", "ord", "test", "effect", "es", "lo", "hi", "status"))
+query(f"{_FIX_SQL}, {S.urls()} SELECT text_id, url, host, kind FROM urls", "fixture_links")(lambda s, d: Q.urls(fixtures(s)).drop("paper_id"))
+query(f"{_FIX_SQL}, {S.PV} SELECT text_id, ord, match, p_comp, p_value FROM pv", "fixture_p_values")(lambda s, d: Q.p_values(fixtures(s)).select("text_id", "ord", "match", "p_comp", "p_value"))
+
+
 # --- verdicts ---
 
 SECTIONS = ["Statistical reporting", "Forensic metascience", "Open science & transparency", "Data & content integrity", "Social science methodology", "Disclosures", "References"]

@@ -86,7 +86,7 @@ def t_p(t: str, v: str) -> str:
     th = f"atan(abs({t}) / sqrt({v}))"
     even = f"sin({th}) * list_sum(list_transform(range(0, CAST({v} AS BIGINT) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())) * pow(cos({th}), 2 * k)))"
     odd = f"2 / pi() * ({th} + sin({th}) * coalesce(list_sum(list_transform(range(0, (CAST({v} AS BIGINT) - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + 0.5 * ln(pi()) - ln(2)) * pow(cos({th}), 2 * k + 1))), 0))"
-    return f"CASE WHEN {v} <= 0 THEN NULL ELSE greatest(0.0, 1 - CASE WHEN CAST({v} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END) END"
+    return f"CASE WHEN {v} IS NULL OR {v} <= 0 THEN NULL ELSE greatest(0.0, 1 - CASE WHEN CAST({v} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END) END"
 
 
 def f_p(f: str, a: str, b: str) -> str:
@@ -96,7 +96,7 @@ def f_p(f: str, a: str, b: str) -> str:
     even2 = f"1 - pow(1 - {x}, {a} / 2) * list_sum(list_transform(range(0, CAST({b} AS BIGINT) // 2), lambda k: pow({x}, k) * exp(lgamma({a} / 2 + k) - lgamma({a} / 2) - lgamma(k + 1))))"
     beta = f"CASE WHEN {a} = 1 THEN 0 ELSE 2 / sqrt(pi()) * exp(lgamma(({b} + 1) / 2) - lgamma({b} / 2)) * sin({th}) * pow(cos({th}), {b}) * list_sum(list_transform(range(0, (CAST({a} AS BIGINT) - 1) // 2), lambda k: pow(sin({th}), 2 * k) * exp(lgamma(({b} + 1) / 2 + k) - lgamma(({b} + 1) / 2) + lgamma(1.5) - lgamma(k + 1.5)))) END"
     p = f"CASE WHEN CAST({a} AS BIGINT) % 2 = 0 THEN {even1} WHEN CAST({b} AS BIGINT) % 2 = 0 THEN {even2} ELSE {t_p(f'sqrt({a} * {f})', b)} + {beta} END"
-    return f"CASE WHEN {a} <= 0 OR {b} <= 0 THEN NULL WHEN {f} <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, {p})) END"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 THEN NULL WHEN {f} <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, {p})) END"
 
 
 COMPUTED = f"CASE kind WHEN 't' THEN {t_p('value', 'CAST(df1 AS DOUBLE)')} WHEN 'F' THEN {f_p('abs(value)', 'CAST(df1 AS DOUBLE)', 'CAST(df2 AS DOUBLE)')} END"

@@ -149,7 +149,8 @@ def test_title_mismatch_and_similarity(spark):
 
 @pytest.mark.parametrize("name", sorted(P.FLAGS))
 def test_flags_with_and_without_prefilter_agree(spark, name):
-    words = [w for p in P.FLAGS[name].every for w in (P.stems(p) or [])]
+    flags = P.FLAGS[name] if isinstance(P.FLAGS[name], tuple) else (P.FLAGS[name],)
+    words = [w for f in flags for p in f.every for w in (P.stems(p) or [])]
     texts = ["No case here.", None, "", *[f"It {w} s." for w in words], *[f"{a} {b}s 5 = .3 significant" for a in words for b in words][:60]]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = df.select(T.flag("text", P.FLAGS[name]).alias("a"), T.flag("text", P.FLAGS[name], F.lower("text")).alias("b")).collect()
@@ -168,6 +169,6 @@ def test_checks_fire_on_their_phrases(spark):
 
 
 def test_patterns_mean_the_same_in_python():
-    for f in P.FLAGS.values():
-        for p in f.every + f.never:
+    for f in [f for x in P.FLAGS.values() for f in (x if isinstance(x, tuple) else (x,))]:
+        for p in f.every + f.never + f.cased + f.cased_never:
             re.compile(p, re.I)
