@@ -1,30 +1,42 @@
 """Sentence spans of paragraphs in any script, chosen by semi-Markov dynamic programming.
 
-Every span between two possible ends is scored as a whole: by how it closes (kind of end mark, the word before it), by the word
-that opens it, by its length and by whether quotations and brackets inside it are balanced; the best sequence of spans is taken.
-Opening words and abbreviations aren't listed but learned from the corpus: what begins paragraphs and follows long words with a
-full stop opens sentences; words whose full stop is mostly followed by something else than an opening word are abbreviations.
+Every span between two possible ends is scored as a whole: by how it closes (kind of end mark, the word before it), by the odds that
+its first word opens sentences, by its length against the lengths of stretches between any marks, and by whether quotations and brackets
+inside it are balanced; the best sequence of spans is taken, however many places a span covers. Opening words, abbreviations and
+lengths aren't listed but learned from all texts: what begins paragraphs and follows long words with a full stop opens sentences; words
+whose full stop is mostly followed by something else than an opening word are abbreviations.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Marks by kind.
-STRONG, STOP, DOTS = "!?。！？؟।॥｡۔", ".．", "…"
+STRONG, STOP, DOTS = "!?。！？؟।॥｡۔‼⁇⁈⁉။።፧։។៕།᠃", ".．", "…"
+UNSPACED = "。！？｡။។៕།"  # of scripts that need no blank behind the mark
 OPEN, CLOSE = "“„«「『‘(（[【《〈", "”“»」』’)）]】》〉"
 PARTNERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉"}
-#: Least counts of an opening word and of an abbreviation, share of continuations of an abbreviation, spans from one start that are tried.
-OPENER_N, SHORT_N, SHORT_SHARE, REACH = 2, 3, 0.5, 400
+#: Least counts of an opening word and of an abbreviation, share of continuations of an abbreviation and of one of more than eight letters.
+OPENER_N, SHORT_N, SHORT_SHARE, LONG_SHARE = 2, 3, 0.5, 0.8
+#: Places of the tables of words: their size doesn't depend on the vocabulary. Steps of length, the last for all that is longer, and least
+#: number of stretches from which lengths are learned.
+PLACES, STEPS, LENGTHS_N = 1 << 20, 24, 200
+#: Most that the opening word and the length may weigh.
+OPEN_MOST, LENGTH_MOST = 1.5, 2.0
 
 _END = re.compile(rf"[{re.escape(STRONG + STOP + DOTS)};]+")
 _GAP = re.compile(r"\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*")
+_INNER = re.compile(r"(?<=[^\W\d_A-Z] )[^\W\d_]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")  # letters of scripts without blanks between words
 _LAST = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*$")
 _TIES = re.compile(rf"[{re.escape(OPEN + CLOSE)}]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])|(?<=[)”\"])\s+(?=[฀-๿])")
@@ -45,7 +57,7 @@ def _head(text: str, at: int) -> str:
 
 def last_word(text: str, end: int) -> str:
     """The word, with inner stops, that ends at ``end``."""
-    m = _LAST.search(text, max(0, end - 40), end)
+    m = _LAST.search(text, max(0, end - 200), end)
     return m.group() if m else ""
 
 
@@ -54,15 +66,50 @@ def plain_lower(word: str) -> bool:
     return len(word) > 1 and word[0].islower() and word.split("-")[0].islower() or word in ("a", "y", "e", "o", "à", "и", "в", "с", "к", "о", "у", "я", "ο", "η", "ή")
 
 
+def places(word: str) -> tuple[int, int]:
+    """The word's places by two hash functions, one in each half of a table."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) % PLACES, PLACES + zlib.crc32(raw, 0x5EED) % PLACES
+
+
+class Words:
+    """Values of words in a table by their places: of the two the one that fewer occurrences share, or nothing where one place is empty."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        self.values, self.counts = values, counts
+
+    def get(self, word: str) -> float:
+        a, b = places(word)
+        if not self.counts[a] or not self.counts[b]:
+            return 0.0
+        return float(self.values[a if self.counts[a] <= self.counts[b] else b])
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word) > 0
+
+
+def step(length: int) -> int:
+    """Steps of length grow by a half each from four characters on."""
+    return min(STEPS - 1, max(0, int(2 * math.log2(max(1, length))) - 3))
+
+
+_TAIL = next(n for n in range(1, 1 << 20) if step(n) == STEPS - 1)  # from here on length makes no difference
+
+
 class Marks:
-    """What was learned: opening words and abbreviations."""
+    """What was learned: odds of opening words, abbreviations, and what a length says for a sentence."""
 
-    def __init__(self, openers: set[str], short: set[str]):
-        self.openers, self.short = openers, short
+    def __init__(self, openers, short, lengths: list[float] | None = None):
+        self.openers, self.short, self.lengths = openers, short, lengths or [0.0] * STEPS
 
     def opens(self, word: str) -> bool:
         return word in self.openers
 
+    def odds(self, word: str) -> float:
+        if isinstance(self.openers, Words):
+            return min(OPEN_MOST, max(-OPEN_MOST, self.openers.get(word)))
+        return 0.5 * (word in self.openers)
+
     def is_short(self, word: str) -> bool:
         """Whether a full stop after the word may well belong to the word."""
         return word in self.short or (len(word) == 1 and word.isalpha()) or "." in word or word.isdigit() or (len(word) <= 2 and word.isupper())
@@ -117,7 +164,7 @@ def candidates(text: str, marks: Marks, closing: set[int]) -> list[tuple[int, in
         lower = plain_lower(after)
         dots = DOTS in mark or ".." in mark or (mark == "." and text[m.start() - 2 : m.start()] == "..")
         strong = any(c in STRONG for c in mark)
-        cjk = any(c in "。！？｡" for c in mark) or (strong and follows >= "⺀")
+        cjk = any(c in UNSPACED for c in mark) or (strong and follows >= "⺀")
         if not gap and not cjk and not shut:
             tight = mark == "." and len(last) >= 3 and last[1:].islower() and follows.isupper() and not marks.is_short(last) and text[start + 1 : start + 2].islower()
             if not tight and not strong:
@@ -167,16 +214,24 @@ def split(text: str | None, marks: Marks) -> list[tuple[int, int]]:
     starts = [body, *(c[1] for c in cuts)]
     ends = [*(c[0] for c in cuts), stop]
     closing = [*(c[2] for c in cuts), 0.0]
-    opening = [0.0, *(0.5 * marks.opens(first_word(text, s)) for s in starts[1:])]
+    opening = [0.0, *(0.5 * marks.odds(first_word(text, s)) for s in starts[1:])]
     ds, de = [0, *depths], [*depths, 0]
     n = len(ends)
     best, back = [0.0] + [-1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        base = best[i] + opening[i]
-        for j in range(i, min(n, i + REACH)):
-            v = base + closing[j] - (10.0 if ds[i] or de[j] else 0.0) - (2.0 if ends[j] - starts[i] < 2 else 0.0)
-            if v > best[j + 1]:
-                best[j + 1], back[j + 1] = v, i
+    weigh = [0.0] * STEPS if _UNSPACED.search(text) else marks.lengths
+    near, far = 0, (-1e9, 0)  # spans from before ``near`` are so long that of them only the best start counts
+    for j in range(n):
+        while near <= j and ends[j] - starts[near] >= _TAIL:
+            far = max(far, (best[near] + opening[near] - (10.0 if ds[near] else 0.0), -near))
+            near += 1
+        shut = closing[j] - (10.0 if de[j] else 0.0)
+        top, at = far[0] + weigh[-1], -far[1]
+        for i in range(near, j + 1):
+            size = ends[j] - starts[i]
+            v = best[i] + opening[i] - (10.0 if ds[i] else 0.0) + weigh[step(size)] - (2.0 if size < 2 else 0.0)
+            if v > top:
+                top, at = v, i
+        best[j + 1], back[j + 1] = top + shut, at
     spans, j = [], n
     while j > 0:
         i = back[j]
@@ -185,43 +240,80 @@ def split(text: str | None, marks: Marks) -> list[tuple[int, int]]:
     return spans[::-1]
 
 
+def _heads(t: str) -> list[str]:
+    return [_head(t, 0), *(_head(t, m.end()) for m in re.finditer(r"[^\W\d_]{5,}[.!?]\s+(?=[^\W\d_])", t) if not t[m.start() : m.start() + 1].isupper())]
+
+
 def learn(texts: DataFrame, text: str = "text") -> Marks:
-    """Opening words and abbreviations of the corpus, counted over all rows; rare ones fall below a share of the rows."""
-    found = texts.select(text)
+    """Odds of opening words, abbreviations and lengths, counted over all rows into tables of fixed size."""
+    found, sc = texts.select(text), texts.sparkSession.sparkContext
 
     def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: dict[int, list[int]] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if not t or t.isspace():
                     continue
-                heads = [_head(t, 0), *(_head(t, m.end()) for m in re.finditer(r"[^\W\d_]{5,}[.!?]\s+(?=[^\W\d_])", t) if not t[m.start() : m.start() + 1].isupper())]
-                for w in heads:
-                    if w and "." not in w:
-                        seen[w] = seen.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-
-    per = found.mapInArrow(opening, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = per.agg(F.sum("n")).first()[0] or 0
-    openers = {r["word"] for r in per.filter(F.col("n") >= max(OPENER_N, total * 2e-6)).collect()}
+                for k, found_ in ((0, _heads(t)), (1, _INNER.findall(t))):
+                    for w in found_:
+                        if w and "." not in w and (k == 0 or w[0].isupper()):
+                            for at in places(w):
+                                seen.setdefault(at, [0, 0])[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), *(pa.array([x[k] for x in seen.values()], pa.int64()) for k in (0, 1))], ["place", "n", "inside"])
+
+    rows = found.mapInArrow(opening, "place int, n long, inside long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).toArrow()  # at most 2 * PLACES
+    n, inside = (np.zeros(2 * PLACES) for _ in range(2))
+    n[rows.column("place").to_numpy()], inside[rows.column("place").to_numpy()] = rows.column("n").to_numpy(), rows.column("inside").to_numpy()
+    odds = np.where((n >= OPENER_N) | (inside > 0), np.log((n + 0.5) / (inside + 0.5)), 0).astype("float32")
+    odds[(odds > 0) & (n < OPENER_N)] = 0
+    opens = Words(odds, (n + inside).astype("float32"))
+    sent = sc.broadcast(opens)
 
     def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        openers = sent.value
+        seen: dict[int, list[int]] = {}
+        long = np.zeros((2, STEPS), "int64")  # of sentences between sure ends, of stretches between any marks
         for batch in batches:
             for t in batch.column(0).to_pylist():
+                sure, mark, spaced = 0, 0, None
                 for m in re.finditer(r"(?<![.])\.\s*(?=\S)", t) if t else ():
                     w = last_word(t, m.start())
-                    if not w or len(w) > 8 or not w[0].isalpha():
+                    if not w or not w[0].isalpha():
                         continue
                     after = first_word(t, m.end())
-                    x = seen.setdefault(w, [0, 0])
-                    x[0] += 1
-                    x[1] += t[m.end()] in ",;:)]" or plain_lower(after) or after[:1].isdigit() or (after[:1].isupper() and after not in openers)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["word", "n", "on"])
-
-    per = found.mapInArrow(closing, "word string, n long, on long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("on").alias("on"))
-    short = {r["word"] for r in per.filter((F.col("n") >= max(SHORT_N, total * 2e-6)) & (F.col("on") >= F.col("n") * SHORT_SHARE)).collect()}
-    return Marks(openers, short)
+                    goes_on = t[m.end()] in ",;:)]" or plain_lower(after) or after[:1].isdigit() or (after[:1].isupper() and after not in openers)
+                    for at in places(w):
+                        x = seen.setdefault(at, [0, 0, 0])
+                        x[0] += 1
+                        x[1] += goes_on
+                        x[2] = max(x[2], len(w))
+                    if spaced is None:
+                        spaced = not _UNSPACED.search(t)
+                    if not spaced:  # lengths are those of scripts with blanks between words
+                        continue
+                    long[1, step(m.start() + 1 - mark)] += 1
+                    mark = m.end()
+                    if not goes_on and len(w) > 4 and w.islower():
+                        long[0, step(m.start() + 1 - sure)] += 1
+                        sure = m.end()
+        lengths = [(-1 - k * STEPS - j, int(v), 0, 0) for k in (0, 1) for j, v in enumerate(long[k]) if v]
+        got = [(k, *x) for k, x in seen.items()] + lengths
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int32() if k in (0, 3) else pa.int64()) for k in range(4)], ["place", "n", "on", "size"])
+
+    rows = found.mapInArrow(closing, "place int, n long, on long, size int").groupBy("place").agg(F.sum("n").alias("n"), F.sum("on").alias("on"), F.max("size").alias("size")).toArrow()
+    at, n, on, size = (rows.column(c).to_numpy() for c in ("place", "n", "on", "size"))
+    short, often = np.zeros(2 * PLACES, "int8"), np.zeros(2 * PLACES, "float32")
+    often[at[at >= 0]] = n[at >= 0]
+    is_short = (at >= 0) & (n >= SHORT_N) & (on >= n * np.where(size > 8, LONG_SHARE, SHORT_SHARE))
+    short[at[is_short]] = 1
+    counts = np.zeros(2 * STEPS)
+    counts[-1 - at[at < 0]] = n[at < 0]
+    own, any_ = counts[:STEPS], counts[STEPS:]
+    weigh = [0.0] * STEPS
+    if own.sum() >= LENGTHS_N:
+        ratio = np.log((own + 1) / (own.sum() + STEPS)) - np.log((any_ + 1) / (any_.sum() + STEPS))
+        weigh = np.clip(ratio, -LENGTH_MOST, LENGTH_MOST).tolist()
+    return Marks(opens, Words(short, often), weigh)
 
 
 def sentence_spans(rows: DataFrame, keys: tuple[str, ...] = ("paper_id", "paragraph_id"), text: str = "text", formatted: str | None = None) -> DataFrame:

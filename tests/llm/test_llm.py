@@ -250,6 +250,41 @@ def test_sentences_cover_every_character_once(t):
     assert all(a < b and not t[a].isspace() and not t[b - 1].isspace() for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_scripts_with_marks_of_their_own():
+    m = SE.Marks(OPENERS, SHORT)
+    for t in ("ကျွန်တော် သွားသည်။သူ လာသည်။", "ខ្ញុំទៅ។គាត់មក។", "ሰላም ነው። ደህና ነኝ።", "Ես գնում եմ։ Նա գալիս է։"):
+        assert len(SE.split(t, m)) == 2, t
+
+
+def test_learned_lengths_and_openers_decide():
+    text = "It was seen by Mr Abel. Then it rained on the town all day long"
+    cuts = SE.candidates(text, SE.Marks(set(), set()), set())
+    assert len(cuts) == 1
+    low = SE.Marks({"Then"}, {"Abel"})
+    table = lambda v: SE.Words(__import__("numpy").full(2 * SE.PLACES, v, "float32"), __import__("numpy").ones(2 * SE.PLACES, "float32"))
+    assert len(SE.split(text, low)) == 2 and len(SE.split(text, SE.Marks(table(-1.0), {"Abel"}))) == 1
+    short = [-2.0] * SE.STEPS
+    short[SE.step(len(text)) :] = [2.0] * (SE.STEPS - SE.step(len(text)))
+    assert len(SE.split(text, SE.Marks({"Then"}, {"Abel"}, short))) == 1  # two spans of an unlikely length lose against one of a likely length
+
+
+def test_words_without_collisions(spark):
+    import numpy as np
+
+    counts, values = np.zeros(2 * SE.PLACES, "float32"), np.zeros(2 * SE.PLACES, "float32")
+    for w in ("Dr", "cf"):
+        for at in SE.places(w):
+            counts[at] += 1
+            values[at] = 1
+    known = SE.Words(values, counts)
+    assert "Dr" in known and sum(f"w{i}" in known for i in range(20_000)) == 0
+
+
+def test_long_spans_have_no_bound():
+    inner = " ".join(f"It went on {i}." for i in range(900))
+    assert SE.split(f"“{inner}” Later it ended.", SE.Marks(OPENERS, SHORT)) == [(0, len(inner) + 2), (len(inner) + 3, len(inner) + 18)]
+
+
 def test_sentence_rows(spark):
     rows = [("p", 1, "We go. It ends.", "<p>x</p>"), ("p", 1, "We go. It ends.", "<p>x</p>"), ("p", 2, None, "<p>Only &amp; here.</p>"), (None, 3, "", None)]
     df = spark.createDataFrame(rows, "paper_id string, paragraph_id int, text string, formatted string").withColumn("sentence", F.lit("clash"))
