@@ -35,7 +35,7 @@ OPEN_MOST, LENGTH_MOST = 1.5, 2.0
 _END = re.compile(rf"[{re.escape(STRONG + STOP + DOTS)};]+")
 _GAP = re.compile(r"\s*")
 _WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*")
-_INNER = re.compile(r"(?<=[^\W\d_A-Z] )[^\W\d_]+")
+_INNER = re.compile(r" (?<=[^\W\d_A-Z] )([A-ZÀ-ÞĀ-ŽΑ-ΩЀ-Я][^\W\d_]*)")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")  # letters of scripts without blanks between words
 _LAST = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*$")
 _TIES = re.compile(rf"[{re.escape(OPEN + CLOSE)}]")
@@ -77,12 +77,17 @@ class Words:
 
     def __init__(self, values: np.ndarray, counts: np.ndarray):
         self.values, self.counts = values, counts
+        self.known: dict[str, float] = {}
 
     def get(self, word: str) -> float:
-        a, b = places(word)
-        if not self.counts[a] or not self.counts[b]:
-            return 0.0
-        return float(self.values[a if self.counts[a] <= self.counts[b] else b])
+        got = self.known.get(word)
+        if got is None:
+            a, b = places(word)
+            got = float(self.values[a if self.counts[a] <= self.counts[b] else b]) if self.counts[a] and self.counts[b] else 0.0
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[word] = got
+        return got
 
     def __contains__(self, word: str) -> bool:
         return self.get(word) > 0
@@ -94,6 +99,7 @@ def step(length: int) -> int:
 
 
 _TAIL = next(n for n in range(1, 1 << 20) if step(n) == STEPS - 1)  # from here on length makes no difference
+_EVEN = [0.0] * _TAIL
 
 
 class Marks:
@@ -101,6 +107,7 @@ class Marks:
 
     def __init__(self, openers, short, lengths: list[float] | None = None):
         self.openers, self.short, self.lengths = openers, short, lengths or [0.0] * STEPS
+        self.by_size = [self.lengths[step(n)] for n in range(_TAIL)]
 
     def opens(self, word: str) -> bool:
         return word in self.openers
@@ -204,6 +211,8 @@ def split(text: str | None, marks: Marks) -> list[tuple[int, int]]:
     stop = len(text.rstrip())
     depth_of, closed = _depths(text)
     cuts = [c for c in candidates(text, marks, closed) if body < c[0] < stop]
+    if not cuts:
+        return [(body, stop)]
     depth_at = sorted(depth_of.items())
     depths, k, d = [], 0, 0
     for end, _, _ in cuts:
@@ -218,17 +227,18 @@ def split(text: str | None, marks: Marks) -> list[tuple[int, int]]:
     ds, de = [0, *depths], [*depths, 0]
     n = len(ends)
     best, back = [0.0] + [-1e9] * n, [0] * (n + 1)
-    weigh = [0.0] * STEPS if _UNSPACED.search(text) else marks.lengths
+    bare = _UNSPACED.search(text) is not None
+    weigh, tail = _EVEN if bare else marks.by_size, 0.0 if bare else marks.lengths[-1]
     near, far = 0, (-1e9, 0)  # spans from before ``near`` are so long that of them only the best start counts
     for j in range(n):
         while near <= j and ends[j] - starts[near] >= _TAIL:
             far = max(far, (best[near] + opening[near] - (10.0 if ds[near] else 0.0), -near))
             near += 1
         shut = closing[j] - (10.0 if de[j] else 0.0)
-        top, at = far[0] + weigh[-1], -far[1]
+        top, at = far[0] + tail, -far[1]
         for i in range(near, j + 1):
             size = ends[j] - starts[i]
-            v = best[i] + opening[i] - (10.0 if ds[i] else 0.0) + weigh[step(size)] - (2.0 if size < 2 else 0.0)
+            v = best[i] + opening[i] - (10.0 if ds[i] else 0.0) + weigh[size] - (2.0 if size < 2 else 0.0)
             if v > top:
                 top, at = v, i
         best[j + 1], back[j + 1] = top + shut, at
