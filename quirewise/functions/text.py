@@ -140,15 +140,15 @@ def affiliation_keywords(c: Column) -> Column:
 
 
 def clean_title(c: Column) -> Column:
-    """A title for comparison: no tags, plain dashes, single blanks, small letters, no full stop at the end."""
-    t = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "[‐‑–—−]", "-")
+    """A title for comparison: no tags and dashes, single blanks, small letters, no full stop at the end."""
+    t = F.regexp_replace(c, "<[^>]+>|[-‐‑–—−]+", " ")
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(t), r"[ \t\n\r]+", " ")), r"\.+$", "")
 
 
 def title_mismatch(a: Column, b: Column) -> Column:
-    """Neither cleaned title begins with the other."""
+    """Neither cleaned title begins with the other; false where one is missing."""
     x, y = clean_title(a), clean_title(b)
-    return ~(x.startswith(y) | y.startswith(x))
+    return F.coalesce((x != "") & (y != "") & ~(x.startswith(y) | y.startswith(x)), F.lit(False))
 
 
 def file_type(name: Column) -> Column:

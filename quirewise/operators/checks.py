@@ -59,6 +59,15 @@ def keyword_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return wide.unpivot("paper_id", list(P.CHECKS), "check", "traffic_light")
 
 
+def r2_items(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_id, item, found): the items of the editorial checklist one by one."""
+    counts = flag_counts(spark, d, P.R_ITEMS)
+    for e in ("bib", "doi"):
+        counts = counts.join(_extra(spark, d, e), "paper_id", "left").fillna(0)
+    wide = counts.select("paper_id", *[(F.col(f"n_{i}") > 0).alias(i) for i in [*P.R_ITEMS, "bib", "doi"]])
+    return wide.unpivot("paper_id", [*P.R_ITEMS, "bib", "doi"], "item", "found")
+
+
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, text_id, flag): which flags every sentence meets; the detail table of the keyword checks."""
     text = Q.text_table(spark, d).select("paper_id", "text_id", "text", F.lower("text").alias("low"))

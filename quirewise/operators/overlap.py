@@ -177,6 +177,26 @@ def retrieve_candidates(spark: SparkSession, d: str, phrases: DataFrame, most_hi
     return x.groupBy("paper_id", "source_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.round(F.sum(1.0 / F.col("hits")), 6).alias("score"))
 
 
+def candidate_states(candidates: DataFrame, texts: DataFrame, max_sources: int = 15, least: int = 500) -> DataFrame:
+    """(paper_id, source_id, score, rank, state): the best ``max_sources`` candidates of a paper whose text (source_id, text) has ``least``
+    characters are compared, the others stay unverified."""
+    rank = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("score"), "source_id"))
+    x = candidates.withColumn("rank", rank).join(texts.select("source_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("size")), "source_id")
+    return x.select("paper_id", "source_id", "score", "rank", F.when((F.col("rank") <= max_sources) & (F.col("size") >= least), "compared").otherwise("unverified").alias("state"))
+
+
+def run(spark: SparkSession, d: str, max_passages: int = 120, max_sources: int = 15, seed: int = 1, used: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of a check of every manuscript: the phrases that are searched (those in ``used`` left out) and how many were left out, the
+    candidates and their states, sources, passages, marks and the light."""
+    eligible = eligible_phrases(spark, d)
+    phrases = select_phrases(eligible, max_passages, seed, used)
+    found = retrieve_candidates(spark, d, phrases)
+    n = eligible.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_eligible"))
+    left_out = eligible.join(used.select("phrase").distinct(), "phrase", "left_semi").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_skipped")) if used is not None else n.select("paper_id", F.lit(0).alias("n_skipped"))
+    counts = n.join(left_out, "paper_id", "left").fillna(0)
+    return {"phrases": phrases, "counts": counts, "candidates": candidate_states(found, table(spark, d, "source_text"), max_sources), "sources": sources(spark, d), "passages": passages(spark, d), "highlights": highlights(spark, d), "light": union_coverage(spark, d)}
+
+
 def phrase_history(log: DataFrame, phrases: DataFrame) -> DataFrame:
     """(paper_id, n_now, n_before, n_either): phrases of this run, of earlier runs (a log of paper_id, phrase), and of both together."""
     now = phrases.select("paper_id", "phrase").distinct().withColumn("now", F.lit(1))

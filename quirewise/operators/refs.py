@@ -28,8 +28,12 @@ def ref_table(spark: SparkSession, d: str) -> DataFrame:
 @Q.once
 def xrefs(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, text_id, ord, xref_type, target, contents): cross references in the XML of the sentences, but for addresses."""
+    return xrefs_of(Q.sentences(spark, d))
+
+
+def xrefs_of(sentence: DataFrame) -> DataFrame:
     rx = r'<ref type="([a-z]+)"(?: target="([^"]*)")?[^>]*>([^<]*)</ref>'
-    x = Q.sentences(spark, d).filter(F.col("formatted").contains("<ref")).select("paper_id", "text_id", F.posexplode(F.regexp_extract_all("formatted", F.lit(rx), F.lit(0))).alias("ord", "m"))
+    x = sentence.filter(F.col("formatted").contains("<ref")).select("paper_id", "text_id", F.posexplode(F.regexp_extract_all("formatted", F.lit(rx), F.lit(0))).alias("ord", "m"))
     g = lambda k: F.regexp_extract("m", rx, k)
     return x.select("paper_id", "text_id", "ord", g(1).alias("xref_type"), F.regexp_extract(g(2), "([0-9]+)", 1).try_cast("int").alias("target"), T.strip_tags(g(3)).alias("contents")).filter("xref_type <> 'url'")
 
@@ -107,31 +111,37 @@ def ref_replication(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
 
 
 def ref_accuracy_rows(spark: SparkSession, d: str, register: DataFrame) -> DataFrame:
-    """References with a title against the record of the same normalised title: no match, or which parts differ.
+    """References with a DOI against the register's record of it (doi, title, year, authors: family names in small letters): no record,
+    or which parts differ. A part that one side lacks doesn't differ; every author of the record must be among those of the reference."""
+    reg = register.select(doi_key("doi").alias("doi"), F.struct("title", "year", "authors").alias("r")).filter("doi IS NOT NULL").groupBy("doi").agg(F.min("r").alias("r"))
+    b = Q.references(spark, d).withColumn("doi", doi_key("doi")).filter("doi IS NOT NULL").select("paper_id", "bib_id", "doi", "title", "year", "authors")
+    x = b.join(reg, "doi", "left")
+    names = F.filter(F.transform(F.split("authors", ";"), T.surname), lambda n: n != "")
+    author_off = (F.size(names) > 0) & (F.size("r.authors") > 0) & ~F.forall("r.authors", lambda t: F.exists(names, lambda n: F.contains(n, t)))
+    no = F.lit(False)
+    return x.select("paper_id", "bib_id", "doi", F.col("r").isNull().alias("no_match"), F.coalesce(F.col("year") != F.col("r.year"), no).alias("year_mismatch"), T.title_mismatch(F.col("title"), F.col("r.title")).alias("title_mismatch"), F.coalesce(author_off, no).alias("author_mismatch"))
+
 
-    ``register`` has record_id, title, year, authors; of several records of a title the one with the smallest id counts.
-    """
-    reg = register.select(T.normalise(F.col("title")).alias("key"), F.struct("record_id", "year", "authors").alias("r")).filter("key <> ''").groupBy("key").agg(F.min_by("r", "r.record_id").alias("r"))
-    b = Q.references(spark, d).filter("title IS NOT NULL").select("paper_id", "bib_id", "year", "authors", T.normalise(F.col("title")).alias("key"))
-    x = b.join(reg, "key", "left")
-    names = F.transform(F.split("authors", ";"), T.surname)
-    theirs = F.transform("r.authors", lambda a: T.surname(a))
-    author_off = ~F.forall(theirs, lambda t: F.exists(names, lambda n: F.contains(n, t) | F.contains(t, n)))
-    return x.select("paper_id", "bib_id", F.col("r").isNull().alias("no_match"), F.coalesce(F.col("year") != F.col("r.year"), F.lit(False)).alias("year_mismatch"), F.coalesce(author_off, F.lit(False)).alias("author_mismatch"))
+_PARTS = ("no_match", "year_mismatch", "title_mismatch", "author_mismatch")
 
 
 def ref_accuracy(spark: SparkSession, d: str, register: DataFrame) -> DataFrame:
-    n = ref_accuracy_rows(spark, d, register).groupBy("paper_id").agg(F.count(F.lit(1)).alias("refs_checked"), *[F.count_if(c).alias(f"n_{c}") for c in ("no_match", "year_mismatch", "author_mismatch")])
+    n = ref_accuracy_rows(spark, d, register).groupBy("paper_id").agg(F.count(F.lit(1)).alias("refs_checked"), *[F.count_if(c).alias(c) for c in _PARTS])
     out = Q.papers(spark, d).join(n, "paper_id", "left").fillna(0)
-    return out.withColumn("traffic_light", lights((F.col("refs_checked") == 0, "na"), ((F.col("n_no_match") > 0) | (F.col("n_year_mismatch") > 0) | (F.col("n_author_mismatch") > 0), "yellow"), other="green"))
+    issues = F.col("no_match") + F.col("year_mismatch") + F.col("title_mismatch") + F.col("author_mismatch") > 0
+    return out.withColumn("traffic_light", lights((F.col("refs_checked") == 0, "na"), (issues, "yellow"), other="green"))
 
 
-def ref_summary(spark: SparkSession, d: str, retractions: DataFrame, miscited: DataFrame, pairs: DataFrame, register: DataFrame) -> DataFrame:
+def ref_summary(spark: SparkSession, d: str, retractions: DataFrame, miscited: DataFrame, pairs: DataFrame, register: DataFrame, comments: DataFrame) -> DataFrame:
     """Every reference with what the reference checks found about it: left joins of their details."""
     out = Q.references(spark, d).select("paper_id", "bib_id", doi_key("doi").alias("doi"))
-    for name, rows in (("retracted", lookup(spark, d, retractions)), ("miscited", lookup(spark, d, miscited)), ("replicated", replications(spark, d, pairs)), ("inaccurate", ref_accuracy_rows(spark, d, register).filter("no_match OR year_mismatch OR author_mismatch"))):
+    off = ref_accuracy_rows(spark, d, register).filter(" OR ".join(_PARTS))
+    for name, rows in (("retracted", lookup(spark, d, retractions)), ("miscited", lookup(spark, d, miscited)), ("replicated", replications(spark, d, pairs)), ("inaccurate", off)):
         out = out.join(rows.select("paper_id", "bib_id").distinct().withColumn(name, F.lit(True)), ["paper_id", "bib_id"], "left")
-    return out.fillna(False, ["retracted", "miscited", "replicated", "inaccurate"])
+    details = replications(spark, d, pairs).groupBy("paper_id", "bib_id").agg(F.array_join(F.array_sort(F.collect_set("outcome")), ";").alias("outcomes"))
+    said = lookup(spark, d, comments).groupBy("paper_id", "bib_id").agg(F.sum("total_comments").alias("comments"))
+    out = out.join(details, ["paper_id", "bib_id"], "left").join(said, ["paper_id", "bib_id"], "left")
+    return out.fillna(False, ["retracted", "miscited", "replicated", "inaccurate"]).fillna(0, ["comments"]).fillna("", ["outcomes"])
 
 
 def repo_check(links: DataFrame, files: DataFrame) -> DataFrame:

@@ -273,6 +273,7 @@ def join_within(s: SparkSession, d: str) -> DataFrame:
 for _name in P.CHECKS:
     query(S.keyword(_name), _name)(partial(lambda s, d, n: C.keyword_check(s, d, n), n=_name))
 query(S.keyword_verdicts(), "keyword_verdicts")(C.keyword_verdicts)
+query(f"{B} SELECT paper_id, item, n > 0 AS found FROM (SELECT paper_id, unnest({[*P.R_ITEMS, 'bib', 'doi']}) AS item, unnest([{', '.join(f'coalesce({x}, 0)' for x in [*P.R_ITEMS, 'n_bib', 'n_doi'])}]) AS n FROM papers LEFT JOIN (SELECT paper_id, {', '.join(f'count(*) FILTER (WHERE {S.flag(f)}) AS {f}' for f in P.R_ITEMS)} FROM body GROUP BY 1) USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n_bib FROM refs GROUP BY 1) USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) FILTER (WHERE trim(doi) <> '') AS n_doi FROM paper GROUP BY 1) USING (paper_id))", "r2_items")(C.r2_items)
 query(f"{B} " + " UNION ALL ".join(f"SELECT paper_id, text_id, '{f}' AS flag FROM body WHERE {S.flag(f)}" for f in P.FLAGS), "keyword_hits")(C.keyword_hits)
 query(f"{B}, {S.PV} " + S.per_paper("SELECT paper_id, count(*) AS p_values FROM pv GROUP BY 1", ["p_values"], "CASE WHEN p_values > 0 THEN 'info' ELSE 'na' END"), "all_p_values")(C.all_p_values)
 query(f"{B}, {S.urls()} " + S.per_paper("SELECT paper_id, count(*) AS urls FROM urls GROUP BY 1", ["urls"], "CASE WHEN urls > 0 THEN 'info' ELSE 'na' END"), "all_urls")(C.all_urls)
@@ -411,12 +412,20 @@ for _n, _f, _dim, _col, _li in (("ref_retraction", R.ref_retraction, "retraction
 query(f"{_LK} " + S.per_paper("SELECT paper_id, CAST(sum(total_comments) AS BIGINT) AS pubpeer_comments FROM r JOIN comments USING (doi) WHERE total_comments > 0 AND len(list_filter(users, lambda u: u <> 'Statcheck')) > 0 GROUP BY 1", ["pubpeer_comments"], "CASE WHEN pubpeer_comments > 0 THEN 'info' ELSE 'na' END"), "ref_pubpeer")(lambda s, d: R.ref_pubpeer(s, d, _dims(s, d)["comments"]))
 query(f"{_LK}, {S.REPL} SELECT * FROM repl", "ref_replication_rows")(lambda s, d: R.replications(s, d, _dims(s, d)["replication"]))
 query(f"{_LK}, {S.REPL} " + S.per_paper("SELECT paper_id, count(*) AS replications FROM repl GROUP BY 1", ["replications"], "CASE WHEN replications > 0 THEN 'info' ELSE 'na' END"), "ref_replication")(lambda s, d: R.ref_replication(s, d, _dims(s, d)["replication"]))
-_RC = ["refs_checked", "n_no_match", "n_year_mismatch", "n_author_mismatch"]
-query(f"{B}, {S.ACC} " + S.per_paper("SELECT paper_id, count(*) AS refs_checked, count(*) FILTER (WHERE no_match) AS n_no_match, count(*) FILTER (WHERE year_mismatch) AS n_year_mismatch, count(*) FILTER (WHERE author_mismatch) AS n_author_mismatch FROM acc GROUP BY 1", _RC, "CASE WHEN refs_checked = 0 THEN 'na' WHEN n_no_match > 0 OR n_year_mismatch > 0 OR n_author_mismatch > 0 THEN 'yellow' ELSE 'green' END"), "ref_accuracy")(lambda s, d: R.ref_accuracy(s, d, table(s, d, "registry_record")))
+def _register(s: SparkSession, d: str) -> DataFrame:
+    """Records by DOI that stand for a register's: the first reference to each work, but for works it hasn't heard of."""
+    names = F.filter(F.transform(F.split("authors", ";"), T.surname), lambda n: n != "")
+    first = Q.references(s, d).select(R.doi_key("doi").alias("doi"), "paper_id", "bib_id", "title", "year", names.alias("authors")).filter("doi IS NOT NULL AND doi NOT LIKE '%4'")
+    return first.groupBy("doi").agg(F.min_by(F.struct("title", "year", "authors"), F.struct("paper_id", "bib_id")).alias("r")).select("doi", "r.*")
+
+
+query(f"{B}, {S.ACC} SELECT * FROM acc", "ref_accuracy_rows")(lambda s, d: R.ref_accuracy_rows(s, d, _register(s, d)))
+_RC = ["refs_checked", "no_match", "year_mismatch", "title_mismatch", "author_mismatch"]
+query(f"{B}, {S.ACC} " + S.per_paper("SELECT paper_id, count(*) AS refs_checked, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in _RC[1:]) + " FROM acc GROUP BY 1", _RC, "CASE WHEN refs_checked = 0 THEN 'na' WHEN no_match + year_mismatch + title_mismatch + author_mismatch > 0 THEN 'yellow' ELSE 'green' END"), "ref_accuracy")(lambda s, d: R.ref_accuracy(s, d, _register(s, d)))
 query(
-    f"{_LK}, {S.REPL}, {S.ACC} SELECT paper_id, bib_id, doi, doi IN (SELECT doi FROM retraction) AND doi IS NOT NULL AS retracted, doi IN (SELECT doi FROM miscitation) AND doi IS NOT NULL AS miscited, EXISTS (SELECT 1 FROM repl x WHERE x.paper_id = r.paper_id AND x.bib_id = r.bib_id) AS replicated, EXISTS (SELECT 1 FROM acc x WHERE x.paper_id = r.paper_id AND x.bib_id = r.bib_id AND (no_match OR year_mismatch OR author_mismatch)) AS inaccurate FROM r",
+    f"{_LK}, {S.REPL}, {S.ACC} SELECT paper_id, bib_id, doi, doi IN (SELECT doi FROM retraction) AND doi IS NOT NULL AS retracted, doi IN (SELECT doi FROM miscitation) AND doi IS NOT NULL AS miscited, EXISTS (SELECT 1 FROM repl x WHERE x.paper_id = r.paper_id AND x.bib_id = r.bib_id) AS replicated, EXISTS (SELECT 1 FROM acc x WHERE x.paper_id = r.paper_id AND x.bib_id = r.bib_id AND (no_match OR year_mismatch OR title_mismatch OR author_mismatch)) AS inaccurate, coalesce(o, '') AS outcomes, coalesce(c, 0) AS comments FROM r LEFT JOIN (SELECT paper_id, bib_id, array_to_string(list_sort(list_distinct(list(outcome))), ';') AS o FROM repl GROUP BY 1, 2) USING (paper_id, bib_id) LEFT JOIN (SELECT doi, CAST(sum(total_comments) AS BIGINT) AS c FROM comments GROUP BY 1) USING (doi)",
     "ref_summary",
-)(lambda s, d: R.ref_summary(s, d, *[_dims(s, d)[k] for k in ("retraction", "miscitation", "replication")], table(s, d, "registry_record")))
+)(lambda s, d: R.ref_summary(s, d, *[_dims(s, d)[k] for k in ("retraction", "miscitation", "replication")], _register(s, d), _dims(s, d)["comments"]))
 
 # --- overlap ---
 
@@ -437,6 +446,8 @@ query(f"{_OV}, {_PH} SELECT * FROM phr", "eligible_phrases")(O.eligible_phrases)
 _SEL_P = "sel AS (SELECT paper_id, bucket, text_id, phrase FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, bucket ORDER BY md5('7|' || phrase), text_id, pos) AS f FROM (SELECT *, CAST(floor(k * 20 / greatest(20, total)) AS INT) AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY text_id, pos) - 1 AS k, count(*) OVER (PARTITION BY paper_id) AS total FROM phr))) WHERE f = 1)"
 query(f"{_OV}, {_PH}, {_SEL_P} SELECT * FROM sel", "select_phrases")(lambda s, d: O.select_phrases(O.eligible_phrases(s, d), 20, 7))
 query(f"{_OV}, {_PH}, gr AS (SELECT DISTINCT source_id, gram AS phrase FROM ({S.grams('lib', 'source_id', 9)})), dfp AS (SELECT phrase, count(*) AS hits FROM gr GROUP BY 1 HAVING count(*) <= 25) SELECT paper_id, source_id, count(*) AS n_phrases, round(sum(1.0 / hits), 6) AS score FROM (SELECT DISTINCT paper_id, phrase FROM phr) JOIN gr USING (phrase) JOIN dfp USING (phrase) GROUP BY 1, 2", "phrase_candidates")(lambda s, d: O.retrieve_candidates(s, d, O.eligible_phrases(s, d)))
+_GR = f"gr AS (SELECT DISTINCT source_id, gram AS phrase FROM ({S.grams('lib', 'source_id', 9)})), dfp AS (SELECT phrase, count(*) AS hits FROM gr GROUP BY 1 HAVING count(*) <= 25), cand AS (SELECT paper_id, source_id, count(*) AS n_phrases, round(sum(1.0 / hits), 6) AS score FROM (SELECT DISTINCT paper_id, phrase FROM phr) JOIN gr USING (phrase) JOIN dfp USING (phrase) GROUP BY 1, 2)"
+query(f"{_OV}, {_PH}, {_GR} SELECT paper_id, source_id, score, rank, CASE WHEN rank <= 3 AND coalesce(length(text), 0) >= 500 THEN 'compared' ELSE 'unverified' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, source_id) AS rank FROM cand) JOIN source_text USING (source_id)", "candidate_states")(lambda s, d: O.candidate_states(O.retrieve_candidates(s, d, O.eligible_phrases(s, d)), table(s, d, "source_text"), 3))
 query(f"{_OV}, {_PH} SELECT paper_id, count(*) FILTER (WHERE r1) AS n_now, count(*) FILTER (WHERE r2) AS n_before, count(*) AS n_either FROM (SELECT paper_id, phrase, bool_or(rank = 1) AS r1, bool_or(rank = 2) AS r2 FROM phr WHERE rank <= 2 GROUP BY 1, 2) GROUP BY 1", "phrase_history")(lambda s, d: (lambda p: O.phrase_history(p.filter("rank = 2"), p.filter("rank = 1")))(O.eligible_phrases(s, d)))
 
 @query(f"{_OV} SELECT paper_id, text_id, len(w) AS n_tokens, len(list_filter(w, lambda x: x = '§')) AS n_masks FROM ms")

@@ -192,10 +192,12 @@ def strip(c: str) -> str:
 XREFS = f"xr AS (SELECT * FROM (SELECT paper_id, text_id, ord, regexp_extract(m, {q(XREF)}, 1) AS xref_type, try_cast(nullif(regexp_extract(regexp_extract(m, {q(XREF)}, 2), '([0-9]+)', 1), '') AS INT) AS target, {strip(f'regexp_extract(m, {q(XREF)}, 3)')} AS contents FROM (SELECT paper_id, text_id, unnest(regexp_extract_all(formatted, {q(XREF)}, 0)) AS m, unnest(range(len(regexp_extract_all(formatted, {q(XREF)}, 0)))) AS ord FROM (SELECT DISTINCT paper_id, text_id, formatted FROM sentence) WHERE formatted LIKE '%<ref%')) WHERE xref_type <> 'url')"
 STATUS = f"cs AS (SELECT r.paper_id, r.bib_id, (EXISTS (SELECT 1 FROM ment m WHERE m.paper_id = r.paper_id AND m.name = {SURNAME.format('r.a1')} AND m.year = r.year) OR EXISTS (SELECT 1 FROM xr x WHERE x.xref_type = 'bibr' AND x.paper_id = r.paper_id AND x.target = r.bib_id)) AS cited FROM (SELECT *, split_part(authors, ';', 1) AS a1 FROM refs) r)"
 ORPH = f"orph AS (SELECT DISTINCT m.paper_id, m.name, m.year FROM ment m WHERE NOT EXISTS (SELECT 1 FROM (SELECT paper_id, year, {SURNAME.format('a')} AS name FROM (SELECT paper_id, year, unnest(string_split(authors, ';')) AS a FROM refs)) n WHERE n.paper_id = m.paper_id AND n.name = m.name AND n.year = m.year))"
-ACC = f"""reg AS (SELECT key, arg_min(r, record_id) AS r FROM (SELECT {norm('title')} AS key, record_id, {{'year': year, 'authors': authors}} AS r FROM registry_record) WHERE key <> '' GROUP BY 1),
-acc AS (SELECT b.paper_id, b.bib_id, reg.key IS NULL AS no_match, coalesce(b.year <> reg.r.year, false) AS year_mismatch,
-  coalesce(NOT list_bool_and(list_transform(reg.r.authors, lambda t: list_bool_or(list_transform(string_split(b.authors, ';'), lambda n: contains({SURNAME.format('n')}, {SURNAME.format('t')}) OR contains({SURNAME.format('t')}, {SURNAME.format('n')}))))), false) AS author_mismatch
-  FROM (SELECT *, {norm('title')} AS key FROM refs WHERE title IS NOT NULL) b LEFT JOIN reg ON reg.key = b.key)"""
+_CLEAN = "regexp_replace(trim(regexp_replace(lower(regexp_replace({0}, '<[^>]+>|[-‐‑–—−]+', ' ', 'g')), '[ \\t\\n\\r]+', ' ', 'g')), '\\.+$', '')"
+_NAMES = f"list_filter(list_transform(string_split(authors, ';'), lambda n: {SURNAME.format('n')}), lambda n: n <> '')"
+ACC = f"""reg AS (SELECT doi, title, year, names FROM (SELECT {DOI} AS doi, title, year, {_NAMES} AS names, row_number() OVER (PARTITION BY {DOI} ORDER BY paper_id, bib_id) AS k FROM refs) WHERE k = 1 AND doi IS NOT NULL AND doi NOT LIKE '%4'),
+acc AS (SELECT b.paper_id, b.bib_id, b.doi, reg.doi IS NULL AS no_match, coalesce(b.year <> reg.year, false) AS year_mismatch, coalesce(b.c <> '' AND {_CLEAN.format('reg.title')} <> '' AND NOT (starts_with(b.c, {_CLEAN.format('reg.title')}) OR starts_with({_CLEAN.format('reg.title')}, b.c)), false) AS title_mismatch,
+  coalesce(len(b.ns) > 0 AND len(reg.names) > 0 AND NOT list_bool_and(list_transform(reg.names, lambda t: list_bool_or(list_transform(b.ns, lambda n: contains(n, t))))), false) AS author_mismatch
+  FROM (SELECT paper_id, bib_id, {DOI} AS doi, year, {_CLEAN.format('title')} AS c, {_NAMES} AS ns FROM refs WHERE {DOI} IS NOT NULL) b LEFT JOIN reg ON reg.doi = b.doi)"""
 
 # overlap
 QUOTED, CITED = r"[“\"][^“”\"]{25,700}[”\"]", r"\([^()]{0,200}(?:1[6-9]|20)[0-9][0-9][a-z]?[^()]{0,200}\)"

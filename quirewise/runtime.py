@@ -34,9 +34,16 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    _delete_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_the_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete the folder when the driver ends: results may be read as long as it lives."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer partitions than there are; larger inputs stay as they are, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -211,6 +211,32 @@ def with_references(sentence: DataFrame, section: DataFrame, bib: DataFrame) ->
     return sentence.unionByName(more), section.unionByName(head)
 
 
+def urls(sentence: DataFrame) -> DataFrame:
+    """(paper_id, text_id, href, link_text): addresses in the mark-up of sentences, without the full stop at their end."""
+    rx = r'<ref\b(?=[^>]*\btype="url")[^>]*>[^<]*</ref>'
+    x = sentence.filter(F.col("formatted").contains('"url"')).select("paper_id", "text_id", F.explode(F.regexp_extract_all("formatted", F.lit(rx), F.lit(0))).alias("m"))
+    href = F.regexp_replace(F.trim(F.regexp_extract("m", r'\btarget="([^"]*)"', 1)), r"\.+$", "")
+    return x.select("paper_id", "text_id", href.alias("href"), T.strip_tags(F.col("m")).alias("link_text"))
+
+
+def listed(section: DataFrame, kind: str) -> DataFrame:
+    """(paper_id, <kind>_id, section_id): the sections that are figures or tables, numbered in each paper."""
+    w = Window.partitionBy("paper_id").orderBy("section_id")
+    return section.filter(F.col("section_type") == kind).select("paper_id", F.row_number().over(w).alias(f"{kind}_id"), "section_id")
+
+
+def read_paper(xml: DataFrame) -> dict[str, DataFrame]:
+    """All tables of all papers of a DataFrame (paper_id, xml): info, author, section, text (with the reference list), bib, xref, url, figure,
+    table and eq; papers of malformed XML have no rows."""
+    from quirewise.operators import refs
+    from quirewise.operators import search as Q
+
+    good, bib = well_formed(xml.select("paper_id", "xml")), parsed(xml, "bib")
+    section, text = sections_and_sentences(xml)
+    text_, section_ = with_references(text, section, bib)
+    return {"info": info(good), "author": parsed(xml, "author"), "section": section_, "text": text_, "bib": bib, "xref": refs.xrefs_of(text), "url": urls(text), "figure": listed(section, "figure"), "table": listed(section, "table"), "eq": Q.equations(text)}
+
+
 def content_id(content: bytes) -> str:
     """The 16 hexadecimal digits that name a file's content."""
     return hashlib.md5(content).hexdigest()[:16]

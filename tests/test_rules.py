@@ -81,3 +81,24 @@ def test_all_checks_run_by_name(spark, data):
     assert len(names) == 48 and set(names) <= set(runner.REGISTRY)
     got = runner.run_checks(spark, data, ["all_urls", "csf_check", "repo_check", "ref_summary", "nonsense"]).groupBy("check").agg(F.count("*").alias("n"), F.max("message").alias("m")).collect()
     assert {r.check for r in got if r.m} == {"nonsense"} and len({r.n for r in got}) == 1
+
+
+def test_faults_in_running_stop_no_other_check(spark, data):
+    from quirewise.operators import runner
+
+    bad = lambda s, d: Q.papers(s, d).withColumn("traffic_light", F.raise_error(F.lit("broken")).cast("string"))
+    got = {r[0]: r[1] for r in runner.run_checks(spark, data, ["bad", "marginal"], {"bad": bad}, execute=True).groupBy("check").agg(F.max("traffic_light")).collect()}
+    assert got["bad"] == "fail" and got["marginal"] != "fail"
+
+
+def test_register_by_doi(spark, tmp_path):
+    from quirewise.operators import refs as R
+
+    one = lambda n, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{n}.parquet")
+    kind = "paper_id string, bib_id int, doi string, title string, year int, authors string, text_id int, loaded_at timestamp"
+    one("paper", [("p",)], "paper_id string")
+    one("sentence", [("p",)], "paper_id string")
+    one("bib", [("p", 1, "10.1/A ", "On Things: a-study.", 2001, "Doe, Jo; Li, W.", None, None), ("p", 2, "10.1/a", "Other", 2002, "Roe, X.", None, None), ("p", 3, "10.1/z", "T", 1, "A", None, None), ("p", 4, None, "T", 1, "A", None, None), ("p", 5, "10.1/a", None, None, None, None, None)], kind)
+    reg = spark.createDataFrame([("10.1/a", "on things — a study", 2001, ["doe", "li"])], "doi string, title string, year int, authors array<string>")
+    got = {r.bib_id: (r.no_match, r.year_mismatch, r.title_mismatch, r.author_mismatch) for r in R.ref_accuracy_rows(spark, str(tmp_path), reg).collect()}
+    assert got == {1: (False, False, True, False), 2: (False, True, True, True), 3: (True, False, False, False), 5: (False, False, False, False)}

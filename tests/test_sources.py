@@ -43,6 +43,14 @@ def test_references(spark):
     assert s2.count() == 12 and s2.agg({"text_id": "max"}).first()[0] == 12 and sec2.filter("section_type = 'references'").count() == 1
 
 
+def test_all_tables_of_a_paper(spark):
+    xml = TEI.replace("Done.</p>", 'Done, see <ref type="url" target="https://osf.io/ab123.">the plan</ref> and d = 0.30 here.</p>')
+    t = tei.read_paper(spark.createDataFrame([("p", xml), ("bad", "<TEI><x>"), ("null", None)], "paper_id string, xml string"))
+    assert [tuple(r) for r in t["url"].select("paper_id", "href", "link_text").collect()] == [("p", "https://osf.io/ab123", "the plan")]
+    assert [tuple(r)[:2] for r in t["table"].collect()] == [("p", 1)] and t["figure"].count() == 0 and t["text"].count() == 12 and t["info"].count() == 1 and t["bib"].count() == 2
+    assert {r.xref_type for r in t["xref"].collect()} == {"bibr"} and [(r.lhs, r.rhs) for r in t["eq"].collect()] == [("d", "0.30")]
+
+
 def test_tei_files(spark, tmp_path):
     (tmp_path / "x.tei.xml").write_text(TEI)
     r = tei.read_tei(spark, str(tmp_path)).first()
