@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.functions.patterns import Flag, java, stems
@@ -63,6 +67,27 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"), F.lit(0))
 
 
+def tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, word, start_pos, end_pos): the words of a text as they stand, with their places in characters; texts without words have no
+    row. The places come out of one pass over each text, in Arrow batches: array functions would copy what they have so far at every word."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+        for batch in batches:
+            got = [(i, k, m.group(), m.start(), m.end()) for i, t in enumerate(batch.column(1).to_pylist()) if t for k, m in enumerate(word.finditer(t))]
+            columns = list(zip(*got)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], [key, "pos", "word", "start_pos", "end_pos"])
+
+    return rows.select(key, text).mapInArrow(cut, f"`{key}` {rows.schema[key].dataType.simpleString()}, pos int, word string, start_pos int, end_pos int")
+
+
+def na_replace(summary: DataFrame, papers: DataFrame, values: dict[str, object]) -> DataFrame:
+    """A summary with a row for every paper: columns of papers without one take the values given, 0 or "" by default."""
+    kinds = dict(summary.dtypes)
+    fill = {c: values.get(c, "" if kinds[c] == "string" else 0) for c in summary.columns if c != "paper_id"}
+    return papers.select("paper_id").join(summary, "paper_id", "left").fillna({c: v for c, v in fill.items() if v is not None})
+
+
 def normalise_letters(c: Column) -> Column:
     """Small letters and digits of all scripts, everything else a blank; each sign of scripts without blanks stands alone."""
     low = F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))

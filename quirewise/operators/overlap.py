@@ -104,7 +104,7 @@ def rated(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
 def union_coverage(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, n_scored, covered, covered_uncited, score, score_uncited, top, traffic_light): words covered by any source but the same
     work; na where the library is empty, as nothing was compared."""
-    found = materialise(runs(spark, d))  # used for the sources and for the words they cover
+    found = Q.written(runs(spark, d))  # used for the sources and for the words they cover
     s = materialise(rated(spark, d, found)).select("paper_id", "source_id", "same_work", "cited", "coverage")
     words = found.join(s, ["paper_id", "source_id"]).filter(~F.col("same_work")).select("paper_id", "text_id", "cited", F.explode(F.sequence("start_word", F.col("end_word") - 1)).alias("pos"))
     per = words.groupBy("paper_id", "text_id", "pos").agg(F.min("cited").alias("only_cited")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("covered"), F.count_if(~F.col("only_cited")).alias("covered_uncited"))
@@ -197,6 +197,16 @@ def run(spark: SparkSession, d: str, max_passages: int = 120, max_sources: int =
     return {"phrases": phrases, "counts": counts, "candidates": candidate_states(found, table(spark, d, "source_text"), max_sources), "sources": sources(spark, d), "passages": passages(spark, d), "highlights": highlights(spark, d), "light": union_coverage(spark, d)}
 
 
+def phrase_words(log: DataFrame, phrases: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(paper_id, words_now, words_before, words_either): words of a manuscript that lie under phrases of this run, of earlier runs, and of
+    either; phrases of the log that the manuscript no longer holds count nothing."""
+    now = phrases.select("paper_id", "phrase").distinct().withColumn("now", F.lit(1))
+    old = log.select("paper_id", "phrase").distinct().withColumn("old", F.lit(1))
+    at = eligible.select("paper_id", "text_id", "pos", "phrase").join(now, ["paper_id", "phrase"], "left").join(old, ["paper_id", "phrase"], "left").filter("now = 1 OR old = 1")
+    words = at.select("paper_id", "text_id", "now", "old", F.explode(F.sequence("pos", F.col("pos") + (PHRASE - 1))).alias("word")).groupBy("paper_id", "text_id", "word").agg(F.max("now").alias("now"), F.max("old").alias("old"))
+    return words.groupBy("paper_id").agg(F.count("now").alias("words_now"), F.count("old").alias("words_before"), F.count(F.lit(1)).alias("words_either"))
+
+
 def phrase_history(log: DataFrame, phrases: DataFrame) -> DataFrame:
     """(paper_id, n_now, n_before, n_either): phrases of this run, of earlier runs (a log of paper_id, phrase), and of both together."""
     now = phrases.select("paper_id", "phrase").distinct().withColumn("now", F.lit(1))

@@ -74,6 +74,12 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("paper_id", "bib_id").agg(*[F.max_by(c, when).alias(c) for c in rest])  # unused ones aren't read
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once, or as it is where ``sharing`` has written it already."""
+    held = _shared.get()
+    return df if held is not None and any(df is x for x in held.values()) else materialise(df)
+
+
 def text_table(spark: SparkSession, d: str, include_refs: bool = False) -> DataFrame:
     """Sentences with header and type of their section; the reference list is left out. Null texts never match anything."""
     held = _shared.get()

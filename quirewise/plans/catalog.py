@@ -70,6 +70,12 @@ def token_counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"))
 
 
+@query(f"SELECT doc_id, pos, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY pos) - length(word) AS INT) AS start_pos FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word, unnest(string_split_regex(text, {S.q(_WORD)})[:len(w)]) AS gap FROM (SELECT doc_id, text, regexp_extract_all(text, {S.q(_WORD)}, 0) AS w FROM documents WHERE text IS NOT NULL))")
+def tokens(s: SparkSession, d: str) -> DataFrame:
+    """Every word of every document with its number and its place: what lies before it is the gaps and words so far."""
+    return T.tokens(table(s, d, "documents"), "doc_id", "text").select("doc_id", "pos", "word", "start_pos")
+
+
 @query(f"SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS n_shingles FROM (SELECT doc_id, list_filter(string_split({S.norm('text')}, ' '), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0")
 def shingle_counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).alias("n_shingles")).filter("n_shingles > 0")
@@ -450,6 +456,9 @@ _GR = f"gr AS (SELECT DISTINCT source_id, gram AS phrase FROM ({S.grams('lib', '
 query(f"{_OV}, {_PH}, {_GR} SELECT paper_id, source_id, score, rank, CASE WHEN rank <= 3 AND coalesce(length(text), 0) >= 500 THEN 'compared' ELSE 'unverified' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, source_id) AS rank FROM cand) JOIN source_text USING (source_id)", "candidate_states")(lambda s, d: O.candidate_states(O.retrieve_candidates(s, d, O.eligible_phrases(s, d)), table(s, d, "source_text"), 3))
 query(f"{_OV}, {_PH} SELECT paper_id, count(*) FILTER (WHERE r1) AS n_now, count(*) FILTER (WHERE r2) AS n_before, count(*) AS n_either FROM (SELECT paper_id, phrase, bool_or(rank = 1) AS r1, bool_or(rank = 2) AS r2 FROM phr WHERE rank <= 2 GROUP BY 1, 2) GROUP BY 1", "phrase_history")(lambda s, d: (lambda p: O.phrase_history(p.filter("rank = 2"), p.filter("rank = 1")))(O.eligible_phrases(s, d)))
 
+query(f"{_OV}, {_PH} SELECT paper_id, count(*) FILTER (WHERE n) AS words_now, count(*) FILTER (WHERE o) AS words_before, count(*) AS words_either FROM (SELECT paper_id, text_id, word, bool_or(n) AS n, bool_or(o) AS o FROM (SELECT p.paper_id, text_id, h.n, h.o, unnest(range(pos, pos + 9)) AS word FROM phr p JOIN (SELECT paper_id, phrase, bool_or(rank = 1) AS n, bool_or(rank = 2) AS o FROM phr WHERE rank <= 2 GROUP BY 1, 2) h USING (paper_id, phrase)) GROUP BY 1, 2, 3) GROUP BY 1", "phrase_words")(lambda s, d: (lambda p: O.phrase_words(p.filter("rank = 2"), p.filter("rank = 1"), p))(O.eligible_phrases(s, d)))
+
+
 @query(f"{_OV} SELECT paper_id, text_id, len(w) AS n_tokens, len(list_filter(w, lambda x: x = '§')) AS n_masks FROM ms")
 def quote_citation_mask(s: SparkSession, d: str) -> DataFrame:
     return O.manuscripts(s, d).select("paper_id", "text_id", F.size("w").alias("n_tokens"), F.size(F.filter("w", lambda x: x == "§")).alias("n_masks"))

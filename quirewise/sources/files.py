@@ -126,14 +126,14 @@ def link_states(urls: DataFrame, status: DataFrame) -> DataFrame:
     return urls.select("url").distinct().join(status, "url", "left").select("url", "code", T.http_state(F.col("code")).alias("state"))
 
 
-def write_phrase_log(phrases: DataFrame, path: str, run: str, seed: int) -> None:
-    """Append the phrases of a run to the log."""
-    phrases.select("paper_id", "phrase", F.lit(run).alias("run"), F.lit(seed).alias("seed")).write.mode("append").partitionBy("run").parquet(path)
+def write_phrase_log(phrases: DataFrame, path: str, run: str, seed: int, requested: int | None = None, skip_used: bool = False) -> None:
+    """Append the phrases of a run to the log, with the time, how many were asked for, and whether used ones were left out."""
+    phrases.select("paper_id", "phrase", F.lit(run).alias("run"), F.lit(seed).alias("seed"), F.current_timestamp().alias("at"), F.lit(requested).cast("int").alias("requested"), F.lit(skip_used).alias("skip_used")).write.mode("append").partitionBy("run").parquet(path)
 
 
 def read_phrase_log(spark: SparkSession, path: str) -> DataFrame:
     """The log, empty if there is none yet."""
-    schema = "paper_id string, phrase string, seed int, run string"
+    schema = "paper_id string, phrase string, seed int, at timestamp, requested int, skip_used boolean, run string"
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as e:

@@ -102,3 +102,16 @@ def test_register_by_doi(spark, tmp_path):
     reg = spark.createDataFrame([("10.1/a", "on things — a study", 2001, ["doe", "li"])], "doi string, title string, year int, authors array<string>")
     got = {r.bib_id: (r.no_match, r.year_mismatch, r.title_mismatch, r.author_mismatch) for r in R.ref_accuracy_rows(spark, str(tmp_path), reg).collect()}
     assert got == {1: (False, False, True, False), 2: (False, True, True, True), 3: (True, False, False, False), 5: (False, False, False, False)}
+
+
+def test_tokens_have_their_places(spark):
+    rows = [(1, "It’s 😀 über-all, don't."), (2, None), (3, " … "), (4, "x")]
+    got = T.tokens(spark.createDataFrame(rows, "i int, text string"), "i", "text").collect()
+    assert [r.word for r in got if r.i == 1] == ["It’s", "über", "all", "don't"] and {r.i for r in got} == {1, 4}
+    assert all(rows[r.i - 1][1][r.start_pos : r.end_pos] == r.word for r in got)
+
+
+def test_missing_summaries_are_filled(spark):
+    s = spark.createDataFrame([("a", 3, "x", None)], "paper_id string, n int, kind string, share double")
+    p = spark.createDataFrame([("a",), ("b",)], "paper_id string")
+    assert {tuple(r) for r in T.na_replace(s, p, {"share": None, "kind": "none"}).collect()} == {("a", 3, "x", None), ("b", 0, "none", None)}
