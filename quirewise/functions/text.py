@@ -110,6 +110,15 @@ def word_shingles(c: Column, k: int = 5) -> Column:
     return let(F.filter(F.split(c, " "), lambda x: x != ""), of_words)
 
 
+def shingle_codes(c: Column, k: int = 5) -> Column:
+    """Sorted hashes of the k-grams of a normalised text; a shorter text is its own shingle, an empty one has none."""
+
+    def of_words(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (k - 1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
+
+    return let(F.filter(F.split(c, " "), lambda x: x != ""), lambda w: F.when(F.size(w) > 0, F.array_sort(F.array_distinct(of_words(w)))).otherwise(F.array().cast("array<bigint>")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared by all members of two sets; 0 when either is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))

@@ -363,7 +363,7 @@ def near_duplicates(items: DataFrame, group: str | None, item: str, text: str, k
     base = spread(items).select(g.alias("g"), F.col(item).alias("i"), norm.alias("n")).filter((F.col("n") != "") & (F.size(F.split("n", " ")) >= least_words))
     base = base.withColumn("c", F.md5("n"))
     classes = materialise(base.groupBy("g", "c").agg(F.min("i").alias("i"), F.min("n").alias("n"), F.max("i").alias("last")))
-    sets = materialise(classes.select("g", "i", F.array_sort(F.transform(T.word_shingles(F.col("n"), k), lambda s: F.xxhash64(s))).alias("x")))
+    sets = materialise(classes.select("g", "i", T.shingle_codes(F.col("n"), k).alias("x")))
     each = sets.select("g", "i", F.explode("x").alias("s"))
     often = each.groupBy("g", "s").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > COMMON_SHINGLE).select("g", "s")
     last = each.join(often, ["g", "s"]).groupBy("g", "i").agg(F.array_sort(F.collect_list("s")).alias("last"))
