@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce, wraps
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "section").select("paper_id", "section_id", "header", "section_type").distinct()
 
 
-#: What the operators of one thread share within ``sharing``.
+#: What the operators of one context share within ``sharing``.
 _shared: ContextVar[dict | None] = ContextVar("shared", default=None)
 
 
@@ -52,8 +53,9 @@ def once(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         ours = held is not None and "text" in held and (len(args) == 1 and args[0] is held["text"] or len(args) == 2 and isinstance(args[0], SparkSession) and (args[0].sparkContext.applicationId, args[1]) == held["folder"])
         if not ours:
             return f(*args)
-        if f not in held:
-            held[f] = materialise(f(*args))
+        with held.setdefault(("lock", f), Lock()):  # of several threads that ask for it one writes
+            if f not in held:
+                held[f] = materialise(f(*args))
         return held[f]
 
     return run
@@ -77,7 +79,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once, or as it is where ``sharing`` has written it already."""
     held = _shared.get()
-    return df if held is not None and any(df is x for x in held.values()) else materialise(df)
+    return df if held is not None and any(df is x for x in list(held.values())) else materialise(df)
 
 
 def text_table(spark: SparkSession, d: str, include_refs: bool = False) -> DataFrame:

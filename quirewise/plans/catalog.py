@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ from quirewise.sources import files as FS
 from quirewise.runtime import table
 
 FLAGSHIP = "overlap_light"
+#: Checks whose plans are made at a time.
+THREADS = 6
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = dict(relational.QUERIES)
 _SQL: dict[str, str] = dict(relational.SQL)
@@ -528,10 +532,13 @@ def check_run(name: str) -> Query:
 
 def verdicts(s: SparkSession, d: str) -> DataFrame:
     """(paper_id, check, traffic_light) of every check on every paper, all over one copy of the text and of what is extracted from it."""
-    with Q.sharing(s, d):
-        out = C.keyword_verdicts(s, d)
-        for n in OTHERS:
-            out = out.unionByName(check_run(n)(s, d).select("paper_id", F.lit(n).alias("check"), "traffic_light"))
+    with Q.sharing(s, d), ThreadPoolExecutor(THREADS) as pool:  # what the checks write down are small jobs that fill the cores together
+        first = copy_context()
+        keyword = pool.submit(first.run, C.keyword_verdicts, s, d)
+        others = [pool.submit(copy_context().run, check_run(n), s, d) for n in OTHERS]
+        out = keyword.result()
+        for n, x in zip(OTHERS, others):
+            out = out.unionByName(x.result().select("paper_id", F.lit(n).alias("check"), "traffic_light"))
     return out
 
 
