@@ -133,7 +133,7 @@ def test_text_functions(spark):
     assert v(T.section_type, "M e t h o d s") == "method" and v(T.section_type, "Procedure") is None
     assert v(T.surname, "de Souza, Ana") == "de souza" and v(T.surname, "Ana Souza") == "souza"
     assert v(T.file_type, "x/README.txt") == "readme" and v(T.file_type, "a.Rmd") == "code" and v(T.file_type, "b") == "other"
-    assert v(T.clean_title, "A <i>B</i> – C.") == "a b - c"
+    assert v(T.clean_title, "A <i>B</i> – C.") == "a b c"
     assert v(T.safe_stem, "a b/c?.pdf") == "a_b_c_.pdf"
     assert v(T.version_key, "v1.10.0rc1") == [1, 10, 0]
     assert v(T.html_to_text, '<p>a &lt; b</p><script>"</p>"</script><!-- x --> c') == "a < b c"
