@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -251,106 +253,209 @@ def ci_r(r: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Co
     return F.when(ok, F.tanh(F.atanh(r) - z / F.sqrt(n - 3))), F.when(ok, F.tanh(F.atanh(r) + z / F.sqrt(n - 3)))
 
 
-# what no finite sum gives: intervals by inversion of noncentral distributions, on Arrow batches
-
-
-def _beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_inc(b, a, 1 - x)
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or 1e-30)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + num * d) or 1e-30)
-            c = (1 + num / c) or 1e-30
-            h *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * h / a
+# what no finite sum gives: intervals by inversion of noncentral distributions, on Arrow batches, all rows of a batch at once
+
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+#: Elements of the matrices that are in memory at once, unless a single row has more.
+_BLOCK = 1 << 18
+
+
+def _stirling_error(n: np.ndarray) -> np.ndarray:
+    """log n! less Stirling's formula, for n > 0."""
+    small = np.minimum(n, 15.0)
+    exact = _lgamma(small + 1).astype(float) - (small + 0.5) * np.log(small) + small - 0.5 * math.log(2 * math.pi)
+    m = n * n
+    return np.where(n > 15, (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / m) / m) / m) / m) / n, exact)
+
+
+def _deviance(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x log(x / m) + m - x without cancellation where both are near."""
+    v = (x - m) / (x + m)
+    near = (x - m) * v + 2 * x * sum(v ** (2 * j + 1) / (2 * j + 1) for j in range(1, 10))
+    return np.where(np.abs(v) < 0.1, near, x * np.log(x / m) + m - x)
+
+
+def _beta_term(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log of x^a y^b / (a B(a, b)), y = 1 - x, by Loader's saddle point form: what the incomplete beta loses from a to a + 1."""
+    n = a + b
+    return _stirling_error(n) - _stirling_error(a) - _stirling_error(b) - _deviance(a, n * x) - _deviance(b, n * y) + 0.5 * np.log(b / (2 * math.pi * a * n))
+
+
+def _beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction, y = 1 - x."""
+    front = np.exp(_beta_term(a, b, x, y))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, y, x)
+    h, on = np.empty_like(p), np.arange(len(p))
+    c, d = np.ones_like(p), 1 / (1 - (p + q) * z / (p + 1))
+    at, m = d.copy(), 0
+    while len(on):
+        m += 1
+        u, v, w = p[on], q[on], z[on]
+        for num in (m * (v - m) * w / ((u + 2 * m - 1) * (u + 2 * m)), -(u + m) * (u + v + m) * w / ((u + 2 * m) * (u + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1 / np.where(d == 0, 1e-30, d), np.where(c == 0, 1e-30, c)
+            at = at * c * d
+        done = ~(np.abs(c * d - 1) > 1e-15)
+        h[on[done]] = at[done]
+        on, c, d, at = on[~done], c[~done], d[~done], at[~done]
+    return np.where(swap, 1 - front * a / b * h, front * h)
+
+
+def _noncentral_f(f: np.ndarray, df1: np.ndarray, df2: np.ndarray, nc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distribution function of the noncentral F for f > 0, and its slope in nc: a Poisson mixture of incomplete betas over all places with
+    weight (8.5 deviations around the mode and more), the betas from the last one downwards by their differences."""
+    lam = nc / 2
+    first = np.floor(np.maximum(0.0, lam - 8.5 * np.sqrt(lam) - 1))
+    width = np.ceil(lam + 8.5 * np.sqrt(lam) + 25 - first).astype(int)
+    p, slope = np.empty_like(f), np.empty_like(f)
+    order, i = np.argsort(width), len(f)
+    while i:
+        w = width[order[i - 1]]
+        i, part = (j := max(0, i - max(1, _BLOCK // w))), order[j:i]
+        a, b, g = df1[part] / 2 + first[part], df2[part] / 2, df1[part] * f[part]
+        x, y = g / (g + df2[part]), df2[part] / (g + df2[part])
+        k, col = np.arange(1.0, w), (slice(None), None)
+        mix = np.zeros((len(part), w))
+        mix[:, 1:] = np.cumsum(np.log(lam[part][col] / (first[part][col] + k)), axis=1)
+        mix = np.exp(mix - mix.max(axis=1)[col])
+        mix /= mix.sum(axis=1)[col]
+        lost = np.zeros((len(part), w))
+        lost[:, 1:] = np.cumsum(np.log(x[col] * (a + b - 1)[col] + x[col] * k) - np.log(a[col] + k), axis=1)
+        lost = np.exp(lost + _beta_term(a, b, x, y)[col])
+        beta = np.cumsum(lost[:, ::-1], axis=1)[:, ::-1] + _beta_inc(a + w, b, x, y)[col]
+        p[part], slope[part] = (mix * beta).sum(axis=1), -(mix * lost).sum(axis=1) / 2
+    return p, slope
 
 
 def noncentral_f_cdf(f: float, df1: float, df2: float, nc: float) -> float:
-    """Poisson mixture of incomplete betas, summed outwards from its mode."""
-    x = df1 * f / (df1 * f + df2)
-    mode = int(nc / 2)
-    total = 0.0
-    for step, start in ((1, mode), (-1, mode - 1)):
-        k = start
-        while k >= 0:
-            w = math.exp(-nc / 2 + k * math.log(nc / 2) - math.lgamma(k + 1)) if nc > 0 else float(k == 0)
-            term = w * _beta_inc(df1 / 2 + k, df2 / 2, x)
-            total += term
-            if w < 1e-15 and abs(k - mode) > 5:
-                break
-            k += step
-    return min(1.0, total)
-
-
-def _solve(g, lo: float, hi: float, steps: int = 120) -> float | None:
-    """Root of a falling function by bisection; null if it isn't bracketed."""
-    a, b = g(lo), g(hi)
-    if a < 0:
-        return 0.0 if lo == 0 else None
-    if b > 0:
-        return None
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        if g(mid) > 0:
-            lo = mid
-        else:
-            hi = mid
-        if hi - lo < 1e-10 * max(1.0, hi):
+    """Distribution function of the noncentral F."""
+    if f <= 0:
+        return 0.0
+    with np.errstate(all="ignore"):
+        return float(_noncentral_f(*(np.array([x], dtype=float) for x in (f, df1, df2, nc)))[0][0])
+
+
+def _noncentral_t(t: np.ndarray, df: np.ndarray, nc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distribution function of the noncentral t for t >= 0, and its slope in nc: the mean of the normal one over the chi factor, by Gauss
+    and Legendre apart where it rises and where it is 1, so that neither a narrow rise nor a narrow factor falls between the nodes."""
+    p, slope = np.empty_like(t), np.empty_like(t)
+    step = _BLOCK // len(_NODES)
+    for i in range(0, len(t), step):
+        s = slice(i, i + step)
+        v, m, u = df[s], nc[s], np.maximum(t[s], 1e-300)
+        low, high = np.maximum(-1.0, -9 / np.sqrt(2 * v)), 9 / np.sqrt(2 * v)
+        start, end = np.clip((m - 9) / u - 1, low, high), np.clip((m + 9) / u - 1, low, high)
+
+        def panel(a, b, v=v):
+            e = ((a + b) / 2)[:, None] + ((b - a) / 2)[:, None] * _NODES
+            power = np.where(v[:, None] == 1, 0.0, (v[:, None] - 1) * np.log1p(e))
+            return e, np.exp(power - v[:, None] * (e + e * e / 2)) * _WEIGHTS * ((b - a) / 2)[:, None]
+
+        whole = panel(low, high)[1].sum(axis=1)
+        e, weight = panel(start, end)
+        z = (u - m)[:, None] + u[:, None] * e
+        p[s] = ((weight * (_erfc(-z / math.sqrt(2)).astype(float) / 2)).sum(axis=1) + panel(end, high)[1].sum(axis=1)) / whole
+        slope[s] = -(weight * np.exp(-z * z / 2)).sum(axis=1) / math.sqrt(2 * math.pi) / whole
+    return p, slope
+
+
+def _solve(g, target: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Where falling functions g(rows, x) -> (value, slope) take their target, by Newton's steps on the logit, halving where they leave what
+    is known to hold the root; lo where the value there is below the target, NaN where it is above it at hi."""
+    out = np.full(len(target), np.nan)
+    below = g(np.arange(len(target)), lo)[0] < target
+    out[below] = lo[below]
+    on = np.flatnonzero(~below)
+    a, b, x, odds = lo.copy(), hi.copy(), np.clip(start, lo, hi), np.log(target / (1 - target))
+    for step in range(300):
+        if not len(on):
             break
-    return (lo + hi) / 2
+        p, slope = g(on, x[on])
+        high = p > target[on]
+        lost = high & (x[on] >= hi[on])
+        a[on], b[on] = np.where(high, x[on], a[on]), np.where(high, b[on], x[on])
+        new = x[on] - (np.log(p / (1 - p)) - odds[on]) * p * (1 - p) / slope
+        new = np.where(high & (new >= hi[on]) & (b[on] == hi[on]), hi[on], new)
+        inside = (new >= a[on]) & (new <= b[on]) & (step < 40)
+        new = np.where(inside, new, (a[on] + b[on]) / 2)
+        fine = 1e-12 * np.maximum(1.0, np.abs(new))
+        done = ~lost & ((np.abs(new - x[on]) <= fine) | (b[on] - a[on] <= fine))
+        x[on] = new
+        out[on[done]] = new[done]
+        on = on[~lost & ~done]
+    out[on] = x[on]
+    return out
+
+
+def _t_bound(t: np.ndarray, df: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Noncentralities at which t >= 0 has the probability ``target``."""
+    start = t - np.array([NormalDist().inv_cdf(q) for q in target]) * np.sqrt(1 + t * t / (2 * df))
+    span = np.maximum(50.0, 5 * t + 20)
+    return _solve(lambda i, x: _noncentral_t(t[i], df[i], x), target, start, -span, span)
+
+
+def _f_bound(f: np.ndarray, df1: np.ndarray, df2: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Noncentralities at which F has the probability ``target``; NaN beyond 1000 times the greater of 1 and f."""
+    out, g = np.zeros_like(f), df1 * f
+    hi = 1000 * np.maximum(1.0, f)
+    far = (f > 1e6) & (g > 1e9)
+    if far.any():  # the root of the numerator is normal then, with a mean of delta + (df1 - 1) / (2 delta)
+        d = _t_bound(np.sqrt(df1[far]) * np.sqrt(f[far]), df2[far], target[far])
+        d = np.where(d > 0, (d + np.sqrt(np.maximum(0.0, d * d - 2 * (df1[far] - 1)))) / 2, 0.0)
+        out[far] = np.where(d * d <= hi[far], d * d, np.nan)
+    i = np.flatnonzero(~far & (f > 0))
+    if len(i):
+        root = np.sqrt(g[i]) - np.array([NormalDist().inv_cdf(q) for q in target[i]]) * np.sqrt(1 + g[i] / (2 * df2[i]))
+        start = np.maximum(0.0, root * np.abs(root) - df1[i] + 1)
+        out[i] = _solve(lambda j, x: _noncentral_f(f[i[j]], df1[i[j]], df2[i[j]], x), target[i], start, np.zeros(len(i)), hi[i])
+    return out
+
+
+def eta2_intervals(f: np.ndarray, df1: np.ndarray, df2: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of eta squared: noncentralities at which f is the upper and the lower bound, turned into shares; NaN for none."""
+    lo, hi = np.full(len(f), np.nan), np.full(len(f), np.nan)
+    with np.errstate(all="ignore"):
+        ok = np.isfinite(f) & (f >= 0) & (df1 > 0) & (df2 > 0)
+        f, df1, df2, alpha = f[ok], df1[ok], df2[ok], (1 - level[ok]) / 2
+        for out, target in ((lo, 1 - alpha), (hi, alpha)):
+            nc = _f_bound(f, df1, df2, target)
+            out[ok] = nc / (nc + df1 + df2 + 1)
+    return lo, hi
+
+
+def dz_intervals(t: np.ndarray, n: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of dz: noncentralities of t found by inversion of the noncentral t, those of -t being their mirror; NaN for none."""
+    lo, hi = np.full(len(t), np.nan), np.full(len(t), np.nan)
+    with np.errstate(all="ignore"):
+        ok = np.isfinite(t) & (n >= 2)
+        t, n, alpha = t[ok], n[ok], (1 - level[ok]) / 2
+        low, high = (_t_bound(np.abs(t), n - 1, target) / np.sqrt(n) for target in (1 - alpha, alpha))
+        lo[ok], hi[ok] = np.where(t < 0, -high, low), np.where(t < 0, -low, high)
+    return lo, hi
+
+
+def _one(bounds, *x: float) -> tuple[float | None, float | None]:
+    lo, hi = (float(b[0]) for b in bounds(*(np.array([v], dtype=float) for v in x)))
+    return None if math.isnan(lo) else lo, None if math.isnan(hi) else hi
 
 
 def eta2_interval(f: float, df1: float, df2: float, level: float = 0.95) -> tuple[float | None, float | None]:
-    """Interval of eta squared: noncentralities at which f is the upper and the lower bound, turned into shares."""
-    if not (f == f and f >= 0 and df1 > 0 and df2 > 0):
-        return None, None
-    alpha = (1 - level) / 2
-    out = []
-    for target in (1 - alpha, alpha):
-        nc = _solve(lambda x: noncentral_f_cdf(f, df1, df2, x) - target, 0.0, 1000 * max(1.0, f))
-        out.append(None if nc is None else nc / (nc + df1 + df2 + 1))
-    return out[0], out[1]
+    """Interval of eta squared of a single test."""
+    return _one(eta2_intervals, f, df1, df2, level)
 
 
 def dz_interval(t: float, n: float, level: float = 0.95) -> tuple[float | None, float | None]:
-    """Interval of dz: noncentrality of t found by inversion of the noncentral t, by way of the noncentral F of its square."""
-    if not (t == t and n >= 2):
-        return None, None
-    df, alpha = n - 1, (1 - level) / 2
-
-    def cdf(nc: float) -> float:
-        # P(T <= t) from the density of the chi factor on a fine grid
-        steps = 400
-        total = 0.0
-        lo, hi = max(1e-6, 1 - 8 / math.sqrt(2 * df)), 1 + 8 / math.sqrt(2 * df)
-        h = (hi - lo) / steps
-        logc = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2)
-        for i in range(steps + 1):
-            s = lo + i * h
-            w = (1 if i in (0, steps) else 4 if i % 2 else 2) * h / 3
-            total += w * math.exp(logc + (df - 1) * math.log(s) - df * s * s / 2) * 0.5 * math.erfc(-(t * s - nc) / math.sqrt(2))
-        return total
-
-    span = abs(t) + 40
-    bounds = [_solve(lambda x: cdf(x) - target, -span, span, 80) for target in (1 - alpha, alpha)]
-    return tuple(None if b is None else b / math.sqrt(n) for b in bounds)  # type: ignore[return-value]
+    """Interval of dz of a single test."""
+    return _one(dz_intervals, t, n, level)
 
 
 def _interval_udf(bounds):
     def batches(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame([bounds(*r) for r in zip(*x)], columns=["lo", "hi"]).astype("float64")
+            yield pd.DataFrame(dict(zip(("lo", "hi"), bounds(*(c.to_numpy(dtype=float) for c in x)))))
 
     return batches
 
@@ -359,7 +464,7 @@ def eta2_interval_udf():
     """Arrow function of (f, df1, df2, level) for both bounds."""
 
     def bounds(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        yield from _interval_udf(eta2_interval)(it)
+        yield from _interval_udf(eta2_intervals)(it)
 
     return F.pandas_udf(bounds, "struct<lo: double, hi: double>")
 
@@ -368,7 +473,7 @@ def dz_interval_udf():
     """Arrow function of (t, n, level) for both bounds."""
 
     def bounds(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        yield from _interval_udf(dz_interval)(it)
+        yield from _interval_udf(dz_intervals)(it)
 
     return F.pandas_udf(bounds, "struct<lo: double, hi: double>")
 

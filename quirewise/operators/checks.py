@@ -235,8 +235,9 @@ def es_check(spark: SparkSession, d: str, inversions: bool = False) -> DataFrame
 def es_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of eta squared (F tests) and dz (t tests) by inversion of noncentral distributions, for the distinct tests of all papers."""
     t = Q.tests(Q.text_table(spark, d)).select("kind", "value", "df1", "df2").distinct()
-    f = t.filter("kind = 'F'").withColumn("ci", S.eta2_interval_udf()(F.col("value"), F.col("df1").cast("double"), F.col("df2").cast("double"), F.lit(0.95)))
-    u = t.filter("kind = 't'").withColumn("ci", S.dz_interval_udf()(F.col("value"), (F.col("df1") + 1).cast("double"), F.lit(0.95)))
+    tasks = spark.sparkContext.defaultParallelism  # else a few small partitions are all that is left of the distinct tests
+    f = t.filter("kind = 'F'").repartition(tasks).withColumn("ci", S.eta2_interval_udf()(F.col("value"), F.col("df1").cast("double"), F.col("df2").cast("double"), F.lit(0.95)))
+    u = t.filter("kind = 't'").repartition(tasks).withColumn("ci", S.dz_interval_udf()(F.col("value"), F.col("df1").cast("double") + 1, F.lit(0.95)))
     return f.unionByName(u).select("kind", "value", "df1", "df2", F.round("ci.lo", 6).alias("lo"), F.round("ci.hi", 6).alias("hi"))
 
 

@@ -113,6 +113,57 @@ def test_noncentral_intervals():
     assert S.eta2_interval(float("nan"), 1, 1) == (None, None)
 
 
+def test_noncentral_intervals_of_many_tests():
+    import time
+
+    import numpy as np
+
+    # by the scalar sums and the grid of one test after the other, 0.1 s each
+    for x, want in (((3, 4, 1), (0.0, 0.911975)), ((50, 2, 10), (0.669755, 0.942990)), ((300, 3, 40), (0.923830, 0.968509)), ((0.5, 500, 2000), (0.0, 0.0)), ((0, 1, 10), (0.0, 0.0))):
+        assert S.eta2_interval(*x) == pytest.approx(want, abs=1e-6)
+    for x, want in (((-2.2, 29), (-0.784398, -0.025956)), ((30, 30), (4.026395, 6.919801)), ((2, 1000), (0.001188, 0.125271)), ((0, 2), (-1.959964 / math.sqrt(2), 1.959964 / math.sqrt(2))), ((100, 2), (100 * 0.0313380 / math.sqrt(2), 100 * 2.241403 / math.sqrt(2)))):
+        assert S.dz_interval(*x) == pytest.approx(want, rel=1e-4, abs=1e-6)
+    assert S.eta2_interval(math.inf, 2, 3) == S.eta2_interval(2, 0, 3) == S.dz_interval(math.inf, 5) == S.dz_interval(2, 1) == (None, None)
+
+    # with one degree F is the square of t: its upper tail is both tails of the noncentral t
+    with np.errstate(all="ignore"):
+        for t, df, nc in ((2.0, 9.0, 1.5), (40.0, 3.0, 35.0), (300.0, 80.0, 310.0)):
+            up, down = (float(S._noncentral_t(*(np.array([v]) for v in (t, df, c)))[0][0]) for c in (nc, -nc))
+            assert S.noncentral_f_cdf(t * t, 1, df, nc * nc) == pytest.approx(up + down - 1, abs=1e-10)
+        # beyond the sums: the numerator's normal root gives what the sums give
+        for x in ((2e6, 600, 10), (1.1e6, 1000, 300)):
+            for p in (0.975, 0.025):
+                f, a, b, q = (np.array([float(v)]) for v in (*x, p))
+                nc = S._f_bound(f, a, b, q)
+                if nc[0] == nc[0]:
+                    assert S.noncentral_f_cdf(*x, nc[0]) == pytest.approx(p, abs=1e-4)
+
+    # as many distinct tests as a tenth of a GB of text holds: minutes by the scalar functions
+    r, n = np.random.default_rng(1), 4000
+    f, a, b, level = np.round(r.uniform(0, 12, n), 2), r.integers(1, 5, n) * 1.0, r.integers(10, 300, n) * 1.0, np.full(n, 0.95)
+    t = np.round(r.uniform(-6, 6, n), 2)
+    began = time.process_time()
+    lo, hi = S.eta2_intervals(f, a, b, level)
+    low, high = S.dz_intervals(t, b + 1, level)
+    assert time.process_time() - began < 30
+    assert ((0 <= lo) & (lo <= hi) & (hi < 1)).all() and ((low < t / np.sqrt(b + 1)) & (t / np.sqrt(b + 1) < high)).all()
+    for i in range(0, n, 400):
+        assert (lo[i], hi[i]) == pytest.approx(S.eta2_interval(f[i], a[i], b[i]), abs=1e-9) and (low[i], high[i]) == pytest.approx(S.dz_interval(t[i], b[i] + 1), abs=1e-9)
+
+
+def test_intervals_of_odd_degrees(spark, tmp_path):
+    from quirewise.operators import checks as C
+
+    texts = ["t(2147483647) = 2.0", "t(0) = 1.0", "t(28) = 2.2 and t(28) = -2.2", "F(2, 57) = 4.1", "F(2, 57) = 4.1, again", "F(0, 5) = 2", f"F(2, 5) = {'9' * 400}", "t(99999999999) = 1.5", None]
+    rows = [("p", 1, 1, i, x, None, 1) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "paper_id string, section_id int, paragraph_id int, text_id int, text string, formatted string, loaded_at int").write.parquet(f"{tmp_path}/sentence.parquet")
+    spark.createDataFrame([("p", 1, "A", "intro")], "paper_id string, section_id int, header string, section_type string").write.parquet(f"{tmp_path}/section.parquet")
+    got = {(r.kind, r.value, r.df1): (r.lo, r.hi) for r in C.es_intervals(spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and got["t", 2.0, 2147483647][0] is not None
+    assert got["t", 1.0, 0] == got["F", 2.0, 0] == got["F", math.inf, 2] == got["t", 1.5, None] == (None, None)
+    assert got["t", 2.2, 28] == tuple(-x for x in reversed(got["t", -2.2, 28])) and got["F", 4.1, 2] == pytest.approx(S.eta2_interval(4.1, 2, 57), abs=1e-6)
+
+
 def test_p_values_of_all_forms(spark):
     from quirewise.operators import search as Q
 
